@@ -1,11 +1,10 @@
-"""Filter taps: plain Python lists for fixed kernels, column expressions for position-dependent ones."""
+"""Filter taps: lists for fixed kernels, numpy functions of distance for position-dependent ones."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+import numpy as np
 
 
 def gaussian(sigma: float, reach: float = 3.0, longest: int = 64) -> list[float]:
@@ -23,34 +22,27 @@ def gaussian_fixed(sigma: float, half: int) -> list[float]:
 
 
 def cubic(b: float, c: float):
-    """The two-parameter cubic family (Mitchell and Netravali 1988) as a column function."""
+    """The two-parameter cubic family (Mitchell and Netravali 1988)."""
 
-    def weight(d: Column) -> Column:
-        d = F.abs(d)
-        near = ((12 - 9 * b - 6 * c) * d * d * d + (-18 + 12 * b + 6 * c) * d * d + (6 - 2 * b)) / 6
-        far = (
-            (-b - 6 * c) * d * d * d + (6 * b + 30 * c) * d * d + (-12 * b - 48 * c) * d + (8 * b + 24 * c)
-        ) / 6
-        return F.when(d < 1, near).when(d < 2, far).otherwise(F.lit(0.0))
+    def weight(d: np.ndarray) -> np.ndarray:
+        d = np.abs(d)
+        near = np.polyval([12 - 9 * b - 6 * c, -18 + 12 * b + 6 * c, 0, 6 - 2 * b], d) / 6
+        far = np.polyval([-b - 6 * c, 6 * b + 30 * c, -12 * b - 48 * c, 8 * b + 24 * c], d) / 6
+        return np.where(d < 1, near, np.where(d < 2, far, 0.0))
 
     return weight
 
 
 def lanczos(lobes: int):
-    """Windowed sinc with ``lobes`` lobes as a column function."""
+    """Windowed sinc with ``lobes`` lobes."""
+    return lambda d: np.where(np.abs(d) < lobes, np.sinc(d) * np.sinc(d / lobes), 0.0)
 
-    def weight(d: Column) -> Column:
-        t = d * math.pi
-        value = F.sin(t) / t * (F.sin(t / lobes) / (t / lobes))
-        return F.when(F.abs(d) < 1e-8, F.lit(1.0)).when(F.abs(d) < lobes, value).otherwise(F.lit(0.0))
 
-    return weight
-
-
-def tent(d: Column) -> Column:
+def tent(d: np.ndarray) -> np.ndarray:
     """Linear interpolation weight."""
-    return F.greatest(F.lit(1.0) - F.abs(d), F.lit(0.0))
+    return np.maximum(1.0 - np.abs(d), 0.0)
 
 
-def next_pow2(n: int, least: int = 2) -> int:
-    return 1 << max(math.ceil(math.log2(max(n, least))), 0)
+def flat(d: np.ndarray) -> np.ndarray:
+    """Nearest sample."""
+    return np.ones_like(d)

@@ -9,10 +9,11 @@ no group is larger than ``(tile + 2*halo)**2`` pixels however large one frame is
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -70,19 +71,35 @@ def weighted(taps: Sequence[Column], weights: Sequence[float]) -> Column:
     return total
 
 
-def line_pass(df: DataFrame, cols: Sequence[str], weights: Sequence[float], line: WindowSpec) -> DataFrame:
-    """Replace each of ``cols`` by its weighted sum along ``line``."""
-    half = len(weights) // 2
-    return df.withColumns({c: weighted(line_taps(c, half, line), weights) for c in cols})
+def whole_tiles(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[pa.Table, list[slice]]]:
+    """Regroup a key-sorted stream of Arrow batches into tables of whole tiles, with each tile's rows."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+        if not table.num_rows:
+            continue
+        changed = np.zeros(table.num_rows - 1, dtype=bool)
+        for key in keys:
+            column = table.column(key)
+            changed |= pc.not_equal(column.slice(1), column.slice(0, table.num_rows - 1)).to_numpy()
+        starts = [0, *(np.flatnonzero(changed) + 1).tolist()]
+        held = table.slice(starts[-1])
+        if len(starts) > 1:
+            yield table.slice(0, starts[-1]), [slice(i, j) for i, j in zip(starts, starts[1:])]
+    if held is not None:
+        yield held, [slice(0, held.num_rows)]
 
 
-def planes(pdf: pd.DataFrame, cols: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One tile's rows as a dense ``(height, width, len(cols))`` block with its row and column indices."""
-    y = pdf["y"].to_numpy()
-    x = pdf["x"].to_numpy()
-    block = np.zeros((y.max() - y.min() + 1, x.max() - x.min() + 1, len(cols)))
-    block[y - y.min(), x - x.min()] = pdf[list(cols)].to_numpy(dtype=float)
-    return block, y - y.min(), x - x.min()
+def column_values(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy()
+
+
+def dense_block(y: np.ndarray, x: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Rows of one tile as a ``(height, width, channels)`` block starting at its smallest position."""
+    block = np.zeros((y.max() - y.min() + 1, x.max() - x.min() + 1, values.shape[1]))
+    block[y - y.min(), x - x.min()] = values
+    return block
 
 
 def tile_map(
@@ -95,17 +112,25 @@ def tile_map(
     """Apply ``fn`` to each tile's block, edge-padded by ``halo`` on all sides.
 
     ``fn`` maps ``(H + 2*halo, W + 2*halo, C)`` to ``(H, W, C)``. Only core pixels are returned, so
-    padding matters solely at true frame edges, where it replicates the border.
+    padding matters solely at true frame edges, where it replicates the border. Partitions are sorted by
+    tile and streamed as Arrow batches, so thousands of small frames cost no per-group call and a
+    task holds one tile at a time.
     """
     cols = list(cols)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        block, yi, xi = planes(pdf, cols)
-        done = fn(np.pad(block, ((halo, halo), (halo, halo), (0, 0)), mode="edge"))
-        out = pdf.copy()
-        out[cols] = done[yi, xi]
-        core = (pdf["y"] // (1 << bits) == pdf["tile_y"]) & (pdf["x"] // (1 << bits) == pdf["tile_x"])
-        return out[core]
-
-    tiled = with_halo(px, halo, halo, bits)
-    return tiled.groupBy(*TILE_KEYS).applyInPandas(run, tiled.schema).drop("tile_y", "tile_x")
+    pad = ((halo, halo), (halo, halo), (0, 0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, tiles in whole_tiles(batches, TILE_KEYS):
+            y, x = column_values(table, "y"), column_values(table, "x")
+            values = np.column_stack([column_values(table, c) for c in cols])
+            for rows in tiles:
+                ty, tx = y[rows], x[rows]
+                done = fn(np.pad(dense_block(ty, tx, values[rows]), pad, mode="edge"))
+                values[rows] = done[ty - ty.min(), tx - tx.min()]
+            core = (y >> bits == column_values(table, "tile_y")) & (x >> bits == column_values(table, "tile_x"))
+            for k, c in enumerate(cols):
+                table = table.set_column(table.column_names.index(c), c, pa.array(values[:, k]))
+            yield from table.filter(pa.array(core)).to_batches()
+
+    tiled = with_halo(px, halo, halo, bits).sortWithinPartitions(*TILE_KEYS)
+    return tiled.mapInArrow(run, tiled.schema).drop("tile_y", "tile_x")

@@ -9,9 +9,9 @@ from framelake.errors import LAYOUT
 from framelake.functions import kernels
 from framelake.functions.color import clamp01, luma
 from framelake.functions.ordering import order_statistics
-from framelake.functions.tiles import column_line, drop_halo, line_pass, row_line, with_halo
+from framelake.functions.tiles import tile_map
 from framelake.operators.pointwise import frame_dims
-from framelake.operators.stencil import edge_step
+from framelake.operators.stencil import correlate, edge_step
 from framelake.schemas import FRAME, PIXEL, RGB, RGBA
 
 INFINITY = float("inf")
@@ -66,8 +66,7 @@ def _similarity(pairs: DataFrame) -> DataFrame:
     )
     taps = kernels.gaussian_fixed(SSIM_SIGMA, SSIM_HALF)
     cols = ["ma", "mb", "aa", "bb", "ab"]
-    tiles = with_halo(planes, SSIM_HALF, SSIM_HALF)
-    soft = drop_halo(line_pass(line_pass(tiles, cols, taps, row_line()), cols, taps, column_line()))
+    soft = tile_map(planes, SSIM_HALF, lambda block: correlate(correlate(block, taps, 1), taps, 0), cols)
     c1, c2 = SSIM_K1**2, SSIM_K2**2
     ma, mb = F.col("ma"), F.col("mb")
     var_a = F.greatest(F.col("aa") - ma * ma, F.lit(0.0))

@@ -1,138 +1,157 @@
 """Resampling without joins: every source pixel produces the target pixels it owns.
 
-Inside a halo tile a line window hands each source pixel its neighbors; the pixel then explodes
-into the targets whose source position falls on it, with weights computed per target. Rows first,
-then columns, in one exchange.
+A target belongs to the source pixel its position falls on. A halo tile therefore knows all targets its core
+owns and every source they read, so both axes run in the tile after one exchange, and shifting
+frames far needs no wider halo than shifting them by a fraction.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.errors import INVALID_PARAMETER, OperatorError
 from framelake.functions import kernels
 from framelake.functions.color import clamp01
-from framelake.functions.tiles import TILE_BITS, TILE_KEYS, with_halo
+from framelake.functions.tiles import TILE_BITS, TILE_KEYS, column_values, dense_block, whole_tiles, with_halo
 from framelake.operators.pointwise import with_dims
-from framelake.schemas import FRAME, PIXEL, RGBA
-
-ColumnFn = Callable[[Column], Column]
+from framelake.schemas import FRAME, PIXELS, RGBA
 
 
 @dataclass(frozen=True)
 class Axis:
-    """How target positions map to source positions along one axis (both increasing)."""
-
-    source_of: ColumnFn
-    target_of: ColumnFn
-    length: Column
-
-
-def scaled(extent: Column, length: Column) -> Axis:
-    """Pixel centers of ``length`` targets spread over ``extent`` sources."""
-    ratio = extent / length
-    return Axis(lambda t: (t + 0.5) * ratio - 0.5, lambda s: (s + 0.5) / ratio - 0.5, length)
-
-
-def shifted(extent: Column, by: Column) -> Axis:
-    return Axis(lambda t: t - by, lambda s: s + by, extent)
-
-
-def _along(df: DataFrame, pos: str, extent: str, axis: Axis, taps: range, weight: ColumnFn, normalize: bool) -> DataFrame:
-    other = "y" if pos == "x" else "x"
-    reach = max(abs(taps[0]), abs(taps[-1]))
-    line = Window.partitionBy(*TILE_KEYS, other).orderBy(pos).rowsBetween(-reach, reach)
-    x, last = F.col(pos), F.col(extent) - 1
-    near = df.withColumn("_near", F.collect_list(F.struct(*RGBA)).over(line)).where(
-        F.shiftright(pos, TILE_BITS) == F.col("tile_" + pos)
-    )
-    first = F.when(x == 0, F.lit(0)).otherwise(F.floor(axis.target_of(x)) - 1)
-    final = F.when(x == last, axis.length - 1).otherwise(F.ceil(axis.target_of(x + 1)) + 1)
-    first, final = F.greatest(first, F.lit(0)).cast("int"), F.least(final, axis.length - 1).cast("int")
-    targets = F.when(final >= first, F.sequence(first, final)).otherwise(F.array().cast("array<int>"))
-    owned = (
-        near.withColumn("_t", F.explode(targets)).withColumn("_s", axis.source_of(F.col("_t")))
-        .withColumn("_f", F.floor("_s")).where(F.least(F.greatest(F.col("_f"), F.lit(0)), last) == x)
-    )
-    start = F.greatest(x - reach, F.lit(0))
-    for k in taps:
-        at = F.least(F.greatest(F.col("_f") + k, F.lit(0)), last) - start
-        owned = owned.withColumns({f"_p{k}": F.get("_near", at.cast("int")), f"_w{k}": weight(F.col("_f") + k - F.col("_s"))})
-    mass = sum((F.col(f"_w{k}") for k in taps[1:]), F.col(f"_w{taps[0]}"))
-    share = F.when(F.abs(mass) > 1e-8, mass).otherwise(F.lit(1.0)) if normalize else F.lit(1.0)
-    values = {c: sum((F.col(f"_p{k}.{c}") * F.col(f"_w{k}") for k in taps[1:]), F.col(f"_p{taps[0]}.{c}") * F.col(f"_w{taps[0]}")) / share for c in RGBA}
-    keep = [c for c in df.columns if c not in (*RGBA, pos)]
-    return owned.select(*keep, F.col("_t").alias(pos), *[v.alias(c) for c, v in values.items()])
-
-
-def resample(sized: DataFrame, axis_x: Axis, axis_y: Axis, taps: range, weight: ColumnFn, normalize=False, clip=True) -> DataFrame:
-    """Both axes over ``sized`` pixels, which carry ``width`` and ``height``."""
+    """One axis of a resampling: a target length (by factor or fixed), or a shift read from a column."""
+
+    scale: float | None = None
+    length: int | None = None
+    shift: str | None = None
+
+    def targets(self, extent: int, by: float, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """Targets owned by sources ``first..last`` and their source positions."""
+        if self.shift:
+            count, ratio, offset = extent, 1.0, -by
+        else:
+            count = self.length or max(int(np.floor(extent * self.scale + 0.5)), 1)
+            ratio = extent / count
+            offset = 0.5 * ratio - 0.5
+        low = 0 if first == 0 else int(np.floor((first - offset) / ratio)) - 1
+        high = count - 1 if last == extent - 1 else int(np.ceil((last + 1 - offset) / ratio)) + 1
+        t = np.arange(max(low, 0), min(high, count - 1) + 1)
+        s = t - by if self.shift else (t + 0.5) * ratio - 0.5
+        owner = np.clip(np.floor(s), 0, extent - 1)
+        mine = (owner >= first) & (owner <= last)
+        return t[mine], s[mine]
+
+
+def _gather(block: np.ndarray, axis: int, s: np.ndarray, start: int, extent: int, taps: range, weight, normalize: bool):
+    """Weighted reads along ``axis`` of a block whose first position is ``start``."""
+    base = np.floor(s)
+    weights = [weight(base + k - s) for k in taps]
+    if normalize:
+        mass = sum(weights)
+        weights = [w / np.where(np.abs(mass) > 1e-8, mass, 1.0) for w in weights]
+    shape = [1, 1, 1]
+    shape[axis] = -1
+    reads = (np.clip(base + k, 0, extent - 1).astype(int) - start for k in taps)
+    return sum(np.take(block, at, axis=axis) * w.reshape(shape) for at, w in zip(reads, weights))
+
+
+def resample(
+    sized: DataFrame, axes: tuple[Axis | None, Axis | None], taps: range, weight: Callable, normalize=False, clip=True
+) -> DataFrame:
+    """Resample ``sized`` pixels (which carry ``width`` and ``height``) along y and x."""
     reach = max(abs(taps[0]), abs(taps[-1]))
-    tiles = with_halo(sized, reach, reach)
-    across = _along(tiles, "x", "width", axis_x, taps, weight, normalize)
-    both = _along(across, "y", "height", axis_y, taps, weight, normalize)
-    return both.select(*PIXEL, *[(clamp01(F.col(c)) if clip else F.col(c)).alias(c) for c in RGBA])
-
-
-def _target(extent: str, scale: float) -> Column:
-    return F.greatest(F.round(F.col(extent) * F.lit(float(scale))), F.lit(1.0)).cast("int")
+    along_y, along_x = axes
+    size = 1 << TILE_BITS
+
+    def core(tile: int, extent: int) -> tuple[int, int]:
+        return tile * size, min(tile * size + size, extent) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, tiles in whole_tiles(batches, TILE_KEYS):
+            y, x = column_values(table, "y"), column_values(table, "x")
+            values = np.column_stack([column_values(table, c) for c in RGBA])
+            meta = {c: column_values(table, c) for c in ("tile_y", "tile_x", "width", "height", *shifts)}
+            for rows in tiles:
+                i, ty, tx = rows.start, y[rows], x[rows]
+                block = dense_block(ty, tx, values[rows])
+                spots = []
+                for axis, spec, tile, start in ((0, along_y, "tile_y", ty.min()), (1, along_x, "tile_x", tx.min())):
+                    extent = int(meta["height" if axis == 0 else "width"][i])
+                    first, last = core(int(meta[tile][i]), extent)
+                    if first > last:
+                        spots.append(np.arange(0))
+                        continue
+                    if spec is None:
+                        spots.append(np.arange(first, last + 1))
+                        block = np.take(block, spots[-1] - start, axis=axis)
+                        continue
+                    t, s = spec.targets(extent, float(meta[spec.shift][i]) if spec.shift else 0.0, first, last)
+                    block = _gather(block, axis, s, start, extent, taps, weight, normalize)
+                    spots.append(t)
+                if not len(spots[0]) or not len(spots[1]):
+                    continue
+                flat = block.reshape(-1, len(RGBA))
+                n = len(flat)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.repeat(table.column("asset_id")[i], n), pa.repeat(table.column("frame_no")[i], n),
+                        pa.array(np.repeat(spots[0], len(spots[1])), pa.int32()), pa.array(np.tile(spots[1], len(spots[0])), pa.int32()),
+                        *[pa.array(flat[:, k]) for k in range(len(RGBA))],
+                    ],
+                    names=[*FRAME, "y", "x", *RGBA],
+                )
+
+    shifts = [a.shift for a in axes if a is not None and a.shift]
+    halo = [0 if a is None else reach for a in axes]
+    tiles = with_halo(sized, *halo).sortWithinPartitions(*TILE_KEYS)
+    done = tiles.mapInArrow(run, PIXELS)
+    return done.withColumns({c: clamp01(F.col(c)) for c in RGBA}) if clip else done
+
+
+def _both(scale: float) -> tuple[Axis, Axis]:
+    scale = max(scale, 0.25)
+    return Axis(scale=scale), Axis(scale=scale)
 
 
 def resize_bilinear(px: DataFrame, width: int, height: int, frames: DataFrame | None = None) -> DataFrame:
-    sized = with_dims(px, frames)
-    ax, ay = scaled(F.col("width"), F.lit(max(width, 1))), scaled(F.col("height"), F.lit(max(height, 1)))
-    return resample(sized, ax, ay, range(0, 2), kernels.tent, clip=False)
-
-
-def _upscale(px, scale, taps, weight, normalize, frames):
-    scale = max(scale, 0.25)
-    sized = with_dims(px, frames)
-    ax = scaled(F.col("width"), _target("width", scale))
-    ay = scaled(F.col("height"), _target("height", scale))
-    return resample(sized, ax, ay, taps, weight, normalize)
+    axes = Axis(length=max(height, 1)), Axis(length=max(width, 1))
+    return resample(with_dims(px, frames), axes, range(0, 2), kernels.tent, clip=False)
 
 
 def upscale_mitchell(px: DataFrame, scale: float = 2.0, frames: DataFrame | None = None) -> DataFrame:
-    return _upscale(px, scale, range(-1, 3), kernels.cubic(1 / 3, 1 / 3), False, frames)
+    return resample(with_dims(px, frames), _both(scale), range(-1, 3), kernels.cubic(1 / 3, 1 / 3))
 
 
 def upscale_catmull(px: DataFrame, scale: float = 2.0, frames: DataFrame | None = None) -> DataFrame:
-    return _upscale(px, scale, range(-1, 3), kernels.cubic(0.0, 0.5), False, frames)
+    return resample(with_dims(px, frames), _both(scale), range(-1, 3), kernels.cubic(0.0, 0.5))
 
 
 def upscale_lanczos(px: DataFrame, scale: float = 2.0, lobes: int = 3, frames: DataFrame | None = None) -> DataFrame:
     lobes = min(max(lobes, 2), 6)
-    return _upscale(px, scale, range(1 - lobes, lobes + 1), kernels.lanczos(lobes), True, frames)
+    return resample(with_dims(px, frames), _both(scale), range(1 - lobes, lobes + 1), kernels.lanczos(lobes), normalize=True)
 
 
 def translate(px: DataFrame, motion: DataFrame, subpixel: bool = True, frames: DataFrame | None = None) -> DataFrame:
-    """Shift each frame by its row of ``motion`` (``dx, dy``), edges replicated.
-
-    A source pixel finds its own targets, so the halo is one pixel however far the shift goes.
-    """
-    sized = with_dims(px, frames).join(motion.select(*FRAME, "dx", "dy"), FRAME)
-    if subpixel:
-        dx, dy, taps, weight = F.col("dx"), F.col("dy"), range(0, 2), kernels.tent
-    else:
-        dx, dy, taps, weight = F.round("dx"), F.round("dy"), range(0, 1), lambda d: F.lit(1.0)
-    return resample(sized, shifted(F.col("width"), dx), shifted(F.col("height"), dy), taps, weight, clip=False)
+    """Shift each frame by its row of ``motion`` (``dx, dy``), edges replicated."""
+    moves = motion.select(*FRAME, *[(F.col(d) if subpixel else F.round(d)).cast("double").alias(d) for d in ("dx", "dy")])
+    axes = Axis(shift="dy"), Axis(shift="dx")
+    taps, weight = (range(0, 2), kernels.tent) if subpixel else (range(0, 1), kernels.flat)
+    return resample(with_dims(px, frames).join(moves, FRAME), axes, taps, weight, clip=False)
 
 
 def kernel_gather(px: DataFrame, axis: str, scale: float, frames: DataFrame | None = None) -> DataFrame:
     """One-axis cubic resampling: the building block of the two-axis operators."""
-    scale = max(scale, 0.25)
-    sized = with_dims(px, frames)
-    taps = range(-1, 3)
-    extent = "width" if axis == "x" else "height"
-    tiles = with_halo(sized, 2 if axis == "y" else 0, 2 if axis == "x" else 0)
     if axis not in ("x", "y"):
         raise OperatorError(INVALID_PARAMETER, f"axis must be x or y, got {axis!r}")
-    done = _along(tiles, axis, extent, scaled(F.col(extent), _target(extent, scale)), taps, kernels.cubic(1 / 3, 1 / 3), False)
-    return done.select(*PIXEL, *RGBA)
+    along_y, along_x = _both(scale)
+    axes = (along_y, None) if axis == "y" else (None, along_x)
+    return resample(with_dims(px, frames), axes, range(-1, 3), kernels.cubic(1 / 3, 1 / 3), clip=False)
 
 
 BROADCAST_POINTS = 33  # 33**3 cells of 8 colors are 7 MB, the most that is broadcast by hint

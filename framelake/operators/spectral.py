@@ -7,18 +7,21 @@ one padded frame side), runs the FFT on an Arrow batch of lines, and a shuffle t
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framelake.functions.color import clamp01, luma
-from framelake.functions.tiles import TILE_BITS
+from framelake.functions.tiles import TILE_BITS, TILE_KEYS, column_values, dense_block, whole_tiles
 from framelake.operators.metrics import fuse_median, stack
 from framelake.operators.pointwise import with_dims
 from framelake.operators.resample import translate, upscale_lanczos
+from framelake.operators.stencil import correlate
 from framelake.schemas import FRAME, PIXEL, RGB, RGBA
 from framelake.session import cut_lineage
 
@@ -165,32 +168,36 @@ def _deconvolve_tiles(state: DataFrame, sigma: float, reach: int, steps: int, da
         for axis in (0, 1):
             pad = [(0, 0)] * 3
             pad[axis] = (reach, reach)
-            wide = np.pad(block, pad)
-            block = sum(w / totals[axis] * np.take(wide, range(i, i + block.shape[axis]), axis=axis) for i, w in enumerate(taps))
+            block = correlate(np.pad(block, pad), taps / totals[axis], axis)
         return block
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, x = pdf["vy"].to_numpy(), pdf["vx"].to_numpy()
-        oy, ox = y.min(), x.min()
-        shape = (y.max() - oy + 1, x.max() - ox + 1, 3)
-        est, seen_at = np.zeros(shape), np.zeros(shape)
-        est[y - oy, x - ox] = pdf[RGB].to_numpy()
-        seen_at[y - oy, x - ox] = pdf[[f"o_{c}" for c in RGB]].to_numpy()
-        totals = []
-        for extent in (pdf["height"].iat[0], pdf["width"].iat[0]):
-            n = 1 << max(math.ceil(math.log2(max(extent, 2))), 1)
-            at = np.arange(n)
-            totals.append(np.exp(-(np.where(at <= n // 2, at, at - n) ** 2) / (2 * sigma * sigma)).sum())
-        for _ in range(steps):
-            ratio = seen_at / np.maximum(blur(est, totals), 1e-6)
-            est = est * (1 + (blur(ratio, totals) - 1) * (1 - damping))
-        out = pdf.copy()
-        out[RGB] = est[y - oy, x - ox]
-        own = (pdf["vy"] == pdf["y"]) & (pdf["vx"] == pdf["x"]) & (y // size == pdf["tile_y"]) & (x // size == pdf["tile_x"])
-        return out[own]
-
-    grouped = tiles.groupBy(*FRAME, "tile_y", "tile_x")
-    return grouped.applyInPandas(run, tiles.schema).select(*state.columns)
+    def wrapped_mass(extent: int) -> float:
+        n = 1 << max(math.ceil(math.log2(max(extent, 2))), 1)
+        at = np.arange(n)
+        return float(np.exp(-(np.where(at <= n // 2, at, at - n) ** 2) / (2 * sigma * sigma)).sum())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, spans in whole_tiles(batches, TILE_KEYS):
+            y, x, vy, vx, tile_y, tile_x, height, width = (
+                column_values(table, c) for c in ("y", "x", "vy", "vx", "tile_y", "tile_x", "height", "width")
+            )
+            now = np.column_stack([column_values(table, c) for c in RGB])
+            shown = np.column_stack([column_values(table, f"o_{c}") for c in RGB])
+            for rows in spans:
+                ry, rx = vy[rows] - vy[rows].min(), vx[rows] - vx[rows].min()
+                est, seen_at = dense_block(ry, rx, now[rows]), dense_block(ry, rx, shown[rows])
+                totals = wrapped_mass(int(height[rows.start])), wrapped_mass(int(width[rows.start]))
+                for _ in range(steps):
+                    ratio = seen_at / np.maximum(blur(est, totals), 1e-6)
+                    est = est * (1 + (blur(ratio, totals) - 1) * (1 - damping))
+                now[rows] = est[ry, rx]
+            own = (vy == y) & (vx == x) & (y // size == tile_y) & (x // size == tile_x)
+            for k, c in enumerate(RGB):
+                table = table.set_column(table.column_names.index(c), c, pa.array(now[:, k]))
+            yield from table.filter(pa.array(own)).to_batches()
+
+    placed = tiles.repartition(*TILE_KEYS).sortWithinPartitions(*TILE_KEYS)
+    return placed.mapInArrow(run, placed.schema).select(*state.columns)
 
 
 def _hann(pos: str, extent: str) -> Column:

@@ -1,8 +1,8 @@
 """Neighborhood operators on halo tiles: one exchange each, whatever the frame size.
 
-Narrow separable kernels run as row and column windows inside the tile. Kernels wider than
-``WIDEST_WINDOW`` taps each way and true 2-D filters run as one short numpy function per tile, where
-hundreds of window columns would cost more than the Arrow transfer.
+Minima, sums and differences along lines are row and column windows inside the tile. Weighted sums run as
+one short numpy function per tile: on a million-pixel frame that took a third of the time of
+the same taps as ``lag``/``lead`` columns, and the window form grows by ten columns per tap.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ from framelake.functions.tiles import (
     TILE_KEYS,
     column_line,
     drop_halo,
-    line_pass,
     line_taps,
     row_line,
     tile_map,
@@ -31,51 +30,35 @@ from framelake.functions.tiles import (
 from framelake.operators.pointwise import rect_coverage, rect_or_frame, with_dims
 from framelake.schemas import FRAME, PIXEL, RGB, RGBA
 
-WIDEST_WINDOW = 8
-
-
-def _correlate(block: np.ndarray, weights: list[float], axis: int) -> np.ndarray:
+def correlate(block: np.ndarray, weights: list[float], axis: int) -> np.ndarray:
+    """Weighted sum of shifted copies along one axis; the result is shorter by the kernel."""
     size = block.shape[axis] - len(weights) + 1
-    return sum(w * np.take(block, range(i, i + size), axis=axis) for i, w in enumerate(weights))
+    if axis == 0:
+        return sum(w * block[i : i + size] for i, w in enumerate(weights))
+    return sum(w * block[:, i : i + size] for i, w in enumerate(weights))
 
 
 def blur(px: DataFrame, versions: dict[str, list[float]], cols=RGBA, bits: int = TILE_BITS) -> DataFrame:
     """Add a separable blur of ``cols`` per version; column ``c`` of version ``t`` is ``c_t``."""
     half = max(len(w) // 2 for w in versions.values())
     names = {t: [f"{c}_{t}" for c in cols] for t in versions}
-    if half > WIDEST_WINDOW:
-        wide = px.withColumns({n: F.col(c) for t in versions for c, n in zip(cols, names[t])})
-
-        def both_axes(block):
-            parts = []
-            for k, w in enumerate(versions.values()):
-                trim = half - len(w) // 2
-                part = block[trim : block.shape[0] - trim, trim : block.shape[1] - trim, k * len(cols) : (k + 1) * len(cols)]
-                parts.append(_correlate(_correlate(part, w, 1), w, 0))
-            return np.concatenate(parts, axis=2)
-
-        return tile_map(wide, half, both_axes, [n for t in versions for n in names[t]], bits)
-    rows = with_halo(px, half, half, bits)
-    first = {
-        n: weighted(line_taps(c, len(w) // 2, row_line()), w)
-        for t, w in versions.items()
-        for c, n in zip(cols, names[t])
-    }
-    rows = rows.withColumns(first)
-    second = {
-        n: weighted(line_taps(n, len(w) // 2, column_line()), w) for t, w in versions.items() for n in names[t]
-    }
-    return drop_halo(rows.withColumns(second), bits)
+    wide = px.withColumns({n: F.col(c) for t in versions for c, n in zip(cols, names[t])})
+
+    def both_axes(block):
+        parts = []
+        for k, w in enumerate(versions.values()):
+            trim = half - len(w) // 2
+            part = block[trim : block.shape[0] - trim, trim : block.shape[1] - trim, k * len(cols) : (k + 1) * len(cols)]
+            parts.append(correlate(correlate(part, w, 1), w, 0))
+        return np.concatenate(parts, axis=2)
+
+    return tile_map(wide, half, both_axes, [n for t in versions for n in names[t]], bits)
 
 
 def gaussian(px: DataFrame, sigma: float = 1.0) -> DataFrame:
     """Separable Gaussian over all four channels, edges replicated."""
     weights = kernels.gaussian(max(sigma, 0.1))
-    half = len(weights) // 2
-    if half > WIDEST_WINDOW:
-        return tile_map(px, half, lambda b: _correlate(_correlate(b, weights, 1), weights, 0))
-    tiles = with_halo(px, half, half)
-    return drop_halo(line_pass(line_pass(tiles, RGBA, weights, row_line()), RGBA, weights, column_line()))
+    return tile_map(px, len(weights) // 2, lambda b: correlate(correlate(b, weights, 1), weights, 0))
 
 
 def unsharp_mask(px: DataFrame, amount: float = 0.5, radius: float = 1.0, threshold: float = 0.0) -> DataFrame:
