@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.errors import GRAPH
+from framelake.session import cut_lineage
 
 NODE = ["project_id", "node_id"]
 NIL_NODE = "00000000-0000-0000-0000-000000000000"  # fixed value: node id that carries model conflicts
@@ -88,6 +89,7 @@ def apply_graph(target: DataFrame, source: DataFrame, diff: DataFrame) -> DataFr
 
     Projects with any violation are left as they are. Removing a node also drops it from inputs.
     """
+    diff = cut_lineage(diff)  # read by every branch below
     broken = graph_diff_errors(target, diff).select("project_id").distinct()
     usable = diff.join(broken, "project_id", "left_anti")
     pick = lambda change: usable.where(F.col("change") == change).select("project_id", F.col("item").alias("node_id"))

@@ -59,17 +59,20 @@ def topo_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         "project_id", F.col("anchor"), "dst", (F.col("far") + 1).alias("length")
     )
     need = long_edges.groupBy("project_id", "dst").agg(F.count(F.lit(1)).alias("need"))
-    levels = cut_lineage(hop.where("fan = 0").select("project_id", F.col("node_id").alias("anchor"), F.lit(0).cast("bigint").alias("level")))
-    open_nodes = not need.isEmpty()
-    while open_nodes:
-        arrived = long_edges.join(levels, ["project_id", "anchor"]).groupBy("project_id", "dst").agg(
-            F.count(F.lit(1)).alias("got"), F.max(F.col("level") + F.col("length")).alias("level")
+    long_edges = cut_lineage(long_edges.join(need, ["project_id", "dst"]))
+    # Each round hands on only the levels found last, so every edge is joined once in all.
+    fresh = hop.where("fan = 0").select("project_id", F.col("node_id").alias("anchor"), F.lit(0).cast("bigint").alias("level"))
+    levels, waiting = fresh, None
+    while not fresh.isEmpty():
+        arrived = long_edges.join(fresh, ["project_id", "anchor"]).select(
+            "project_id", "dst", "need", F.lit(1).alias("got"), (F.col("level") + F.col("length")).alias("level")
         )
-        ready = arrived.join(need, ["project_id", "dst"]).where("got = need").select("project_id", F.col("dst").alias("anchor"), "level")
-        fresh = cut_lineage(ready.join(levels, ["project_id", "anchor"], "left_anti"))
-        open_nodes = not fresh.isEmpty()
-        if open_nodes:
-            levels = cut_lineage(levels.unionByName(fresh))
+        if waiting is not None:
+            arrived = arrived.unionByName(waiting)
+        seen = cut_lineage(arrived.groupBy("project_id", "dst").agg(F.max("need").alias("need"), F.sum("got").alias("got"), F.max("level").alias("level")))
+        waiting = seen.where("got < need")
+        fresh = seen.where("got = need").select("project_id", F.col("dst").alias("anchor"), "level")
+        levels = levels.unionByName(fresh)
     known = levels.withColumnRenamed("anchor", "up").withColumnRenamed("level", "base")
     done = placed.join(known, ["project_id", "up"], "left").select(*NODE, (F.col("base") + F.col("far")).alias("level"))
     return nodes.select(*NODE).join(done, NODE, "left").withColumn("level", F.coalesce("level", F.lit(-1).cast("bigint")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["pixels", "stencils"]
+FAMILIES = ["pixels", "stencils", "records", "signals", "corpora"]
 
 
 def _load():

@@ -56,7 +56,7 @@ STEREO = SND + """, stereo AS (SELECT asset_id, channel, n, v FROM snd UNION ALL
 
 ENTRIES = """entries AS (
   SELECT CAST(user_id AS VARCHAR) AS case_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq,
-    strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS at, 'op' || (event_id % 7) AS operator_key,
+    strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS "at", 'op' || (event_id % 7) AS operator_key,
     CASE event_type WHEN 'signup' THEN 'case-init' WHEN 'view' THEN 'render' WHEN 'click' THEN 'note' WHEN 'purchase' THEN 'sign-off' ELSE 'note' END AS action,
     CASE WHEN event_type = 'purchase' THEN 'decision: ' || CASE WHEN value > 50 THEN 'approve' ELSE 'reject' END ELSE '' END AS note,
     CASE WHEN event_type = 'view' THEN 'sha256:' || sha256(CAST(event_id AS VARCHAR)) END AS input_hash,
@@ -81,7 +81,7 @@ def hmac_sql(message: str) -> str:
 def head_sql(t: str = "") -> str:
     opt = lambda c: f"CASE WHEN {t}{c} IS NULL THEN '' ELSE ',\"{c}\":\"' || {t}{c} || '\"' END"
     fields = ["case_id", "input_hash", "input_sha256", "note", "operator_key", "output_hash", "output_sha256"]
-    return f"""'{{"action":"' || {t}action || '","at":"' || {t}at || '"' || {" || ".join(opt(c) for c in fields)} || ',"prev_link":"'"""
+    return f"""'{{"action":"' || {t}action || '","at":"' || {t}"at" || '"' || {" || ".join(opt(c) for c in fields)} || ',"prev_link":"'"""
 
 
 def tail_sql(t: str = "") -> str:
