@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.session import cut_lineage
+
 
 def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, name: str) -> DataFrame:
     """Zero-based position of every row within ``keys`` under ``order``.
@@ -101,19 +103,16 @@ def top_share(
         .where(F.col("_above") < F.col("_keep"))
         .withColumn("_whole", F.col("_above") + F.col("_in_bin") <= F.col("_keep"))
     )
-    candidates = binned.join(cut, [*keys, "_bin"])
-    sure = candidates.where("_whole")
-    # The cut bin: counts per (score, line) give each line its offset, then rank inside the line.
-    border = candidates.where(~F.col("_whole"))
+    # Few rows beyond the answer get here; they are read twice below.
+    candidates = cut_lineage(binned.join(cut, [*keys, "_bin"]))
+    # In the cut bin, counts per (score, line) give each line its offset; rows rank inside the line.
     order = [F.desc(score), F.asc(first)]
     before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    lines = border.groupBy(*keys, score, first).agg(F.count(F.lit(1)).alias("_in_line")).withColumn(
-        "_line_offset", F.coalesce(F.sum("_in_line").over(before), F.lit(0))
+    lines = (
+        candidates.where(~F.col("_whole")).groupBy(*keys, score, first).agg(F.count(F.lit(1)).alias("_in_line"))
+        .withColumn("_line_offset", F.coalesce(F.sum("_in_line").over(before), F.lit(0))).drop("_in_line")
     )
     inside = Window.partitionBy(*keys, score, first).orderBy(*rest)
-    ranked = (
-        border.withColumn("_rank", F.row_number().over(inside))
-        .join(lines.drop("_in_line"), [*keys, score, first])
-        .where(F.col("_above") + F.col("_line_offset") + F.col("_rank") <= F.col("_keep"))
-    )
-    return sure.select(*df.columns).unionByName(ranked.select(*df.columns))
+    ranked = candidates.withColumn("_rank", F.row_number().over(inside)).join(lines, [*keys, score, first], "left")
+    fits = F.col("_above") + F.col("_line_offset") + F.col("_rank") <= F.col("_keep")
+    return ranked.where(F.col("_whole") | fits).select(*df.columns)

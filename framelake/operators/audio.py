@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.errors import INVALID_PARAMETER, LAYOUT, OperatorError
+from framelake.session import cut_lineage
 
 CHANNEL = ["asset_id", "channel"]
 
@@ -150,12 +151,22 @@ def block_energy(samples: DataFrame, block: int, step: int, name: str = "energy"
     Samples first collapse to one partial sum per step (combined before the shuffle); only those
     partials are handed to the ``block/step`` blocks they belong to.
     """
+    return blocks_of(step_energy(samples, step), block, step, name)
+
+
+def step_energy(samples: DataFrame, step: int) -> DataFrame:
+    """Sum of squares, sample count and channel count per step of an asset."""
+    per_channel = samples.groupBy(*CHANNEL, F.expr(f"n div {step}").alias("sk")).agg(
+        F.sum(F.col("v") * F.col("v")).alias("e"), F.count(F.lit(1)).alias("cnt")
+    )
+    return per_channel.groupBy("asset_id", "sk").agg(F.sum("e").alias("e"), F.sum("cnt").alias("cnt"), F.count(F.lit(1)).alias("ch"))
+
+
+def blocks_of(steps: DataFrame, block: int, step: int, name: str = "energy") -> DataFrame:
+    """Full blocks from step sums."""
     if block % step:
         raise OperatorError(INVALID_PARAMETER, "block must be a whole number of steps")
     span = block // step
-    steps = samples.groupBy("asset_id", F.expr(f"n div {step}").alias("sk")).agg(
-        F.sum(F.col("v") * F.col("v")).alias("e"), F.count_distinct("channel").alias("ch"), F.count(F.lit(1)).alias("cnt")
-    )
     return (
         steps.withColumn("block", F.explode(F.sequence(F.greatest(F.col("sk") - span + 1, F.lit(0)), F.col("sk"))))
         .groupBy("asset_id", "block").agg((F.sum("e") / block).alias(name), F.sum("cnt").alias("_cnt"), F.max("ch").alias("_ch"))
@@ -180,13 +191,17 @@ def integrated(blocks: DataFrame) -> DataFrame:
 
 
 def loudness(weighted: DataFrame, momentary: int, short_term: int, step: int) -> DataFrame:
-    """Integrated loudness with the loudest momentary and short-term blocks."""
-    blocks = block_energy(weighted, momentary, step)
+    """Integrated loudness with the loudest momentary and short-term blocks.
+
+    The samples are read once, into step sums; everything after works on those.
+    """
+    steps = cut_lineage(step_energy(weighted, step))
+    blocks = blocks_of(steps, momentary, step)
     peak_m = blocks.groupBy("asset_id").agg(lufs(F.max("energy")).alias("max_momentary_lufs"))
-    peak_s = block_energy(weighted, short_term, step).groupBy("asset_id").agg(lufs(F.max("energy")).alias("max_short_term_lufs"))
+    peak_s = blocks_of(steps, short_term, step).groupBy("asset_id").agg(lufs(F.max("energy")).alias("max_short_term_lufs"))
     silent = F.lit(float("-inf"))
     return (
-        weighted.select("asset_id").distinct().join(integrated(blocks), "asset_id", "left").join(peak_m, "asset_id", "left").join(peak_s, "asset_id", "left")
+        steps.select("asset_id").distinct().join(integrated(blocks), "asset_id", "left").join(peak_m, "asset_id", "left").join(peak_s, "asset_id", "left")
         .select("asset_id", *[F.coalesce(c, silent).alias(c) for c in ("integrated_lufs", "max_momentary_lufs", "max_short_term_lufs")])
     )
 

@@ -91,13 +91,13 @@ def apply_graph(target: DataFrame, source: DataFrame, diff: DataFrame) -> DataFr
     """
     diff = cut_lineage(diff)  # read by every branch below
     broken = graph_diff_errors(target, diff).select("project_id").distinct()
-    usable = diff.join(broken, "project_id", "left_anti")
+    usable = cut_lineage(diff.join(broken, "project_id", "left_anti"))
     pick = lambda change: usable.where(F.col("change") == change).select("project_id", F.col("item").alias("node_id"))
     removed, added, changed = pick("node_removed"), pick("node_added"), pick("node_changed")
     kept = target.join(removed, NODE, "left_anti").join(added, NODE, "left_anti")
     fresh = source.select(*NODE, F.col("params").alias("_new")).join(changed, NODE, "left_semi")
     updated = kept.join(fresh, NODE, "left").withColumn("params", F.coalesce("_new", "params")).drop("_new")
-    nodes = updated.unionByName(source.select(*target.columns).join(added, NODE, "left_semi"))
+    nodes = cut_lineage(updated.unionByName(source.select(*target.columns).join(added, NODE, "left_semi")))
     # Inputs follow the edge changes: drop removed nodes and edges, append added edges once.
     split = F.split("item", "->")
     by_kind = lambda change: usable.where(F.col("change") == change).select(
@@ -106,9 +106,10 @@ def apply_graph(target: DataFrame, source: DataFrame, diff: DataFrame) -> DataFr
     wires = nodes.select(*NODE, F.posexplode("inputs").alias("pos", "src"))
     gone_nodes = removed.join(added, NODE, "left_anti").select("project_id", F.col("node_id").alias("src"))
     wires = wires.join(gone_nodes, ["project_id", "src"], "left_anti").join(by_kind("edge_removed"), [*NODE, "src"], "left_anti")
-    extra = by_kind("edge_added").join(wires, [*NODE, "src"], "left_anti").withColumn("pos", F.lit(1 << 30))
+    extra = by_kind("edge_added").withColumn("pos", F.lit(1 << 30))
+    wired = wires.select(*NODE, "pos", "src").unionByName(extra.select(*NODE, "pos", "src")).groupBy(*NODE, "src").agg(F.min("pos").alias("pos"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "src"))), lambda s: s["src"])
-    inputs = wires.select(*NODE, "pos", "src").unionByName(extra.select(*NODE, "pos", "src")).groupBy(*NODE).agg(ordered.alias("_in"))
+    inputs = wired.groupBy(*NODE).agg(ordered.alias("_in"))
     none = F.array().cast("array<string>")
     return nodes.join(inputs, NODE, "left").withColumn("inputs", F.coalesce("_in", none)).drop("_in")
 

@@ -119,14 +119,13 @@ def frame_stats(px: DataFrame) -> DataFrame:
     """Luma percentiles at floored ranks, mean chroma, mean edge, and channel means per frame."""
     lit = px.withColumn("lum", luma())
     ranks = order_statistics(lit, FRAME, "lum", {"p01": 0.005, "p50": 0.5, "p99": 0.995})
-    means = lit.groupBy(*FRAME).agg(
+    means = edge_step(px, keep_first=True).groupBy(*FRAME).agg(
+        F.coalesce(F.avg("edge"), F.lit(0.0)).alias("edge_mean"),
         F.avg(F.greatest(*RGB) - F.least(*RGB)).alias("chroma_mean"),
         F.avg((F.col("r") + F.col("g") + F.col("b")) / 3.0).alias("luminance_mean"),
         *[F.avg(c).alias(f"{c}_mean") for c in RGB],
     )
-    edges = edge_step(px).groupBy(*FRAME).agg(F.avg("edge").alias("edge_mean"))
-    joined = ranks.join(means, FRAME).join(edges, FRAME, "left")
-    return joined.withColumn("edge_mean", F.coalesce("edge_mean", F.lit(0.0)))
+    return ranks.join(means, FRAME)
 
 
 CAST_EPS = 0.012  # fixed value: deviation at which a tint is named

@@ -342,8 +342,9 @@ def demosaic_bilinear(cfa: DataFrame, black: float = 0.0, white: float = 1.0, pa
     return drop_halo(tiles).select(*PIXEL, *[e.alias(c) for c, e in full.items()], F.lit(1.0).alias("a"))
 
 
-def edge_step(px: DataFrame) -> DataFrame:
-    """Absolute luma difference to the left neighbor; the first column has none."""
+def edge_step(px: DataFrame, keep_first: bool = False) -> DataFrame:
+    """Absolute luma difference to the left neighbor; the first column has none and is dropped unless kept as null."""
     tiles = with_halo(px.withColumn("lum", luma()), 0, 1)
     left = F.lag("lum").over(row_line())
-    return drop_halo(tiles.withColumn("edge", F.abs(F.col("lum") - left))).where(F.col("edge").isNotNull())
+    steps = drop_halo(tiles.withColumn("edge", F.abs(F.col("lum") - left)))
+    return steps if keep_first else steps.where(F.col("edge").isNotNull())

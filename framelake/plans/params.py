@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.errors import INVALID_PARAMETER
+from framelake.plans.catalogue import Param
 
 
 def parse_kv(raw: DataFrame) -> DataFrame:
@@ -50,14 +53,12 @@ def param_errors(given: DataFrame, specs: DataFrame, strict: bool = False) -> Da
     )
 
 
-def fill_params(given: DataFrame, specs: DataFrame, owners: DataFrame, strict: bool = False) -> DataFrame:
+def fill_params(given: DataFrame, specs: Sequence[Param], owners: DataFrame, spec_rows: DataFrame, strict: bool = False) -> DataFrame:
     """Typed value of every spec for every owner without errors; missing keys take defaults."""
-    spec = specs.select(F.struct("key", "kind", "def_b", "def_i", "def_d", "def_s").alias("sp"))
-    wanted = F.broadcast(spec.agg(F.collect_list("sp").alias("specs")).withColumn("_one", F.lit(1)))  # one row, under 200 structs
-    every = owners.select("owner_id").withColumn("_one", F.lit(1)).join(wanted, "_one").select("owner_id", F.explode("specs").alias("sp")).select("owner_id", "sp.*")
-    good = every.join(param_errors(given, specs, strict).select("owner_id").distinct(), "owner_id", "left_anti")
+    wanted = F.array(*[_literal(p) for p in specs])
+    good = owners.select("owner_id").join(param_errors(given, spec_rows, strict).select("owner_id").distinct(), "owner_id", "left_anti")
     own = given.select("owner_id", "key", F.lit(True).alias("_set"), "b", "i", "d", "s")
-    joined = good.join(own, ["owner_id", "key"], "left")
+    joined = good.select("owner_id", F.inline(wanted)).join(own, ["owner_id", "key"], "left")
     is_set = F.col("_set").isNotNull()
     return joined.select(
         "owner_id", "key", "kind",
@@ -68,6 +69,14 @@ def fill_params(given: DataFrame, specs: DataFrame, owners: DataFrame, strict: b
     )
 
 
+def _literal(p: Param) -> Column:
+    pick = lambda kinds, sql_type: F.lit(p.default if p.kind in kinds else None).cast(sql_type)
+    return F.struct(
+        F.lit(p.key).alias("key"), F.lit(p.kind).alias("kind"), pick(("bool",), "boolean").alias("def_b"), pick(("int",), "bigint").alias("def_i"),
+        pick(("float",), "double").alias("def_d"), pick(("string", "choice"), "string").alias("def_s"),
+    )
+
+
 def entitled(owners: DataFrame, feature: str, as_of) -> DataFrame:
     """Owners whose entitlement holds ``feature`` and has not expired at ``as_of``."""
     alive = F.col("expires").isNull() | (F.lit(as_of).cast("timestamp_ntz") < F.col("expires"))

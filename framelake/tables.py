@@ -9,7 +9,7 @@ from framelake.functions.color import clamp01
 from framelake.functions.ordering import positions
 from framelake.operators.provenance import GENESIS, chain_append
 
-FRAME_ROWS, FRAME_COLS = 50, 21
+FRAME_ROWS, FRAME_COLS, FRAMES_PER_ASSET = 50, 21, 4
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,13 +17,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def px_emb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embedding rows as scan lines: 50 vectors make one 50x21 frame, three values make one pixel."""
+    """Embedding rows as scan lines: 50 vectors make one 50x21 frame, three values one pixel, four frames one asset."""
     value = [clamp01(F.get(F.col("embedding"), F.col("x") * 3 + k).cast("double") + 0.5) for k in range(3)]
     return (
         read(spark, sf_dir, "embeddings")
         .select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(FRAME_COLS - 1))).alias("x"))
         .select(
-            F.lit("emb").alias("asset_id"),
+            F.expr(f"concat('emb', vec_id div {FRAME_ROWS * FRAMES_PER_ASSET})").alias("asset_id"),
             F.expr(f"cast(vec_id div {FRAME_ROWS} as int)").alias("frame_no"),
             F.expr(f"cast(vec_id % {FRAME_ROWS} as int)").alias("y"),
             "x",

@@ -16,10 +16,10 @@ from framelake.workload.pixels import pair
 from framelake.workload.registry import pixels, query, r9
 from framelake.workload.sql import (
     AUDIT_BAD,
+    DIMS,
     KEY,
     LUMA,
     PX_EMB,
-    PX_LI,
     PX_PAIR,
     PX_U8,
     checked,
@@ -95,22 +95,22 @@ _templates("rec.palette_chain", "palette")
 # Recipes over corpora
 
 
-_LI_DIMS = "dims AS (SELECT DISTINCT asset_id, frame_no, 11 AS w, 50 AS h FROM px_li)"
 _BC = lambda c: clamp01(f"({c}-0.5)*1.2+0.5+0.05")
 _SAT = lambda c: clamp01(f"({LUMA}) + ({c}-({LUMA}))*1.3")
 _P = ", ".join("p." + c.strip() for c in KEY.split(","))
+_PICK = "CAST(substr(asset_id, 4) AS BIGINT) % 3"
 
 
-@query("rec.apply_chain", f"""WITH {PX_LI}, {_LI_DIMS}, s0 AS (SELECT {KEY}, a, {rgb(_BC)} FROM px_li WHERE CAST(asset_id AS BIGINT) % 3 = 0), r0 AS (SELECT {KEY}, {rgb(_SAT)} FROM s0),
-  p1 AS (SELECT * FROM px_li WHERE CAST(asset_id AS BIGINT) % 3 = 1), {taps('k', 1.0, 3)}, {conv('p1', 'g1x', 'k', 'x', 'rgb')}, {conv('g1x', 'g1', 'k', 'y', 'rgb')}, {conv('g1', 'g2x', 'k', 'x', 'rgb')}, {conv('g2x', 'g2', 'k', 'y', 'rgb')},
+@query("rec.apply_chain", f"""WITH {PX_EMB}, {DIMS}, s0 AS (SELECT {KEY}, a, {rgb(_BC)} FROM px_emb WHERE {_PICK} = 0), r0 AS (SELECT {KEY}, {rgb(_SAT)} FROM s0),
+  p1 AS (SELECT * FROM px_emb WHERE {_PICK} = 1), {taps('k', 1.0, 3)}, {conv('p1', 'g1x', 'k', 'x', 'rgb')}, {conv('g1x', 'g1', 'k', 'y', 'rgb')}, {conv('g1', 'g2x', 'k', 'x', 'rgb')}, {conv('g2x', 'g2', 'k', 'y', 'rgb')},
   r1 AS (SELECT {_P}, {", ".join(f"{clamp01(f'p.{c} + 0.6*CASE WHEN abs(p.{c}-s.{c}) < 0.01 THEN 0.0 ELSE p.{c}-s.{c} END')} AS {c}" for c in "rgb")} FROM g1 p JOIN g2 s USING ({KEY})),
-  r2 AS (SELECT {KEY}, {LUMA} AS r, {LUMA} AS g, {LUMA} AS b FROM px_li WHERE CAST(asset_id AS BIGINT) % 3 = 2)
-  SELECT {KEY}, {", ".join(f"round({c}, 11) AS {c}" for c in "rgb")} FROM (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2)""")
+  r2 AS (SELECT {KEY}, {LUMA} AS r, {LUMA} AS g, {LUMA} AS b FROM px_emb WHERE {_PICK} = 2)
+  SELECT {KEY}, {", ".join(f"round({c}, 9) AS {c}" for c in "rgb")} FROM (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2)""")
 def apply_chain(spark, sf):
-    px = t.px_li(spark, sf)
-    recipe = (F.col("s_suppkey") % 3).cast("string").alias("recipe_id")
-    assigned = t.read(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("asset_id"), recipe)
-    return pixels(chain.apply_recipes(px, assigned, {str(k): v for k, v in t.RECIPES.items()}), RGB, digits=11)
+    px = t.px_emb(spark, sf)
+    recipe = (F.substring("asset_id", 4, 9).cast("bigint") % 3).cast("string").alias("recipe_id")
+    assigned = px.select("asset_id").distinct().select("asset_id", recipe)
+    return pixels(chain.apply_recipes(px, assigned, {str(k): v for k, v in t.RECIPES.items()}), RGB)
 
 
 SNAPSHOT_STEPS = [
@@ -175,7 +175,7 @@ def golden_refresh(spark, sf):
 # User functions
 
 
-@query("ml.batch_predict", f"WITH {PX_U8} SELECT asset_id, frame_no, CAST(ch*1050 + y*21 + x AS INTEGER) AS i, round(1.0 - CAST(CAST(v/255.0 AS FLOAT) AS DOUBLE), 6) AS v FROM px_u8, LATERAL (SELECT unnest([0,1,2]) AS ch, unnest([r,g,b]) AS v) u")
+@query("ml.batch_predict", f"WITH {PX_U8} SELECT asset_id, frame_no, CAST(ch*1050 + y*21 + x AS INTEGER) AS i, round(CAST(CAST(1 AS FLOAT) - CAST(v/255.0 AS FLOAT) AS DOUBLE), 6) AS v FROM px_u8, LATERAL (SELECT unnest([0,1,2]) AS ch, unnest([r,g,b]) AS v) u")
 def batch_predict(spark, sf):
     tensors = layout.frame_to_chw(t.px_emb_u8(spark, sf), 255.0)
     done = udfs.batch_predict(tensors, udfs.invert_model, (3, t.FRAME_ROWS, t.FRAME_COLS))

@@ -8,7 +8,7 @@ from framelake import tables as t
 from framelake.operators import diffmerge, graphs, provenance
 from framelake.plans import chain as chains
 from framelake.plans import params
-from framelake.plans.catalogue import Registry
+from framelake.plans.catalogue import Effect, Param, Registry
 from framelake.sources import images, luts, recipes
 from framelake.sources import tables as src
 from framelake.workload.registry import query
@@ -29,14 +29,7 @@ from framelake.workload.sql import (
 
 # Parameters and sources
 
-_SPECS = [("k", "float", 1.0, 0.0, 90.0), ("gain", "float", 1.0, None, None)]
-
-
-def _specs(spark):
-    rows = [("test", k, kind, None, None, d, None, lo, hi, []) for k, kind, d, lo, hi in _SPECS]
-    from framelake.schemas import PARAM_SPECS
-
-    return spark.createDataFrame(rows, PARAM_SPECS)
+_REGISTRY = Registry([Effect("test", lambda px: px, (Param("k", "float", 1.0, 0.0, 90.0), Param("gain", "float", 1.0)))])
 
 
 _KV = """kv AS (SELECT CAST(event_id AS VARCHAR) AS owner_id, 'k=' || json_extract_string(props, '$.k') AS kv FROM events
@@ -53,14 +46,14 @@ def kv_params(spark, sf):
 @query("param.validate_errors", """SELECT CAST(event_id AS VARCHAR) AS owner_id, 'bogus' AS key, 'INVALID_PARAMETER' AS code, 'unknown parameter' AS reason FROM events WHERE event_id % 50 = 0
   UNION ALL SELECT CAST(event_id AS VARCHAR), 'k', 'INVALID_PARAMETER', 'above max' FROM events WHERE CAST(json_extract_string(props, '$.k') AS DOUBLE) > 90""")
 def param_errors(spark, sf):
-    return params.param_errors(params.parse_kv(t.par_ev(spark, sf)), _specs(spark), strict=True)
+    return params.param_errors(params.parse_kv(t.par_ev(spark, sf)), _REGISTRY.spec_rows(spark), strict=True)
 
 
 @query("param.validate_fill", """WITH e AS (SELECT CAST(event_id AS VARCHAR) AS owner_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events WHERE event_id % 50 <> 0)
   SELECT owner_id, 'k' AS key, k AS value FROM e UNION ALL SELECT owner_id, 'gain', 1.0 FROM e""")
 def validate_fill(spark, sf):
     given = params.parse_kv(t.par_ev(spark, sf))
-    return params.fill_params(given, _specs(spark), given.select("owner_id").distinct()).select("owner_id", "key", F.col("d").alias("value"))
+    return params.fill_params(given, _REGISTRY.get("test").params, given.select("owner_id").distinct(), _REGISTRY.spec_rows(spark)).select("owner_id", "key", F.col("d").alias("value"))
 
 
 @query("entitlement.filter", """SELECT CAST(c_custkey AS VARCHAR) AS owner_id, c_mktsegment AS edition FROM customer

@@ -60,10 +60,7 @@ def integrated(spark, sf):
   pm AS (SELECT asset_id, max(energy) AS pm FROM bm GROUP BY 1), ps AS (SELECT asset_id, max(energy) AS ps FROM bs GROUP BY 1)
   SELECT asset_id, round({_LUFS.format('m2')}, 9) AS integrated_lufs, round({_LUFS.format('pm')}, 9) AS max_momentary_lufs, round({_LUFS.format('ps')}, 9) AS max_short_term_lufs FROM g2 JOIN pm USING (asset_id) JOIN ps USING (asset_id)""")
 def loudness(spark, sf):
-    from framelake.session import cut_lineage
-
-    weighted = cut_lineage(audio.k_weight(t.snd_ev(spark, sf)))
-    done = audio.loudness(weighted, MOMENTARY, SHORT_TERM, STEP)
+    done = audio.loudness(audio.k_weight(t.snd_ev(spark, sf)), MOMENTARY, SHORT_TERM, STEP)
     return done.select("asset_id", *[r9(c) for c in ("integrated_lufs", "max_momentary_lufs", "max_short_term_lufs")])
 
 
@@ -75,11 +72,11 @@ def true_peak(spark, sf):
 
 
 @query("au.normalize_lufs", f"""WITH {SND}, {_blocks('snd', 'bm', MOMENTARY)}, {INTEGRATED}, pk AS (SELECT asset_id, max(abs(v)) AS p FROM snd GROUP BY 1), gn AS (SELECT asset_id, least(pow(10.0, (-6.0 - ({_LUFS.format('m2')}))/20.0), (1.0-1e-4)/p) AS gain FROM g2 JOIN pk USING (asset_id))
-  SELECT asset_id, channel, n, round(v*gain, 12) AS v FROM snd JOIN gn USING (asset_id)""")
+  SELECT asset_id, channel, n, round(v*gain, 9) AS v FROM snd JOIN gn USING (asset_id)""")
 def normalize(spark, sf):
     snd = t.snd_ev(spark, sf)
     measured = audio.integrated(audio.block_energy(snd, MOMENTARY, STEP))
-    return audio.normalize_lufs(snd, measured, -6.0).select("asset_id", "channel", "n", r9("v", 12))
+    return audio.normalize_lufs(snd, measured, -6.0).select("asset_id", "channel", "n", r9("v"))
 
 
 FRAME_SIZE, RATE, NOISE_SECS = 64, 48000, 0.005
@@ -188,12 +185,12 @@ def richardson_lucy(spark, sf):
 _FY = "asset_id, frame_no, y"
 _FX = "asset_id, frame_no, x"
 SHIFTS = f"""wn AS (SELECT asset_id, frame_no, y, x, ({LUMA})*(0.5-0.5*cos(2*pi()*x/20.0))*(0.5-0.5*cos(2*pi()*y/49.0)) AS re, CAST(0.0 AS DOUBLE) AS im FROM px_emb), {dft('wn', 'fx1', 'x', 32, _FY)}, {dft('fx1', 'fx2', 'y', 64, _FX)},
-  cp AS (SELECT b.asset_id, b.frame_no, b.y, b.x, a.re*b.re + a.im*b.im AS cr, a.im*b.re - a.re*b.im AS ci FROM fx2 b JOIN fx2 a ON a.asset_id=b.asset_id AND a.frame_no=0 AND a.y=b.y AND a.x=b.x),
+  cp AS (SELECT b.asset_id, b.frame_no, b.y, b.x, a.re*b.re + a.im*b.im AS cr, a.im*b.re - a.re*b.im AS ci FROM fx2 b JOIN fx2 a ON a.asset_id=b.asset_id AND a.frame_no=b.frame_no//4*4 AND a.y=b.y AND a.x=b.x),
   cn AS (SELECT asset_id, frame_no, y, x, cr/(sqrt(cr*cr+ci*ci)+1e-12) AS re, ci/(sqrt(cr*cr+ci*ci)+1e-12) AS im FROM cp), {dft('cn', 'cx1', 'x', 32, _FY, 1, '(1/32.0)')}, {dft('cx1', 'cx2', 'y', 64, _FX, 1, '(1/64.0)')},
   sf AS MATERIALIZED (SELECT asset_id, frame_no, y, x, round(re, 12) AS v FROM cx2), pk AS (SELECT asset_id, frame_no, y AS py, x AS px, v AS pv FROM (SELECT *, row_number() OVER (PARTITION BY asset_id, frame_no ORDER BY v DESC, y, x) AS rn FROM sf) WHERE rn = 1),
   nb AS (SELECT pk.*, a.v AS xm, b.v AS xp, c.v AS ym, d.v AS yp FROM pk JOIN sf a ON a.frame_no=pk.frame_no AND a.y=py AND a.x=(px+31)%32 JOIN sf b ON b.frame_no=pk.frame_no AND b.y=py AND b.x=(px+1)%32 JOIN sf c ON c.frame_no=pk.frame_no AND c.x=px AND c.y=(py+63)%64 JOIN sf d ON d.frame_no=pk.frame_no AND d.x=px AND d.y=(py+1)%64),
   sb AS (SELECT *, px + CASE WHEN abs(xm-2*pv+xp) < 1e-12 THEN 0.0 ELSE 0.5*(xm-xp)/(xm-2*pv+xp) END AS ux, py + CASE WHEN abs(ym-2*pv+yp) < 1e-12 THEN 0.0 ELSE 0.5*(ym-yp)/(ym-2*pv+yp) END AS uy FROM nb),
-  shifts AS MATERIALIZED (SELECT asset_id, frame_no, CASE WHEN frame_no = 0 THEN 0.0 ELSE -CASE WHEN ux > 16 THEN ux-32 ELSE ux END END AS dx, CASE WHEN frame_no = 0 THEN 0.0 ELSE -CASE WHEN uy > 32 THEN uy-64 ELSE uy END END AS dy, CASE WHEN frame_no = 0 THEN 1.0 ELSE {clamp01('pv')} END AS peak FROM sb)"""
+  shifts AS MATERIALIZED (SELECT asset_id, frame_no, CASE WHEN frame_no % 4 = 0 THEN 0.0 ELSE -CASE WHEN ux > 16 THEN ux-32 ELSE ux END END AS dx, CASE WHEN frame_no % 4 = 0 THEN 0.0 ELSE -CASE WHEN uy > 32 THEN uy-64 ELSE uy END END AS dy, CASE WHEN frame_no % 4 = 0 THEN 1.0 ELSE {clamp01('pv')} END AS peak FROM sb)"""
 
 
 @query("fx.phase_correlate", f"WITH {PX_EMB}, {SHIFTS} SELECT asset_id, frame_no, round(dx, 6) AS dx, round(dy, 6) AS dy, round(peak, 9) AS peak FROM shifts")

@@ -17,7 +17,7 @@ def rgb(fn, cols: str = "rgb") -> str:
 
 
 PX_EMB = """px_emb AS (
-  SELECT 'emb' AS asset_id, CAST(vec_id // 50 AS INTEGER) AS frame_no, CAST(vec_id % 50 AS INTEGER) AS y, CAST(x AS INTEGER) AS x,
+  SELECT 'emb' || (vec_id // 200) AS asset_id, CAST(vec_id // 50 AS INTEGER) AS frame_no, CAST(vec_id % 50 AS INTEGER) AS y, CAST(x AS INTEGER) AS x,
     least(greatest(CAST(embedding[3*x+1] AS DOUBLE) + 0.5, 0.0), 1.0) AS r,
     least(greatest(CAST(embedding[3*x+2] AS DOUBLE) + 0.5, 0.0), 1.0) AS g,
     least(greatest(CAST(embedding[3*x+3] AS DOUBLE) + 0.5, 0.0), 1.0) AS b,
