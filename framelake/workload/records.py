@@ -126,6 +126,12 @@ def kind_of(spark, sf):
     return t.read(spark, sf, "pages").select("page_id", images.kind_of(F.concat("url", ext)).alias("kind"))
 
 
+@query("src.binary_inventory")
+def binary_inventory(spark, sf):
+    files = images.binary_inventory(spark, sf)
+    return files.select(F.regexp_extract("uri", "[^/]+$", 0).alias("name"), "size", "hash", "kind")
+
+
 # Joins and batch bookkeeping
 
 _BLOBS = "blobs AS (SELECT CAST(doc_id AS VARCHAR) AS blob_id, 'sha256:' || sha256(text) AS hash, n_chars AS size, source FROM documents)"
