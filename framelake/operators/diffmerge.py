@@ -141,17 +141,16 @@ def merge_nodes(base: DataFrame, theirs: DataFrame) -> DataFrame:
 
 
 def merge_conflicts(base: DataFrame, theirs: DataFrame, models_base: DataFrame, models_theirs: DataFrame) -> DataFrame:
-    """Nodes on both sides with differing parameters, and models pinned differently.
+    """Parameters that differ on nodes of both sides, and models pinned differently, one row per key.
 
-    The comparison is per node on its own parameter maps, so no group of keys is gathered.
+    Keys are compared inside each node's own pair of maps and never gathered per project.
     """
     both = base.select(*NODE, F.col("params").alias("pa")).join(theirs.select(*NODE, F.col("params").alias("pb")), NODE)
-    names = F.array_sort(F.array_union(F.map_keys("pa"), F.map_keys("pb")))
+    names = F.array_union(F.map_keys("pa"), F.map_keys("pb"))
     differ = F.filter(names, lambda k: ~F.try_element_at("pa", k).eqNullSafe(F.try_element_at("pb", k)))
-    nodes = both.withColumn("param_keys", F.array_join(differ, ",")).where(F.size(differ) > 0).select(*NODE, "param_keys")
+    nodes = both.select(*NODE, F.explode(differ).alias("param_key"))
     pins = full_diff(models_base, models_theirs, ["project_id", "model"], "hash").where("change = 'changed'")
-    models = pins.groupBy("project_id").agg(F.array_join(F.array_sort(F.collect_set("model")), ",").alias("param_keys"))
-    return nodes.unionByName(models.select("project_id", F.lit(NIL_NODE).alias("node_id"), "param_keys"))
+    return nodes.unionByName(pins.select("project_id", F.lit(NIL_NODE).alias("node_id"), F.col("model").alias("param_key")))
 
 
 def merge_items(base: DataFrame, theirs: DataFrame) -> DataFrame:

@@ -102,7 +102,7 @@ def ancestors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         fresh = cut_lineage(reached.join(known, ["project_id", "node_id", "ancestor"], "left_anti"))
         known = known.unionByName(fresh)
     self_too = nodes.select(*NODE, F.col("node_id").alias("ancestor"))
-    return known.unionByName(self_too).distinct()
+    return known.where("node_id <> ancestor").unionByName(self_too)
 
 
 def chain_from_recipe(steps: DataFrame) -> DataFrame:

@@ -228,19 +228,18 @@ def manifest(renders: DataFrame, hashes: DataFrame) -> DataFrame:
 
 
 def project_digest(nodes: DataFrame) -> DataFrame:
-    """One hash per project over its nodes' canonical rows.
+    """One hash per project over its nodes' canonical rows, in any order.
 
-    Row digests are hashed by sorted block first; a block holds the rows sharing the first two hex digits of
-    their digest, so a huge project folds in up to 256 pieces, each a list of fixed-size digests.
+    Row digests fold up a fixed tree of digest prefixes (six hex digits, three, none). A group is the rows
+    sharing six digits, or at most 4096 hashes above that, so one huge project is no huge group.
     """
     rows = nodes.withColumn("params", sorted_map("params"))
     cols = [c for c in nodes.columns if c != "project_id"]
-    digests = rows.select("project_id", F.sha2(canonical_json(*cols), 256).alias("d"))
-    blocks = digests.groupBy("project_id", F.substring("d", 1, 2).alias("b")).agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("h")
-    )
-    whole = F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda s: s["h"])
-    return blocks.groupBy("project_id").agg(content_hash(F.array_join(whole, "")).alias("project_hash"))
+    level = rows.select("project_id", F.sha2(canonical_json(*cols), 256).alias("h")).withColumn("p", F.col("h"))
+    for digits in (6, 3, 0):
+        members = F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda s: s["h"])
+        level = level.groupBy("project_id", F.substring("p", 1, digits).alias("q")).agg(F.sha2(F.array_join(members, ""), 256).alias("h")).withColumnRenamed("q", "p")
+    return level.select("project_id", F.concat(F.lit("sha256:"), "h").alias("project_hash"))
 
 
 def share_token(links: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -43,9 +43,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from the written rows."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once into the shared folder and continue from the written rows.
+
+    A written table survives lost executors like a checkpoint does, but is computed once
+    (a checkpoint runs the last stage twice), is columnar, and has a known size for later joins.
+    """
+    path = staging_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def staging_path(spark: SparkSession, name: str) -> str:

@@ -288,7 +288,8 @@ def manifest(spark, sf):
 
 def _digest(side: str) -> str:
     return f"""{side}_d AS (SELECT project_id, sha256('{{"effect_id":"' || effect_id || '","inputs":["' || src || '"],"label":"' || label || '","node_id":"' || node_id || '","params":{{"status":"' || status || '","totalprice":"' || totalprice || '"}}}}') AS d FROM {side}),
-  {side}_b AS (SELECT project_id, substr(d,1,2) AS b, sha256(string_agg(d, '' ORDER BY d)) AS h FROM {side}_d GROUP BY ALL), {side}_p AS (SELECT project_id, 'sha256:' || sha256(string_agg(h, '' ORDER BY b)) AS project_hash FROM {side}_b GROUP BY project_id)"""
+  {side}_6 AS (SELECT project_id, substr(d,1,6) AS p, sha256(string_agg(d, '' ORDER BY d)) AS h FROM {side}_d GROUP BY ALL), {side}_3 AS (SELECT project_id, substr(p,1,3) AS q, sha256(string_agg(h, '' ORDER BY p)) AS h FROM {side}_6 GROUP BY project_id, substr(p,1,3)),
+  {side}_p AS (SELECT project_id, 'sha256:' || sha256(string_agg(h, '' ORDER BY q)) AS project_hash FROM {side}_3 GROUP BY project_id)"""
 
 
 @query("prov.share_token", f"WITH {NODES}, {_digest('base')}, {_digest('theirs')} SELECT b.project_id, b.project_hash, t.project_hash IS NOT DISTINCT FROM b.project_hash AS valid FROM base_p b LEFT JOIN theirs_p t USING (project_id)")
@@ -451,8 +452,8 @@ def merge_projects(spark, sf):
     return m.select("project_id", "node_id", "effect_id", "label", F.array_join("inputs", ",").alias("inputs"), F.concat(F.try_element_at("params", F.lit("status")), F.lit("/"), F.try_element_at("params", F.lit("totalprice"))).alias("params"))
 
 
-@query("merge.conflicts", f"""WITH {NODES}, {MODELS} SELECT b.project_id, b.node_id, array_to_string(list_filter([CASE WHEN b.status<>t.status THEN 'status' END, CASE WHEN b.totalprice<>t.totalprice THEN 'totalprice' END], lambda z: z IS NOT NULL), ',') AS param_keys FROM base b JOIN theirs t USING (project_id, node_id) WHERE b.status<>t.status OR b.totalprice<>t.totalprice
-  UNION ALL SELECT a.project_id, '00000000-0000-0000-0000-000000000000', string_agg(a.model, ',' ORDER BY a.model) FROM models_base a JOIN models_theirs b USING (project_id, model) WHERE a.hash <> b.hash GROUP BY a.project_id""")
+@query("merge.conflicts", f"""WITH {_LONG}, {MODELS} SELECT a.project_id, a.node_id, a.key AS param_key FROM base_l a JOIN theirs_l b USING (project_id, node_id, key) WHERE a.value <> b.value
+  UNION ALL SELECT a.project_id, '00000000-0000-0000-0000-000000000000', a.model FROM models_base a JOIN models_theirs b USING (project_id, model) WHERE a.hash <> b.hash""")
 def merge_conflicts(spark, sf):
     return diffmerge.merge_conflicts(*_sides(spark, sf, t.project_nodes), *_sides(spark, sf, t.project_models))
 
