@@ -55,22 +55,6 @@ def column_line() -> WindowSpec:
     return Window.partitionBy(*TILE_KEYS, "x").orderBy("y")
 
 
-def line_taps(c: str, half: int, line: WindowSpec) -> list[Column]:
-    """The ``2*half+1`` values around the current row, edges replicated."""
-    whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    col = F.col(c)
-    before = [F.coalesce(F.lag(col, k).over(line), F.first(col).over(whole)) for k in range(half, 0, -1)]
-    after = [F.coalesce(F.lead(col, k).over(line), F.last(col).over(whole)) for k in range(1, half + 1)]
-    return [*before, col, *after]
-
-
-def weighted(taps: Sequence[Column], weights: Sequence[float]) -> Column:
-    total = taps[0] * F.lit(float(weights[0]))
-    for tap, w in zip(taps[1:], weights[1:]):
-        total = total + tap * F.lit(float(w))
-    return total
-
-
 def whole_tiles(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[pa.Table, list[slice]]]:
     """Regroup a key-sorted stream of Arrow batches into tables of whole tiles, with each tile's rows."""
     held = None

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from framelake.functions.color import clamp01, luma
 from framelake.functions.tiles import TILE_BITS, TILE_KEYS, column_values, dense_block, whole_tiles
 from framelake.operators.metrics import fuse_median, stack
-from framelake.operators.pointwise import with_dims
+from framelake.operators.pointwise import frame_dims, with_dims
 from framelake.operators.resample import translate, upscale_lanczos
 from framelake.operators.stencil import correlate
 from framelake.schemas import FRAME, PIXEL, RGB, RGBA
@@ -259,7 +259,8 @@ def super_resolve(px: DataFrame, scale: int = 2, fuse: str = "median", shifts: D
     shifts = cut_lineage(phase_correlate(px)) if shifts is None else shifts
     big = upscale_lanczos(px, float(scale), 3)
     back = shifts.select(*FRAME, *[(-F.round(F.col(d) * scale)).alias(d) for d in ("dx", "dy")])
-    placed = translate(big, back, subpixel=False)
+    sizes = frame_dims(px).select(*FRAME, *[(F.col(d) * scale).cast("int").alias(d) for d in ("width", "height")])
+    placed = translate(big, back, subpixel=False, frames=sizes)
     return fuse_median(placed) if fuse == "median" else stack(placed, "mean")
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.functions import kernels
@@ -18,13 +18,10 @@ from framelake.functions.color import clamp, clamp01, luma
 from framelake.functions.ordering import top_share
 from framelake.functions.tiles import (
     TILE_BITS,
-    TILE_KEYS,
     column_line,
     drop_halo,
-    line_taps,
     row_line,
     tile_map,
-    weighted,
     with_halo,
 )
 from framelake.operators.pointwise import rect_coverage, rect_or_frame, with_dims
@@ -134,14 +131,18 @@ def deblock(px: DataFrame, block_size: int = 8, strength: float = 0.6, frames: D
         k = F.least(F.floor((F.col(pos) + half) / block_size), last)
         return (k >= 1) & (F.col(pos) < k * block_size + half)
 
-    def one_axis(df, pos, extent, line):
-        return df.withColumns(
-            {c: F.when(near(pos, extent), weighted(line_taps(c, half, line), weights)).otherwise(F.col(c)) for c in RGBA}
-        )
+    marked = with_dims(px, frames).withColumns(
+        {"_ny": near("y", "height").cast("double"), "_nx": near("x", "width").cast("double")}
+    )
+
+    def smooth(block):
+        colors, center = block[..., :4], block[half:-half]
+        down = np.where(center[..., 4:5] > 0, correlate(colors, weights, 0), colors[half:-half])
+        inner = center[:, half:-half]
+        across = np.where(inner[..., 5:6] > 0, correlate(down, weights, 1), down[:, half:-half])
+        return np.concatenate([across, inner[..., 4:]], axis=2)
 
-    tiles = with_halo(with_dims(px, frames), half, half)
-    done = one_axis(one_axis(tiles, "y", "height", column_line()), "x", "width", row_line())
-    return drop_halo(done).drop("width", "height")
+    return tile_map(marked, half, smooth, [*RGBA, "_ny", "_nx"]).drop("width", "height", "_ny", "_nx")
 
 
 def _pool(df: DataFrame, c: str, radius: int) -> DataFrame:

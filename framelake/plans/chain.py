@@ -12,6 +12,7 @@ from framelake.errors import INVALID_PARAMETER, OperatorError
 from framelake.operators import metrics
 from framelake.plans.catalogue import Registry
 from framelake.schemas import FRAME, PIXEL, RGBA
+from framelake.session import cut_lineage, staging_path
 
 Step = tuple[str, str | None, dict]
 MOST_RECIPES = 64
@@ -40,10 +41,17 @@ def apply_chain(px: DataFrame, steps: Sequence[Step], registry: Registry | None
 
 
 def apply_recipes(px: DataFrame, assigned: DataFrame, recipes: dict[str, str], registry: Registry | None = None) -> DataFrame:
-    """Each asset through its assigned recipe. One branch per distinct recipe, so their number is bounded."""
+    """Each asset through its assigned recipe. One branch per distinct recipe, so their number is bounded.
+
+    Pixels are first written by recipe, so every branch reads its own partition and the input is scanned once.
+    """
     if len(recipes) > MOST_RECIPES:
         raise OperatorError(INVALID_PARAMETER, f"{len(recipes)} distinct recipes in one plan; split the work")
     joined = px.join(assigned.select("asset_id", "recipe_id"), "asset_id")
+    if len(recipes) > 1:
+        path = staging_path(px.sparkSession, "by-recipe")
+        joined.write.partitionBy("recipe_id").parquet(path)
+        joined = px.sparkSession.read.schema(joined.schema).parquet(path)
     parts = [
         apply_chain(joined.where(F.col("recipe_id") == rid).drop("recipe_id"), parse_recipe(text), registry).select(*PIXEL, *RGBA)
         for rid, text in recipes.items()
@@ -55,12 +63,16 @@ def apply_recipes(px: DataFrame, assigned: DataFrame, recipes: dict[str, str], r
 
 
 def stage_snapshots(px: DataFrame, steps: Sequence[Step], registry: Registry | None = None) -> DataFrame:
-    """The frame after every step: stage 0 is the input, stage ``k`` follows step ``k``."""
+    """The frame after every step: stage 0 is the input, stage ``k`` follows step ``k``.
+
+    Each stage is an output, so it is written once and the next step starts from the written rows.
+    """
     registry = registry or Registry()
     tag = lambda df, no, name: df.select(*PIXEL, *RGBA, F.lit(no).alias("stage_no"), F.lit(name).alias("stage_label"))
     done = tag(px, 0, "00-input")
     for i, step in enumerate(steps, 1):
-        px = apply_chain(px, [step], registry)
+        after = apply_chain(px, [step], registry)
+        px = after if after is px else cut_lineage(after)
         done = done.unionByName(tag(px, i, f"{i:02d}-{step[0].split('.')[-1]}"))
     return done
 
@@ -81,7 +93,7 @@ def golden_run(px: DataFrame, golden: DataFrame, cases: DataFrame, steps: Sequen
 
     ``cases`` holds ``name, asset_id, frame_no, ssim_min, psnr_min``; null limits mean the defaults.
     """
-    rendered = apply_chain(px, steps, registry)
+    rendered = cut_lineage(apply_chain(px, steps, registry))  # read by the size check and by the metrics
     sized = metrics.pair_errors(rendered, golden).select(*FRAME)
     scores = metrics.all_metrics(rendered, golden).join(sized, FRAME, "left_anti")
     return metrics.judge(cases.join(scores, FRAME, "left"))

@@ -58,7 +58,7 @@ def integrated(spark, sf):
 
 @query("au.loudness", f"""WITH RECURSIVE {KWEIGHT}, {_blocks('kw', 'bm', MOMENTARY)}, {_blocks('kw', 'bs', SHORT_TERM)}, {INTEGRATED},
   pm AS (SELECT asset_id, max(energy) AS pm FROM bm GROUP BY 1), ps AS (SELECT asset_id, max(energy) AS ps FROM bs GROUP BY 1)
-  SELECT asset_id, round({_LUFS.format('m2')}, 9) AS integrated_lufs, round({_LUFS.format('pm')}, 9) AS max_momentary_lufs, round({_LUFS.format('ps')}, 9) AS max_short_term_lufs FROM g2 JOIN pm USING (asset_id) JOIN ps USING (asset_id)""")
+  SELECT asset_id, round({_LUFS.format('m2')}, 9) AS integrated_lufs, round({_LUFS.format('pm')}, 9) AS max_momentary_lufs, round({_LUFS.format('coalesce(ps, 0)')}, 9) AS max_short_term_lufs FROM g2 JOIN pm USING (asset_id) LEFT JOIN ps USING (asset_id)""")
 def loudness(spark, sf):
     done = audio.loudness(audio.k_weight(t.snd_ev(spark, sf)), MOMENTARY, SHORT_TERM, STEP)
     return done.select("asset_id", *[r9(c) for c in ("integrated_lufs", "max_momentary_lufs", "max_short_term_lufs")])
