@@ -90,21 +90,37 @@ def validate(nodes: DataFrame, edges: DataFrame, sinks: DataFrame | None = None)
 def ancestors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Every node with all nodes upstream of it, itself included.
 
-    Path doubling: each round joins what was found last with everything known, so a path of length
-    ``d`` takes ``log2(d)`` rounds. Pairs are deduplicated each round; a cycle adds nothing new.
+    Path doubling: round ``k`` extends the pairs known so far by jumps of exactly ``2**k`` edges, so a path of
+    length ``d`` takes ``log2(d)`` rounds. Where every node has at most one input, each pair has one path and
+    rounds need no deduplication; a pair of a node with itself reveals a cycle and turns it on.
     """
-    step = edges.select("project_id", F.col("dst").alias("node_id"), F.col("src").alias("ancestor")).distinct()
-    known = cut_lineage(step)
-    fresh = known
-    while not fresh.isEmpty():
-        onward = known.select("project_id", F.col("node_id").alias("ancestor"), F.col("ancestor").alias("_far"))
-        reached = fresh.join(onward, ["project_id", "ancestor"]).select("project_id", "node_id", F.col("_far").alias("ancestor")).distinct()
-        fresh = cut_lineage(reached.join(known, ["project_id", "node_id", "ancestor"], "left_anti"))
+    pair = ["project_id", "node_id", "ancestor"]
+    known = cut_lineage(edges.select("project_id", F.col("dst").alias("node_id"), F.col("src").alias("ancestor")).distinct())
+    jump = known
+    single_path = known.groupBy("project_id", "node_id").count().where("count > 1").isEmpty()
+    while True:
+        fresh = _compose(jump, known)
+        if not single_path:
+            fresh = fresh.distinct().join(known, pair, "left_anti")
+        fresh = cut_lineage(fresh)
+        found = fresh.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("node_id") == F.col("ancestor")).alias("loops")).first()
+        if not found["rows"]:
+            break
         known = known.unionByName(fresh)
+        if single_path and found["loops"]:
+            single_path, known = False, cut_lineage(known.distinct())
+        jump = _compose(jump, jump)
+        jump = cut_lineage(jump if single_path else jump.distinct())
     self_too = nodes.select(*NODE, F.col("node_id").alias("ancestor"))
     return known.where("node_id <> ancestor").unionByName(self_too)
 
 
+def _compose(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Pairs reached by a pair of ``first`` followed by a pair of ``second``."""
+    onward = second.select("project_id", F.col("node_id").alias("ancestor"), F.col("ancestor").alias("_far"))
+    return first.join(onward, ["project_id", "ancestor"]).select("project_id", "node_id", F.col("_far").alias("ancestor"))
+
+
 def chain_from_recipe(steps: DataFrame) -> DataFrame:
     """Recipe steps as edges source -> step00 -> ... -> sink; unlabeled steps are named by position."""
     name = F.coalesce("label", F.concat(F.lit("step"), F.lpad(F.col("step_no").cast("string"), 2, "0")))

@@ -141,9 +141,9 @@ def _pts(spark, sf):
     return o.select("o_orderkey", (F.col("o_orderkey") * 1001).alias("v"), (1 + F.col("o_custkey") % 3).alias("tn"), (30000 + F.col("o_orderkey") % 7).alias("td"), F.lit(24000).cast("bigint").alias("fn"), F.lit(1001).cast("bigint").alias("fd"))
 
 
-@query("time.pts_seconds", f"SELECT o_orderkey, round(CAST(v AS DOUBLE)*tn/td, 9) AS seconds FROM ({_PTS})")
+@query("time.pts_seconds", f"SELECT o_orderkey, round(CAST(v AS DOUBLE)*tn/td, 6) AS seconds FROM ({_PTS})")
 def pts_seconds(spark, sf):
-    return _pts(spark, sf).select("o_orderkey", r9(pointwise.pts_seconds(F.col("v"), F.col("tn"), F.col("td"))).alias("seconds"))
+    return _pts(spark, sf).select("o_orderkey", r9(pointwise.pts_seconds(F.col("v"), F.col("tn"), F.col("td")), 6).alias("seconds"))
 
 
 @query("time.frame_index", f"SELECT o_orderkey, CAST((CAST(v AS HUGEINT)*tn*fn) // (CAST(td AS HUGEINT)*fd) AS BIGINT) AS frame_index FROM ({_PTS})")

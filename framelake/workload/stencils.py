@@ -233,9 +233,9 @@ def demosaic(spark, sf):
     return pixels(stencil.demosaic_bilinear(t.px_cfa(spark, sf), 0.1, 0.9), RGB)
 
 
-@query("st.edge_step", f"WITH {PX_LI}, e AS (SELECT {KEY}, abs(({LUMA}) - lag({LUMA}) OVER (PARTITION BY asset_id, frame_no, y ORDER BY x)) AS edge FROM px_li) SELECT {KEY}, round(edge, 12) AS edge FROM e WHERE edge IS NOT NULL")
+@query("st.edge_step", f"WITH {PX_LI}, e AS (SELECT {KEY}, abs(({LUMA}) - lag({LUMA}) OVER (PARTITION BY asset_id, frame_no, y ORDER BY x)) AS edge FROM px_li) SELECT {KEY}, round(edge, 13) AS edge FROM e WHERE edge IS NOT NULL")
 def edge_step(spark, sf):
-    return stencil.edge_step(t.px_li(spark, sf)).select(*PIXEL, r9("edge", 12))
+    return stencil.edge_step(t.px_li(spark, sf)).select(*PIXEL, r9("edge", 13))
 
 
 @query("win.top_fraction", f"""WITH {PX_LI}, k AS (SELECT {KEY}, round(g, 12) AS g, row_number() OVER (PARTITION BY asset_id, frame_no ORDER BY round(g, 12) DESC, y, x) AS rn, count(*) OVER (PARTITION BY asset_id, frame_no) AS n FROM px_li)

@@ -91,6 +91,8 @@ def test_levels_on_chain_diamond_and_cycle(spark):
 def test_ancestors_survive_cycles(spark):
     got = {(r["node_id"], r["ancestor"]) for r in graphs.ancestors(*graph(spark, 4, [(0, 1), (1, 2), (2, 1), (2, 3)])).collect()}
     assert {a for n, a in got if n == "3"} == {"0", "1", "2", "3"}
+    ring = {(r["node_id"], r["ancestor"]) for r in graphs.ancestors(*graph(spark, 4, [(0, 1), (1, 2), (2, 0), (2, 3)])).collect()}
+    assert ring == {(n, a) for n in "0123" for a in "012"} | {("3", "3")}
     assert graphs.validate(*graph(spark, 2, [(0, 1), (7, 1)])).first()["reason"] == "input references missing node 7"
 
 
