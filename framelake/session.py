@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,3 +58,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def staging_path(spark: SparkSession, name: str) -> str:
     """A fresh path for one run inside the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/framelake/{name}-{uuid.uuid4().hex}"
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Workers need it to run the Arrow functions unless it is installed on every executor.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    here = pathlib.Path(__file__).resolve().parent
+    archive = pathlib.Path(tempfile.mkdtemp(prefix="spark-", dir="/tmp")) / "framelake.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(here.rglob("*.py")):
+            out.write(file, file.relative_to(here.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)
