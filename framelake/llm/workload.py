@@ -36,3 +36,17 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framelake.llm.token_counts import count_tokens
 
     return count_tokens(common.table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+@query("op7_secret_scan")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framelake.llm.secret_scan import scan_secrets
+
+    return scan_secrets(common.table(spark, sf_dir, "documents"))
+
+
+@query("op5_sentence_pieces")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framelake.llm.sentence_pieces import encode_documents
+
+    return encode_documents(common.table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
