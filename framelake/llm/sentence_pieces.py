@@ -193,20 +193,22 @@ class Stream:
     def end(self) -> list[int]:
         return self._commit(len(self.last) - 1)
 
-
-class _Segments(dict):
-    def __init__(self, model: PieceModel):
-        super().__init__()
-        self.model = model
-
-    def __missing__(self, segment: str) -> tuple[int, ...]:
-        stream = Stream(self.model)
-        ids = (*stream.feed(segment), *stream.end())  # all paths converge on a segment's ends
-        if len(segment) <= LONG_SEGMENT:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[segment] = ids
-        return ids
+    def segment(self, text: str) -> tuple[int, ...]:
+        """Ids of a short text alone; paths of the part it shares with the text before stay as they are."""
+        keep, most = 0, min(len(self.text), len(text))
+        before = self.text
+        while keep < most and before[keep] == text[keep]:
+            keep += 1
+        del self.last[keep + 1 :], self.size[keep + 1 :], self.total[keep + 1 :]
+        self.text = text
+        (self._reach_merge if self.m.law == "merge" else self._reach_score)(len(text))
+        ids: list[int] = []
+        at = len(text)
+        while at:
+            piece = self.last[at]
+            ids += [piece] if piece >= 0 else self.m.fallback(text[at - 1])[::-1]
+            at -= self.size[at]
+        return tuple(ids[::-1])
 
 
 class Codec:
@@ -216,20 +218,37 @@ class Codec:
 
     def __init__(self, model: PieceModel):
         self.m = model
-        self.known = _Segments(model)
+        self.known: dict[str, tuple[int, ...]] = {}
         self.shown = [p.replace(SPACE, " ") for p in model.pieces]
         for i in model.special:
             self.shown[i] = ""
         self.is_byte = np.zeros(len(model.pieces), bool)
         self.is_byte[list(model.byte_of)] = True
 
-    def encode(self, text: str) -> Iterator[int]:
-        if not text:
-            return iter(())
+    def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
+        """Ids of each text. New segments of all texts are searched in sorted order, so that common beginnings, whose
+        paths are the same, are searched once."""
+        split = [self.segments.findall(self._marked(t)) if t else [] for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = {seg for segs in split for seg in segs if seg not in self.known}
+        state = Stream(self.m)
+        for seg in sorted(new):
+            if len(seg) <= LONG_SEGMENT:
+                self.known[seg] = state.segment(seg)
+            else:
+                stream = Stream(self.m)
+                self.known[seg] = (*stream.feed(seg), *stream.end())
+        look, chain = self.known.__getitem__, itertools.chain.from_iterable
+        out = [np.fromiter(chain(map(look, segs)), np.int32) for segs in split]
+        for seg in new:
+            if len(seg) > LONG_SEGMENT:
+                del self.known[seg]
+        return out
+
+    def _marked(self, text: str) -> str:
         marked = text.replace(" ", SPACE)
-        if self.m.prefix:
-            marked = SPACE + marked
-        return itertools.chain.from_iterable(map(self.known.__getitem__, self.segments.findall(marked)))
+        return SPACE + marked if self.m.prefix else marked
 
     def decode(self, ids: np.ndarray) -> str:
         if len(ids) == 0:
@@ -255,10 +274,6 @@ def codec(path: str, law: str = "merge") -> Codec:
     return Codec(PieceModel.load(path, law))
 
 
-def _ids(made: Codec, texts: Iterable[str | None]) -> list[np.ndarray]:
-    return [np.fromiter(made.encode(t or ""), np.int32) for t in texts]
-
-
 def _lists(ids: list[np.ndarray], nulls: list[bool]) -> pa.Array:
     ends = np.cumsum([0, *map(len, ids)])
     if len(ids) and ends[-1] >= 2**31:
@@ -282,7 +297,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
     """``df`` with the piece ids of ``text_col``, as an array column."""
 
     def make(text: pa.Array) -> pa.Array:
-        return _lists(_ids(codec(path, law), text.to_pylist()), text.is_null().to_pylist())
+        return _lists(codec(path, law).encode(text.to_pylist()), text.is_null().to_pylist())
 
     return _added(df, text_col, ids_col, T.ArrayType(T.IntegerType()), make)
 
@@ -309,7 +324,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     def step(part: pa.RecordBatch) -> pa.RecordBatch:
         made = codec(path, law)
         text = [t or "" for t in part.column("_text").to_pylist()]
-        ids = _ids(made, text)
+        ids = made.encode(text)
         same = [made.decode(i) == t.replace(SPACE, " ") for i, t in zip(ids, text, strict=True)]
         return pa.RecordBatch.from_arrays(
             [part.column("doc_id").cast(pa.int64()), pa.array(list(map(len, ids)), pa.int64()), _lists(ids, [False] * len(ids)), pa.array(same, pa.bool_())],

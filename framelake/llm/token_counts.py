@@ -16,6 +16,7 @@ import json
 import re
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -168,7 +169,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
     def step(part: pa.RecordBatch) -> pa.RecordBatch:
         if not made:
             made.append(TokenCounter(vocabulary(path), list(known.value)))
-        sizes = [n or 0 for n in pa.compute.binary_length(part.column("_text")).to_pylist()]
+        sizes = [n or 0 for n in pc.binary_length(part.column("_text")).to_pylist()]
         tokens = [made[0](t) for t in part.column("_text").to_pylist()]
         return common.batch(
             [part.column("doc_id"), sizes, tokens, [n > limit for n in tokens]], ["doc_id", "n_bytes", "n_tokens", "over_limit"],
