@@ -35,14 +35,15 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
 
 
 def over_texts(
-    df: DataFrame, text: str, schema: str, step: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch]
+    df: DataFrame, text: str, schema: str, step: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch],
+    limit: int = SLICE_BYTES,
 ) -> DataFrame:
     """Run ``step`` over slices of Arrow batches, in the tasks that read ``df``."""
     ship_package(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, text):
+            for part in text_slices(batch, text, limit):
                 out = step(part)
                 if isinstance(out, pa.RecordBatch):
                     yield out

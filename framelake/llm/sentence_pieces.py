@@ -8,8 +8,8 @@ boundary are final: they are committed and forgotten. Two laws choose the best p
   two; exactly one lawful path ends at each position, and it is the model's own encoding;
 * ``score`` (models of the scoring kind): the path with the highest sum of piece scores, longer last pieces first on ties.
 
-Pieces never hold the space mark behind another character (checked when a model is loaded), so every such place is a
-boundary on which all paths converge; the ids between two of them are remembered per task.
+Where a text has two neighbors that no piece holds side by side (found when a model is loaded: before spaces, and mostly
+before punctuation), all paths converge; the ids between two such places are remembered per task.
 
 Defined results: a null text encodes to null ids when encoding columns and counts as empty in the query; the empty text has no
 ids; null ids decode to null; repeated rows and ids are kept; an empty table gives an empty table. Texts are encoded whole.
@@ -33,6 +33,8 @@ SPACE = "▁"
 #: Segments and neighbor pairs remembered per task; a full memory is emptied.
 REMEMBERED = 200_000
 REMEMBERED_PAIRS = 500_000
+#: Text bytes encoded together.
+STEP_BYTES = 8 << 20
 #: Segments longer than this are encoded by the stream and not remembered.
 LONG_SEGMENT = 64
 #: Stand-ins for the text's start and for a character without a piece; the score of such a character.
@@ -54,6 +56,7 @@ class PieceModel:
         self.reach = max(map(len, self.ids), default=1)
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece holds the space mark behind another character")
+        self.segments = self._segments()
         self.pairs: dict[int, bool] = {}
         # Pieces that merging never makes cannot be on a lawful path.
         lawful = [p for p in self.ids if law != "merge" or len(p) == 1 or self.merged(p) == [p]]
@@ -80,6 +83,22 @@ class PieceModel:
         special = {i for i in range(n) if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)}
         return cls([sp.id_to_piece(i) for i in range(n)], [sp.get_score(i) for i in range(n)], at, special, law)
 
+    def _segments(self) -> re.Pattern:
+        """Cuts a marked text only between neighbors that no piece holds side by side: all paths converge there.
+
+        ``closers`` are characters that pieces hold only behind the space mark or each other, so a cut may precede them;
+        after ``enders`` no piece goes on at all.
+        """
+        inside = {pair for p in self.ids for pair in itertools.pairwise(p)}
+        closers = {c for c in map(chr, range(0x250)) if not c.isalpha()}
+        while drop := {b for a, b in inside if b in closers and a not in closers and a != SPACE}:
+            closers -= drop
+        enders = closers - {a for a, _ in inside}
+        c, e = ("".join(map(re.escape, sorted(x))) for x in (closers, enders))
+        some = f"[{c}]+" if c else "(?!)"
+        last = f"[{c}]*[{e}]" if e else "(?!)"
+        return re.compile(f"{SPACE}*(?:{last}|(?:{some})?[^{SPACE}{c}]+|{some})|{SPACE}+")
+
     def merged(self, text: str) -> list[str]:
         """Merge neighbors into known pieces, the highest score first, the leftmost of equals."""
         parts, score = list(text), self.score
@@ -199,9 +218,13 @@ class Stream:
         before = self.text
         while keep < most and before[keep] == text[keep]:
             keep += 1
-        del self.last[keep + 1 :], self.size[keep + 1 :], self.total[keep + 1 :]
+        del self.last[keep + 1 :], self.size[keep + 1 :]
         self.text = text
-        (self._reach_merge if self.m.law == "merge" else self._reach_score)(len(text))
+        if self.m.law == "merge":
+            self._reach_merge(len(text))
+        else:
+            del self.total[keep + 1 :]
+            self._reach_score(len(text))
         ids: list[int] = []
         at = len(text)
         while at:
@@ -214,8 +237,6 @@ class Stream:
 class Codec:
     """Encodes and decodes whole texts."""
 
-    segments = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-
     def __init__(self, model: PieceModel):
         self.m = model
         self.known: dict[str, tuple[int, ...]] = {}
@@ -228,7 +249,7 @@ class Codec:
     def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """Ids of each text. New segments of all texts are searched in sorted order, so that common beginnings, whose
         paths are the same, are searched once."""
-        split = [self.segments.findall(self._marked(t)) if t else [] for t in texts]
+        split = [self.m.segments.findall(self._marked(t)) if t else [] for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         new = {seg for segs in split for seg in segs if seg not in self.known}
@@ -290,7 +311,7 @@ def _added(df: DataFrame, column: str, name: str, kind: T.DataType, make) -> Dat
     def step(part: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], make(part.column(column))], names=[*kept, name])
 
-    return common.over_texts(df, column, schema, step)
+    return common.over_texts(df, column, schema, step, STEP_BYTES)
 
 
 def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", law: str = "merge") -> DataFrame:
@@ -332,4 +353,4 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         )
 
     slim = common.only(docs, {"doc_id": id_col, "_text": text_col})
-    return common.over_texts(slim, "_text", "doc_id BIGINT, n_ids BIGINT, ids ARRAY<INT>, round_trip BOOLEAN", step)
+    return common.over_texts(slim, "_text", "doc_id BIGINT, n_ids BIGINT, ids ARRAY<INT>, round_trip BOOLEAN", step, STEP_BYTES)
