@@ -50,3 +50,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framelake.llm.sentence_pieces import encode_documents
 
     return encode_documents(common.table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+@query("op10_quality_network")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framelake.llm.quality_network import score, train
+
+    docs = common.table(spark, sf_dir, "documents")
+    return score(docs, train(docs, common.table(spark, sf_dir, "labels")))
