@@ -58,3 +58,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = common.table(spark, sf_dir, "documents")
     return score(docs, train(docs, common.table(spark, sf_dir, "labels")))
+
+
+@query("op6_leak_match")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framelake.llm.leak_match import find_leaks
+
+    return find_leaks(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
