@@ -65,3 +65,34 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framelake.llm.leak_match import find_leaks
 
     return find_leaks(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_chat_views", """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS spoken_by, coalesce(text, '') AS body FROM conversations WHERE conv_id IS NOT NULL
+), speakers AS (
+  SELECT DISTINCT conv_id, spoken_by AS speaker FROM turns WHERE spoken_by <> 'system'
+), heads AS (
+  SELECT t.conv_id, s.speaker, t.turn, t.spoken_by, t.body,
+    CASE WHEN t.spoken_by = 'system' THEN 'system' WHEN t.spoken_by = s.speaker THEN 'assistant' ELSE 'user' END AS role,
+    CASE WHEN t.spoken_by <> 'system' AND t.spoken_by <> s.speaker THEN t.spoken_by END AS name
+  FROM turns t JOIN speakers s ON t.conv_id = s.conv_id
+), written AS (
+  SELECT *, '<|im_start|>' || role
+    || CASE WHEN name IS NULL THEN '' ELSE ' name=' || replace(replace(name, chr(10), ' '), '<|', '<||') END || chr(10) AS head
+  FROM heads
+), segments AS (
+  SELECT *, head || replace(body, '<|', '<||') || '<|im_end|>' || chr(10) AS segment FROM written
+), placed AS (
+  SELECT *, row_number() OVER w - 1 AS seq, sum(length(segment)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop
+  FROM segments WINDOW w AS (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, spoken_by, body)
+)
+SELECT conv_id, speaker, seq, turn, role, name, segment, CAST(stop - length(segment) AS BIGINT) AS start_at, CAST(stop AS BIGINT) AS end_at,
+  CASE WHEN role = 'assistant' THEN CAST(stop - length(segment) + length(head) AS BIGINT) END AS train_from,
+  CASE WHEN role = 'assistant' THEN CAST(stop AS BIGINT) END AS train_to
+FROM placed
+""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framelake.llm.chat_views import render_views
+
+    return render_views(common.table(spark, sf_dir, "conversations"))
