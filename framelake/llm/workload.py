@@ -96,3 +96,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framelake.llm.chat_views import render_views
 
     return render_views(common.table(spark, sf_dir, "conversations"))
+
+
+@query("op8_pack_shards")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framelake.llm.pack_shards import pack
+
+    return pack(common.table(spark, sf_dir, "documents"))
