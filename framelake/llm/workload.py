@@ -125,3 +125,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framelake.llm.threshold_search import search
 
     return search(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op2_near_copies")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framelake.llm.near_copies import near_duplicates
+
+    return near_duplicates(common.table(spark, sf_dir, "documents"))
