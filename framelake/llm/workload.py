@@ -132,3 +132,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framelake.llm.near_copies import near_duplicates
 
     return near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
+@query("op3_repeated_text")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framelake.llm.repeated_text import remove_repeats
+
+    return remove_repeats(common.table(spark, sf_dir, "documents"))
