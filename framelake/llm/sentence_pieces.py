@@ -339,18 +339,33 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "deco
     return df.mapInArrow(run, schema)
 
 
+def _encoded(made: Codec, texts: pa.Array) -> list[pa.Array]:
+    """Number of ids, ids, and whether they decode to the text; the mark itself decodes to a space."""
+    text = [t or "" for t in texts.to_pylist()]
+    ids = made.encode(text)
+    same = [made.decode(i) == t.replace(SPACE, " ") for i, t in zip(ids, text, strict=True)]
+    return [pa.array(list(map(len, ids)), pa.int64()), _lists(ids, [False] * len(ids)), pa.array(same, pa.bool_())]
+
+
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", law: str = "merge") -> DataFrame:
     """``doc_id, n_ids, ids, round_trip`` of every row: the ids are decoded again and compared with the text."""
 
     def step(part: pa.RecordBatch) -> pa.RecordBatch:
-        made = codec(path, law)
-        text = [t or "" for t in part.column("_text").to_pylist()]
-        ids = made.encode(text)
-        same = [made.decode(i) == t.replace(SPACE, " ") for i, t in zip(ids, text, strict=True)]
-        return pa.RecordBatch.from_arrays(
-            [part.column("doc_id").cast(pa.int64()), pa.array(list(map(len, ids)), pa.int64()), _lists(ids, [False] * len(ids)), pa.array(same, pa.bool_())],
-            names=["doc_id", "n_ids", "ids", "round_trip"],
-        )
+        arrays = [part.column("doc_id").cast(pa.int64()), *_encoded(codec(path, law), part.column("_text"))]
+        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_ids", "ids", "round_trip"])
 
     slim = common.only(docs, {"doc_id": id_col, "_text": text_col})
     return common.over_texts(slim, "_text", "doc_id BIGINT, n_ids BIGINT, ids ARRAY<INT>, round_trip BOOLEAN", step, STEP_BYTES)
+
+
+def encode_rows(docs: DataFrame, path: str, text_col: str = "text", law: str = "merge") -> DataFrame:
+    """``docs`` with ``n_ids, ids, round_trip`` in place of columns of these names; a null text has no ids."""
+    names = ["n_ids", "ids", "round_trip"]
+    kept = [c for c in docs.columns if c.lower() not in names]
+    kinds = [T.LongType(), T.ArrayType(T.IntegerType()), T.BooleanType()]
+    schema = T.StructType([*[docs.schema[c] for c in kept], *[T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]])
+
+    def step(part: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *_encoded(codec(path, law), part.column(text_col))], names=[*kept, *names])
+
+    return common.over_texts(docs, text_col, schema, step, STEP_BYTES)
