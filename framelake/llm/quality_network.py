@@ -47,7 +47,7 @@ class Training:
 
     rows: int = 3600
     chunks: int = 6
-    epochs: int = 6
+    steps: int = 450  #: batches learned from, however many rows there are
     batch: int = 48
     rate: float = 5e-3
     seed: int = 11
@@ -165,11 +165,12 @@ def fit(texts: list[bytes], labels: list[int], shape: Shape = Shape(), law: Trai
     cut = [chunked(t, shape) for t in texts]
     first = {k: np.zeros_like(v) for k, v in net.w.items()}
     second = {k: np.zeros_like(v) for k, v in net.w.items()}
-    steps = law.epochs * -(-len(y) // law.batch)
     done = 0
-    for _ in range(law.epochs):
+    while done < law.steps:
         order = rng.permutation(len(y))
         for start in range(0, len(y), law.batch):
+            if done == law.steps:
+                break
             rows = order[start : start + law.batch]
             parts, owner = [], []
             for k, row in enumerate(rows):
@@ -180,7 +181,7 @@ def fit(texts: list[bytes], labels: list[int], shape: Shape = Shape(), law: Trai
                 owner += [k] * len(chunks)
             grads = net.gradients(np.concatenate(parts), np.array(owner), y[rows])
             done += 1
-            rate = law.rate * (1 - 0.9 * done / steps)
+            rate = law.rate * (1 - 0.9 * done / law.steps)
             for k, g in grads.items():
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.99 * second[k] + 0.01 * g * g
