@@ -1,7 +1,8 @@
 """Shards of nearly equal bytes, tokens and rows by vector bin packing.
 
 Rows with equal texts form a group and stay together. A group is a vector (bytes, tokens, rows), each as a share of the total; groups
-are placed, largest first, on the shard whose residual capacity has the highest dot product with the vector.
+are placed, largest first, on the shard whose residual capacity has the highest dot product with the vector, among those it fits
+in; a group that fits nowhere goes where most bytes are left.
 
 Three sizes of groups are told apart by shares of the total, so that neither the driver nor a task sees all groups:
 
@@ -11,7 +12,7 @@ Three sizes of groups are told apart by shares of the total, so that neither the
   that size, whatever the input;
 * all others are dealt to partitions by hash, and each partition fills its part of the capacity that is left.
 
-Defined results: a null text has no bytes but the fixed 16 of every row, and null texts form one group; repeated rows are placed
+Defined results: a null text counts as empty, with no bytes but the fixed 16 of every row; repeated rows are placed
 each; null ids are ordered first; an empty table gives an empty table; other columns are not read.
 """
 
@@ -46,7 +47,12 @@ def place(units: np.ndarray, residual: np.ndarray) -> np.ndarray:
     """Shard of each unit (rows of ``units``: shares), largest first; ``residual`` (shards x measures) is used up."""
     out = np.empty(len(units), np.int64)
     for k in np.lexsort((np.arange(len(units)), -units.max(axis=1) if len(units) else [])):
-        at = int(np.argmax(residual @ units[k]))
+        dot = residual @ units[k]
+        fits = (residual >= units[k]).all(axis=1)
+        if fits.any():
+            at = int(np.argmax(np.where(fits, dot, -np.inf)))
+        else:  # full in some measure everywhere: the shard with most bytes left
+            at = int(np.argmax(residual[:, 0]))
         out[k] = at
         residual[at] -= units[k]
     return out
@@ -71,7 +77,7 @@ def pack(docs: DataFrame, law: Packing = Packing(), id_col: str = "doc_id", text
         F.col(f"`{id_col}`").cast("bigint").alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES).cast("bigint").alias("size"),
         F.coalesce(count, F.lit(0)).cast("bigint").alias("tokens"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
-        F.coalesce(F.unhex(F.md5(text.cast("binary"))), F.lit(b"")).alias("group"),
+        F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary"))).alias("group"),
     ))
     groups = rows.groupBy("group").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
     groups = cut_lineage(groups)
