@@ -14,3 +14,10 @@ class OperatorError(ValueError):
         super().__init__(f"{code}: {reason}")
         self.code = code
         self.reason = reason
+
+
+def within(name: str, value: float, low: float, high: float = float("inf")) -> float:
+    """``value`` if it lies in its range; operators refuse other values instead of moving them."""
+    if not low <= value <= high:
+        raise OperatorError(INVALID_PARAMETER, f"{name} must be in [{low}, {high}], got {value}")
+    return value

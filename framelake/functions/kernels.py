@@ -6,10 +6,12 @@ import math
 
 import numpy as np
 
+from framelake.errors import within
+
 
 def gaussian(sigma: float, reach: float = 3.0, longest: int = 64) -> list[float]:
-    """Normalized Gaussian taps; the half width is ``ceil(reach*sigma)`` within ``[1, longest]``."""
-    half = min(max(math.ceil(reach * sigma), 1), longest)
+    """Normalized Gaussian taps; the half width is ``ceil(reach*sigma)``, 1 at least and at most ``longest``."""
+    half = int(within("gaussian half width", max(math.ceil(reach * sigma), 1), 1, longest))
     raw = [math.exp(-(i * i) / (2.0 * sigma * sigma)) for i in range(-half, half + 1)]
     total = sum(raw)
     return [v / total for v in raw]

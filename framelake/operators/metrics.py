@@ -33,6 +33,12 @@ def pair_errors(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
+def comparable(scores: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Only the scores of frames that both sides hold in one size; ``pair_errors`` lists the others."""
+    sizes = frame_dims(left).join(frame_dims(right), [*FRAME, "width", "height"]).select(*FRAME)
+    return scores.join(sizes, FRAME, "left_semi")
+
+
 def squared_error() -> Column:
     return sum(((F.col(c) - F.col(f"{c}2")) ** 2 for c in RGB[1:]), (F.col("r") - F.col("r2")) ** 2)
 
@@ -46,7 +52,8 @@ def psnr_of(mse: Column) -> Column:
 
 
 def mse(left: DataFrame, right: DataFrame) -> DataFrame:
-    return frame_pair(left, right).groupBy(*FRAME).agg(mse_of(F.sum(squared_error()), F.count(F.lit(1))).alias("mse"))
+    scores = frame_pair(left, right).groupBy(*FRAME).agg(mse_of(F.sum(squared_error()), F.count(F.lit(1))).alias("mse"))
+    return comparable(scores, left, right)
 
 
 def psnr(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -77,7 +84,7 @@ def _similarity(pairs: DataFrame) -> DataFrame:
 
 
 def ssim(left: DataFrame, right: DataFrame) -> DataFrame:
-    return _similarity(frame_pair(left, right)).groupBy(*FRAME).agg(F.avg("_ssim").alias("ssim"))
+    return comparable(_similarity(frame_pair(left, right)).groupBy(*FRAME).agg(F.avg("_ssim").alias("ssim")), left, right)
 
 
 def all_metrics(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -85,7 +92,27 @@ def all_metrics(left: DataFrame, right: DataFrame) -> DataFrame:
     per_frame = _similarity(frame_pair(left, right)).groupBy(*FRAME).agg(
         mse_of(F.sum("_se"), F.count(F.lit(1))).alias("mse"), F.avg("_ssim").alias("ssim")
     )
-    return per_frame.select(*FRAME, "mse", psnr_of(F.col("mse")).alias("psnr"), "ssim")
+    return comparable(per_frame.select(*FRAME, "mse", psnr_of(F.col("mse")).alias("psnr"), "ssim"), left, right)
+
+
+def stack_errors(px: DataFrame, least_frames: int = 1) -> DataFrame:
+    """Frames that keep their asset from being combined: another size than its first frame, or too few frames."""
+    dims = frame_dims(px)
+    first = dims.groupBy("asset_id").agg(
+        F.min_by(F.struct("width", "height"), "frame_no").alias("_first"), F.count(F.lit(1)).alias("_frames")
+    )
+    seen = dims.join(first, "asset_id")
+    few, other = F.col("_frames") < least_frames, F.struct("width", "height") != F.col("_first")
+    return seen.where(few | other).select(
+        *FRAME, F.lit(LAYOUT).alias("code"),
+        F.when(few, F.format_string("%d frames, at least %d needed", "_frames", F.lit(least_frames)))
+        .otherwise(F.format_string("frame is %dx%d, its first frame %dx%d", "width", "height", "_first.width", "_first.height")).alias("reason"),
+    )
+
+
+def combinable(px: DataFrame, least_frames: int = 1) -> DataFrame:
+    """Pixels of the assets that ``stack_errors`` has nothing against."""
+    return px.join(stack_errors(px, least_frames).select("asset_id").distinct(), "asset_id", "left_anti")
 
 
 def _middle(px: DataFrame, upper: bool) -> DataFrame:
@@ -103,7 +130,11 @@ def _middle(px: DataFrame, upper: bool) -> DataFrame:
 
 
 def stack(px: DataFrame, how: str = "mean") -> DataFrame:
-    """All frames of an asset into one: mean, max, min, or the upper median."""
+    """All frames of an asset into one: mean, max, min, or the upper median.
+
+    Assets with frames of several sizes are left out here and listed by ``stack_errors``.
+    """
+    px = combinable(px)
     if how == "median":
         return _middle(px, upper=True)
     fold = {"mean": F.avg, "max": F.max, "min": F.min}[how]
@@ -111,8 +142,8 @@ def stack(px: DataFrame, how: str = "mean") -> DataFrame:
 
 
 def fuse_median(px: DataFrame) -> DataFrame:
-    """Median fusion that averages the two middle values of an even stack."""
-    return _middle(px, upper=False)
+    """Median fusion that averages the two middle values of an even stack; assets of mixed sizes as in ``stack``."""
+    return _middle(combinable(px), upper=False)
 
 
 def frame_stats(px: DataFrame) -> DataFrame:

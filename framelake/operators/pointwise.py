@@ -212,12 +212,17 @@ def alpha_polygon(px: DataFrame, points: str = "", inside=1.0, outside=0.0, feat
 
 
 def crop(px: DataFrame, x: int, y: int, width: int, height: int) -> DataFrame:
-    """Keep a rectangle and rebase its coordinates; the filter reaches the Parquet scan."""
+    """Keep a rectangle and rebase its coordinates; the filter reaches the Parquet scan.
+
+    Frames the rectangle does not fit in have no pixel at its far corner: they are left out here and listed by
+    ``crop_errors``.
+    """
     if min(x, y) < 0 or min(width, height) <= 0:
         raise OperatorError(INVALID_PARAMETER, "crop: origin must be >= 0 and size > 0")
-    return px.where(
-        F.col("x").between(x, x + width - 1) & F.col("y").between(y, y + height - 1)
-    ).withColumns({"x": F.col("x") - x, "y": F.col("y") - y})
+    right, bottom = x + width - 1, y + height - 1
+    fits = px.where((F.col("x") == right) & (F.col("y") == bottom)).select(*FRAME)
+    inside = px.where(F.col("x").between(x, right) & F.col("y").between(y, bottom)).join(fits, FRAME, "left_semi")
+    return inside.withColumns({"x": F.col("x") - x, "y": F.col("y") - y}).select(*px.columns)
 
 
 def crop_errors(frames: DataFrame, x: int, y: int, width: int, height: int) -> DataFrame:
@@ -259,9 +264,10 @@ def frame_index(value: Column, tb_num: Column, tb_den: Column, fps_num: Column,
 
 
 def rational_normalize(df: DataFrame, num: str = "num", den: str = "den") -> DataFrame:
-    """Lowest terms, positive denominator, ``x/0`` as ``0/1``.
+    """Lowest terms, positive denominator, ``x/0`` as ``0/1``; null operands give null terms.
 
-    Euclid runs once per distinct pair as a bounded fold: 64-bit operands need at most 92 steps.
+    Euclid runs in place as a bounded fold, so a few time bases for all rows make no hot key: 64-bit operands need at
+    most 92 steps.
     """
     pair = F.struct(F.abs(num).alias("p"), F.abs(den).alias("q"))
     gcd = F.aggregate(
@@ -271,14 +277,8 @@ def rational_normalize(df: DataFrame, num: str = "num", den: str = "den") -> Dat
         lambda s: s["p"],
     )
     flip = F.when(F.col(den) < 0, F.lit(-1)).otherwise(F.lit(1))
-    terms = (
-        df.select(num, den).distinct().withColumn("_g", F.greatest(gcd, F.lit(1)))
-        .withColumns(
-            {
-                "norm_num": F.when(F.col(den) == 0, F.lit(0)).otherwise(F.call_function("div", F.col(num) * flip, F.col("_g"))).cast("bigint"),
-                "norm_den": F.when(F.col(den) == 0, F.lit(1)).otherwise(F.call_function("div", F.abs(den), F.col("_g"))).cast("bigint"),
-            }
-        )
-        .drop("_g")
-    )
-    return df.join(terms, [num, den])
+    known = F.col(num).isNotNull() & F.col(den).isNotNull()
+    by = F.greatest(gcd, F.lit(1))
+    top = F.when(F.col(den) == 0, F.lit(0)).otherwise(F.call_function("div", F.col(num) * flip, by)).cast("bigint")
+    bottom = F.when(F.col(den) == 0, F.lit(1)).otherwise(F.call_function("div", F.abs(den), by)).cast("bigint")
+    return df.withColumns({"norm_num": F.when(known, top), "norm_den": F.when(known, bottom)})

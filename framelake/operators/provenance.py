@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.errors import INVALID_PARAMETER, OperatorError
+
 GENESIS = "sha256:" + "0" * 64  # fixed value: the link before the first entry
 ZEROS = "0" * 16  # fixed value: hashes holding this run are placeholders
 DEFAULT_KEY = b"framelake-test-key"
@@ -25,8 +27,16 @@ AFTER_LINK = ["recipe_hash", "recipe_sha256", "seq"]
 
 
 def audit_key(df: DataFrame) -> bytes:
-    """The link key from the session's configuration, never from data."""
-    return df.sparkSession.conf.get(KEY_CONF, DEFAULT_KEY.decode()).encode()
+    """The link key from the session's configuration, never from data.
+
+    Only sessions on one machine, as in tests, may do without one; anywhere else a missing key is an error.
+    """
+    key = df.sparkSession.conf.get(KEY_CONF, None)
+    if key is None:
+        if not df.sparkSession.sparkContext.master.split("[")[0].startswith("local"):
+            raise OperatorError(INVALID_PARAMETER, f"set {KEY_CONF}")
+        return DEFAULT_KEY
+    return key.encode()
 
 
 def content_hash(c: Column) -> Column:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.errors import INVALID_PARAMETER, OperatorError
+from framelake.errors import INVALID_PARAMETER, OperatorError, within
 from framelake.functions import kernels
 from framelake.functions.color import clamp01
 from framelake.functions.tiles import TILE_BITS, TILE_KEYS, column_values, dense_block, whole_tiles, with_halo
@@ -115,7 +115,7 @@ def resample(
 
 
 def _both(scale: float) -> tuple[Axis, Axis]:
-    scale = max(scale, 0.25)
+    within("scale", scale, 0.25)
     return Axis(scale=scale), Axis(scale=scale)
 
 
@@ -133,16 +133,17 @@ def upscale_catmull(px: DataFrame, scale: float = 2.0, frames: DataFrame | None
 
 
 def upscale_lanczos(px: DataFrame, scale: float = 2.0, lobes: int = 3, frames: DataFrame | None = None) -> DataFrame:
-    lobes = min(max(lobes, 2), 6)
+    within("lobes", lobes, 2, 6)
     return resample(with_dims(px, frames), _both(scale), range(1 - lobes, lobes + 1), kernels.lanczos(lobes), normalize=True)
 
 
 def translate(px: DataFrame, motion: DataFrame, subpixel: bool = True, frames: DataFrame | None = None) -> DataFrame:
-    """Shift each frame by its row of ``motion`` (``dx, dy``), edges replicated."""
+    """Shift each frame by its row of ``motion`` (``dx, dy``), edges replicated; a frame without a row stays as it is."""
     moves = motion.select(*FRAME, *[(F.col(d) if subpixel else F.round(d)).cast("double").alias(d) for d in ("dx", "dy")])
     axes = Axis(shift="dy"), Axis(shift="dx")
     taps, weight = (range(0, 2), kernels.tent) if subpixel else (range(0, 1), kernels.flat)
-    return resample(with_dims(px, frames).join(moves, FRAME), axes, taps, weight, clip=False)
+    moved = with_dims(px, frames).join(moves, FRAME, "left").fillna(0.0, ["dx", "dy"])
+    return resample(moved, axes, taps, weight, clip=False)
 
 
 def kernel_gather(px: DataFrame, axis: str, scale: float, frames: DataFrame | None = None) -> DataFrame:

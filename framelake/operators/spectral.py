@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framelake.errors import within
 from framelake.functions.color import clamp01, luma
 from framelake.functions.tiles import TILE_BITS, TILE_KEYS, column_values, dense_block, whole_tiles
-from framelake.operators.metrics import fuse_median, stack
+from framelake.operators.metrics import combinable, fuse_median, stack, stack_errors
 from framelake.operators.pointwise import frame_dims, with_dims
 from framelake.operators.resample import translate, upscale_lanczos
 from framelake.operators.stencil import correlate
@@ -131,7 +132,7 @@ def richardson_lucy(
     Each iteration reads ``2*reach`` pixels away, so a halo of ``2*reach*k`` lets a tile run ``k``
     iterations alone. Rounds of ``k`` are chained through the checkpoint folder until all are done.
     """
-    sigma, iterations, damping = max(sigma, 0.3), min(max(iterations, 1), 50), min(max(damping, 0.0), 1.0)
+    sigma, iterations, damping = max(sigma, 0.3), int(within("iterations", iterations, 1, 50)), within("damping", damping, 0.0, 1.0)
     reach = max(math.ceil(PSF_REACH * sigma), 1)
     per_round = max(1, min(iterations, WIDEST_HALO // (2 * reach)))
     state = with_dims(px, frames).withColumns({f"o_{c}": F.col(c) for c in RGB})
@@ -208,8 +209,10 @@ def phase_correlate(px: DataFrame, frames: DataFrame | None = None) -> DataFrame
     """Shift of every frame against its asset's first frame, to a fraction of a pixel.
 
     Spectra meet by an equi-join on frequency; the peak is one ``max_by`` per frame, and a second
-    pass over the same surface reads the four cells next to it.
+    pass over the same surface reads the four cells next to it. Assets with frames of several sizes are left out
+    and listed by ``register_errors``.
     """
+    px = combinable(px)
     plane = planes(px, {"lum": luma()}, frames)
     shown = plane.withColumn("re", F.col("re") * _hann("x", "width") * _hann("y", "height"))
     spectrum = fft2(shown)
@@ -254,8 +257,15 @@ def phase_correlate(px: DataFrame, frames: DataFrame | None = None) -> DataFrame
     )
 
 
+def register_errors(px: DataFrame, least_frames: int = 2) -> DataFrame:
+    """Frames that keep their asset from being registered: sizes differ, or fewer than ``least_frames``."""
+    return stack_errors(px, least_frames)
+
+
 def super_resolve(px: DataFrame, scale: int = 2, fuse: str = "median", shifts: DataFrame | None = None) -> DataFrame:
-    """Register, upsample with three-lobe Lanczos, shift by whole upsampled pixels, fuse."""
+    """Register, upsample with three-lobe Lanczos, shift by whole upsampled pixels, fuse; needs two frames of one size."""
+    within("scale", scale, 2, 8)
+    px = combinable(px, 2)
     shifts = cut_lineage(phase_correlate(px)) if shifts is None else shifts
     big = upscale_lanczos(px, float(scale), 3)
     back = shifts.select(*FRAME, *[(-F.round(F.col(d) * scale)).alias(d) for d in ("dx", "dy")])
@@ -265,6 +275,7 @@ def super_resolve(px: DataFrame, scale: int = 2, fuse: str = "median", shifts: D
 
 
 def stabilize(px: DataFrame, shifts: DataFrame | None = None) -> DataFrame:
-    """Undo each frame's measured shift."""
+    """Undo each frame's measured shift; assets of mixed sizes are left out as in ``phase_correlate``."""
+    px = combinable(px) if shifts is None else px
     shifts = cut_lineage(phase_correlate(px)) if shifts is None else shifts
     return translate(px, shifts.select(*FRAME, (-F.col("dx")).alias("dx"), (-F.col("dy")).alias("dy")))

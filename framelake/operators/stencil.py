@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framelake.errors import within
 from framelake.functions import kernels
 from framelake.functions.color import clamp, clamp01, luma
 from framelake.functions.ordering import top_share
@@ -81,7 +82,7 @@ def laplacian_dog(px: DataFrame, amount: float = 1.0, sigma: float = 1.0, sigma_
 
 def median(px: DataFrame, radius: int = 1) -> DataFrame:
     """Per-channel median of the square neighborhood; alpha kept."""
-    radius = min(max(radius, 1), 8)
+    within("radius", radius, 1, 8)
     size = 2 * radius + 1
 
     def middle(block):
@@ -98,7 +99,7 @@ def median(px: DataFrame, radius: int = 1) -> DataFrame:
 def bilateral(px: DataFrame, sigma_spatial: float = 2.0, sigma_range: float = 0.10, radius: int = 3) -> DataFrame:
     """Edge-preserving blur: weights fall with distance and with luma difference; alpha kept."""
     sigma_spatial, sigma_range = max(sigma_spatial, 0.5), max(sigma_range, 0.001)
-    radius = min(max(radius, 1), max(math.ceil(3 * sigma_spatial), 1), 32)
+    radius = min(int(within("radius", radius, 1, 32)), max(math.ceil(3 * sigma_spatial), 1))  # beyond 3 sigma weights vanish
 
     def smooth(block):
         height, width = block.shape[0] - 2 * radius, block.shape[1] - 2 * radius
@@ -169,8 +170,8 @@ def atmospheric_light(px: DataFrame, patch_radius: int = 7) -> DataFrame:
 
 def dehaze_dcp(px: DataFrame, omega: float = 0.95, t0: float = 0.1, patch_radius: int = 7) -> DataFrame:
     """Dark-channel-prior haze removal (He, Sun and Tang 2009)."""
-    omega, t0 = min(max(omega, 0.5), 1.0), min(max(t0, 0.01), 0.5)
-    radius = min(max(patch_radius, 1), 31)
+    omega, t0 = within("omega", omega, 0.5, 1.0), within("t0", t0, 0.01, 0.5)
+    radius = int(within("patch_radius", patch_radius, 1, 31))
     lit = px.join(atmospheric_light(px, radius), FRAME)
     veil = F.least(*[F.col(c) / F.col(f"light_{c}") for c in RGB])
     pooled = min_pool(lit.withColumn("_veil", veil), "_veil", radius)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framelake.errors import LAYOUT
 from framelake.operators.provenance import content_hash
 
 # Extensions by asset kind.
@@ -26,12 +27,23 @@ def binary_inventory(spark: SparkSession, path: str, pattern: str = "*") -> Data
     )
 
 
+def _images(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("image").option("dropInvalid", "false").load(path).select("image.*")
+
+
+def image_errors(spark: SparkSession, path: str) -> DataFrame:
+    """One row ``uri, code, reason`` per file that is not a readable image."""
+    return _images(spark, path).where("width <= 0").select(
+        F.col("origin").alias("uri"), F.lit(LAYOUT).alias("code"), F.lit("the file does not decode as an image").alias("reason")
+    )
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Decoded stills as packed RGBA rows for ``layout.to_pixels``; files that do not decode are dropped.
+    """Decoded stills as packed RGBA rows for ``layout.to_pixels``; ``image_errors`` lists files that do not decode.
 
     Spark's decoder yields blue-green-red rows of one, three or four bytes per pixel.
     """
-    image = spark.read.format("image").option("dropInvalid", "true").load(path).select("image.*")
+    image = _images(spark, path).where("width > 0")
     n = F.col("nChannels")
     values = F.transform(F.sequence(F.lit(0), F.length("data") - 1), lambda i: F.conv(F.hex(F.substring("data", i + 1, F.lit(1))), 16, 10).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1), lambda i: i * n)

@@ -9,7 +9,7 @@ from framelake.functions.color import clamp01
 from framelake.functions.ordering import positions
 from framelake.operators.provenance import GENESIS, chain_append
 
-FRAME_ROWS, FRAME_COLS, FRAMES_PER_ASSET = 50, 21, 4
+FRAME_ROWS, FRAME_COLS, FRAMES_PER_ASSET = 50, 22, 4
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +17,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def px_emb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embedding rows as scan lines: 50 vectors make one 50x21 frame, three values one pixel, four frames one asset."""
-    value = [clamp01(F.get(F.col("embedding"), F.col("x") * 3 + k).cast("double") + 0.5) for k in range(3)]
+    """Embedding rows as scan lines: 50 vectors make one 50x22 frame, three values one pixel, four frames one asset.
+
+    All 64 values are read; the last pixel holds the last value and two zeros.
+    """
+    value = [clamp01(F.coalesce(F.get(F.col("embedding"), F.col("x") * 3 + k).cast("double"), F.lit(0.0)) + 0.5) for k in range(3)]
     return (
         read(spark, sf_dir, "embeddings")
         .select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(FRAME_COLS - 1))).alias("x"))

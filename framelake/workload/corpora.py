@@ -175,7 +175,7 @@ def golden_refresh(spark, sf):
 # User functions
 
 
-@query("ml.batch_predict", f"WITH {PX_U8} SELECT asset_id, frame_no, CAST(ch*1050 + y*21 + x AS INTEGER) AS i, round(CAST(CAST(1 AS FLOAT) - CAST(v/255.0 AS FLOAT) AS DOUBLE), 6) AS v FROM px_u8, LATERAL (SELECT unnest([0,1,2]) AS ch, unnest([r,g,b]) AS v) u")
+@query("ml.batch_predict", f"WITH {PX_U8} SELECT asset_id, frame_no, CAST(ch*1100 + y*22 + x AS INTEGER) AS i, round(CAST(CAST(1 AS FLOAT) - CAST(v/255.0 AS FLOAT) AS DOUBLE), 6) AS v FROM px_u8, LATERAL (SELECT unnest([0,1,2]) AS ch, unnest([r,g,b]) AS v) u")
 def batch_predict(spark, sf):
     tensors = layout.frame_to_chw(t.px_emb_u8(spark, sf), 255.0)
     done = udfs.batch_predict(tensors, udfs.invert_model, (3, t.FRAME_ROWS, t.FRAME_COLS))

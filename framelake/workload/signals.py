@@ -146,7 +146,7 @@ def _psf(name: str, n: int, sigma: float) -> str:
 @query("fx.wiener", f"""WITH {PX_EMB}, {_CHANNELS}, {dft('pl', 'sx', 'x', 32, f'{_CH}, y')}, {dft('sx', 'sy', 'y', 64, f'{_CH}, x')}, {_psf('hx', 32, 1.0)}, {_psf('hy', 64, 1.0)},
   fl AS (SELECT {_CH}, y, x, re*g AS re, im*g AS im FROM (SELECT sy.*, CASE WHEN x = 0 AND y = 0 THEN 1.0 ELSE hx.h*hy.h/(pow(hx.h*hy.h, 2) + 0.01) END AS g FROM sy JOIN hx ON hx.k = x JOIN hy ON hy.k = y)),
   {dft('fl', 'ix', 'x', 32, f'{_CH}, y', 1, '(1/32.0)')}, {dft('ix', 'iy', 'y', 64, f'{_CH}, x', 1, '(1/64.0)')}
-  SELECT asset_id, frame_no, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, {", ".join(f"round({clamp01(f'''max(CASE WHEN ch = '{c}' THEN re END)''')}, 9) AS {c}" for c in "rgb")}, 1.0 AS a FROM iy WHERE y < 50 AND x < 21 GROUP BY asset_id, frame_no, y, x""")
+  SELECT asset_id, frame_no, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, {", ".join(f"round({clamp01(f'''max(CASE WHEN ch = '{c}' THEN re END)''')}, 9) AS {c}" for c in "rgb")}, 1.0 AS a FROM iy WHERE y < 50 AND x < 22 GROUP BY asset_id, frame_no, y, x""")
 def wiener(spark, sf):
     return pixels(spectral.wiener(t.px_emb(spark, sf), 1.0, 0.01))
 
@@ -161,7 +161,7 @@ def _rl() -> str:
 
     def blur(src, out, pos, other, n):
         taps = "gx_n" if pos == "x" else "gy_n"
-        limit = 21 if pos == "x" else 50
+        limit = 22 if pos == "x" else 50
         return f"{out} AS (SELECT {_CH}, {other}, tt AS {pos}, sum(re*v) AS re FROM {src} CROSS JOIN (SELECT unnest(range({limit})) AS tt) JOIN {taps} ON i = (tt - {pos} + {n}) % {n} GROUP BY {_CH}, {other}, tt)"
 
     parts.append(f"e0 AS (SELECT {_CH}, y, x, re FROM pl)")
@@ -184,7 +184,7 @@ def richardson_lucy(spark, sf):
 
 _FY = "asset_id, frame_no, y"
 _FX = "asset_id, frame_no, x"
-SHIFTS = f"""wn AS (SELECT asset_id, frame_no, y, x, ({LUMA})*(0.5-0.5*cos(2*pi()*x/20.0))*(0.5-0.5*cos(2*pi()*y/49.0)) AS re, CAST(0.0 AS DOUBLE) AS im FROM px_emb), {dft('wn', 'fx1', 'x', 32, _FY)}, {dft('fx1', 'fx2', 'y', 64, _FX)},
+SHIFTS = f"""wn AS (SELECT asset_id, frame_no, y, x, ({LUMA})*(0.5-0.5*cos(2*pi()*x/21.0))*(0.5-0.5*cos(2*pi()*y/49.0)) AS re, CAST(0.0 AS DOUBLE) AS im FROM px_emb), {dft('wn', 'fx1', 'x', 32, _FY)}, {dft('fx1', 'fx2', 'y', 64, _FX)},
   cp AS (SELECT b.asset_id, b.frame_no, b.y, b.x, a.re*b.re + a.im*b.im AS cr, a.im*b.re - a.re*b.im AS ci FROM fx2 b JOIN fx2 a ON a.asset_id=b.asset_id AND a.frame_no=b.frame_no//4*4 AND a.y=b.y AND a.x=b.x),
   cn AS (SELECT asset_id, frame_no, y, x, cr/(sqrt(cr*cr+ci*ci)+1e-12) AS re, ci/(sqrt(cr*cr+ci*ci)+1e-12) AS im FROM cp), {dft('cn', 'cx1', 'x', 32, _FY, 1, '(1/32.0)')}, {dft('cx1', 'cx2', 'y', 64, _FX, 1, '(1/64.0)')},
   sf AS MATERIALIZED (SELECT asset_id, frame_no, y, x, round(re, 12) AS v FROM cx2), pk AS (SELECT asset_id, frame_no, y AS py, x AS px, v AS pv FROM (SELECT *, row_number() OVER (PARTITION BY asset_id, frame_no ORDER BY v DESC, y, x) AS rn FROM sf) WHERE rn = 1),
@@ -199,7 +199,7 @@ def phase_correlate(spark, sf):
 
 
 @query("fx.super_resolve", f"""WITH {BASE}, {SHIFTS}, {_scaled(_lanczos, -2, 3, 2.0, True, source='px_emb', out='up')},
-  mv AS (SELECT u.asset_id, u.frame_no, u.y, u.x, q.r, q.g, q.b FROM up u JOIN shifts s USING (asset_id, frame_no) JOIN up q ON q.asset_id=u.asset_id AND q.frame_no=u.frame_no AND q.x=least(greatest(u.x+round(s.dx*2),0),41) AND q.y=least(greatest(u.y+round(s.dy*2),0),99))
+  mv AS (SELECT u.asset_id, u.frame_no, u.y, u.x, q.r, q.g, q.b FROM up u JOIN shifts s USING (asset_id, frame_no) JOIN up q ON q.asset_id=u.asset_id AND q.frame_no=u.frame_no AND q.x=least(greatest(u.x+round(s.dx*2),0),43) AND q.y=least(greatest(u.y+round(s.dy*2),0),99))
   SELECT asset_id, y, x, {", ".join(f"round({clamp01(f'median({c})')}, 9) AS {c}" for c in "rgb")} FROM mv GROUP BY ALL""")
 def super_resolve(spark, sf):
     return spectral.super_resolve(t.px_emb(spark, sf), 2, "median").select("asset_id", "y", "x", *[r9(c) for c in RGB])

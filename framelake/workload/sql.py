@@ -18,11 +18,11 @@ def rgb(fn, cols: str = "rgb") -> str:
 
 PX_EMB = """px_emb AS (
   SELECT 'emb' || (vec_id // 200) AS asset_id, CAST(vec_id // 50 AS INTEGER) AS frame_no, CAST(vec_id % 50 AS INTEGER) AS y, CAST(x AS INTEGER) AS x,
-    least(greatest(CAST(embedding[3*x+1] AS DOUBLE) + 0.5, 0.0), 1.0) AS r,
-    least(greatest(CAST(embedding[3*x+2] AS DOUBLE) + 0.5, 0.0), 1.0) AS g,
-    least(greatest(CAST(embedding[3*x+3] AS DOUBLE) + 0.5, 0.0), 1.0) AS b,
+    least(greatest(coalesce(CAST(embedding[3*x+1] AS DOUBLE), 0.0) + 0.5, 0.0), 1.0) AS r,
+    least(greatest(coalesce(CAST(embedding[3*x+2] AS DOUBLE), 0.0) + 0.5, 0.0), 1.0) AS g,
+    least(greatest(coalesce(CAST(embedding[3*x+3] AS DOUBLE), 0.0) + 0.5, 0.0), 1.0) AS b,
     CAST(1.0 AS DOUBLE) AS a
-  FROM embeddings, (SELECT unnest(range(21)) AS x))"""
+  FROM embeddings, (SELECT unnest(range(22)) AS x))"""
 
 DIMS = """dims AS (SELECT asset_id, frame_no, max(x)+1 AS w, max(y)+1 AS h FROM px_emb GROUP BY ALL)"""
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from framelake import tables as t
 from framelake.functions.color import luma
 from framelake.functions.ordering import top_share
-from framelake.operators import metrics, resample, stencil
+from framelake.operators import metrics, pointwise, resample, spectral, stencil
 from framelake.schemas import FRAME, PIXEL, RGB
 from framelake.workload.pixels import pair
 from framelake.workload.registry import pixels, query, r9
@@ -272,7 +272,7 @@ def ssim_sql(source: str = "pair") -> str:
       AND q.{axis}=least(greatest(p.{axis}+k,0),{limit}) GROUP BY ALL)"""
 
     value = "((2*ma*mb+0.0001)*(2*(ab-ma*mb)+0.0009))/((ma*ma+mb*mb+0.0001)*(greatest(aa-ma*ma,0)+greatest(bb-mb*mb,0)+0.0009))"
-    return f"{plane}, {one('pl', 'px1', 'x', '20')}, {one('px1', 'px2', 'y', '49')}, sm AS (SELECT asset_id, frame_no, avg({value}) AS ssim FROM px2 GROUP BY ALL)"
+    return f"{plane}, {one('pl', 'px1', 'x', '21')}, {one('px1', 'px2', 'y', '49')}, sm AS (SELECT asset_id, frame_no, avg({value}) AS ssim FROM px2 GROUP BY ALL)"
 
 
 @query("agg.ssim", f"WITH {PX_PAIR}, {ssim_sql()} SELECT asset_id, frame_no, round(ssim, 9) AS ssim FROM sm")
@@ -322,3 +322,51 @@ CAST = """mv AS (SELECT *, (r_mean+g_mean+b_mean)/3.0 AS m0 FROM stats), mv2 AS
 @query("agg.channel_cast", f"WITH {PX_EMB}, {STATS}, {CAST} SELECT asset_id, frame_no, round(cast_mag, 9) AS cast_mag, CASE WHEN cd = '' THEN 'neutral' ELSE cd END AS cast_dir FROM tags")
 def channel_cast(spark, sf):
     return metrics.channel_cast(t.px_emb(spark, sf)).select(*FRAME, r9("cast_mag"), "cast_dir")
+
+
+# Frames of several sizes: every eighth frame loses its last ten lines.
+UNEVEN = f"""{PX_EMB}, uneven AS (SELECT * FROM px_emb WHERE NOT (frame_no % 8 = 3 AND y >= 40)),
+  udims AS (SELECT asset_id, frame_no, max(x)+1 AS w, max(y)+1 AS h FROM uneven GROUP BY ALL),
+  ufirst AS (SELECT asset_id, arg_min(w, frame_no) AS fw, arg_min(h, frame_no) AS fh, count(*) AS n FROM udims GROUP BY asset_id)"""
+
+
+def uneven(spark, sf):
+    return t.px_emb(spark, sf).where(~((F.col("frame_no") % 8 == 3) & (F.col("y") >= 40)))
+
+
+def _size_errors(least: int) -> str:
+    return f"""WITH {UNEVEN} SELECT asset_id, frame_no, 'LAYOUT' AS code,
+      CASE WHEN n < {least} THEN n || ' frames, at least {least} needed' ELSE 'frame is ' || w || 'x' || h || ', its first frame ' || fw || 'x' || fh END AS reason
+    FROM udims JOIN ufirst USING (asset_id) WHERE n < {least} OR w <> fw OR h <> fh"""
+
+
+@query("agg.stack_errors", _size_errors(1))
+def stack_errors(spark, sf):
+    return metrics.stack_errors(uneven(spark, sf))
+
+
+@query("fx.register_errors", _size_errors(2))
+def register_errors(spark, sf):
+    return spectral.register_errors(uneven(spark, sf))
+
+
+@query("agg.stack_uneven", f"""WITH {UNEVEN} SELECT asset_id, y, x, round(avg(r), 9) AS r, round(avg(g), 9) AS g, round(avg(b), 9) AS b FROM uneven
+  WHERE asset_id NOT IN (SELECT asset_id FROM udims JOIN ufirst USING (asset_id) WHERE w <> fw OR h <> fh) GROUP BY ALL""")
+def stack_uneven(spark, sf):
+    return metrics.stack(uneven(spark, sf)).select("asset_id", "y", "x", *[r9(c) for c in RGB])
+
+
+@query("join.pair_errors", f"""WITH {UNEVEN} SELECT asset_id, frame_no, 'LAYOUT' AS code, 'frame dims differ: 22x50 vs 22x40' AS reason FROM udims WHERE h = 40""")
+def pair_errors(spark, sf):
+    return metrics.pair_errors(t.px_emb(spark, sf), uneven(spark, sf))
+
+
+@query("agg.mse_uneven", f"""WITH {UNEVEN} SELECT asset_id, frame_no, CAST(0.0 AS DOUBLE) AS mse FROM udims WHERE h = 50""")
+def mse_uneven(spark, sf):
+    return metrics.mse(t.px_emb(spark, sf), uneven(spark, sf)).select(*FRAME, r9("mse", 12))
+
+
+@query("px.crop_uneven", f"""WITH {UNEVEN} SELECT asset_id, frame_no, y - 20 AS y, x - 2 AS x, r, g, b FROM uneven JOIN udims USING (asset_id, frame_no)
+  WHERE w >= 12 AND h >= 50 AND x BETWEEN 2 AND 11 AND y BETWEEN 20 AND 49""")
+def crop_uneven(spark, sf):
+    return pointwise.crop(uneven(spark, sf), 2, 20, 10, 30).select(*PIXEL, *RGB)
