@@ -145,8 +145,24 @@ def _advance_many(step: np.ndarray):
     return advance
 
 
+MOST_CHANNELS = 2
+
+
+def layout_errors(samples: DataFrame) -> DataFrame:
+    """Assets with more channels than loudness is defined for here: mono or stereo."""
+    channels = samples.select(*CHANNEL).distinct().groupBy("asset_id").agg(F.count(F.lit(1)).alias("channels"))
+    return channels.where(F.col("channels") > MOST_CHANNELS).select(
+        "asset_id", F.lit(LAYOUT).alias("code"), F.format_string("%d channels, at most %d are measured", "channels", F.lit(MOST_CHANNELS)).alias("reason")
+    )
+
+
+def _measurable(steps: DataFrame) -> DataFrame:
+    """Assets that stay within ``MOST_CHANNELS`` in every step."""
+    return steps.groupBy("asset_id").agg(F.max("ch").alias("_ch")).where(F.col("_ch") <= MOST_CHANNELS).select("asset_id")
+
+
 def block_energy(samples: DataFrame, block: int, step: int, name: str = "energy") -> DataFrame:
-    """Mean square per full block, channels summed.
+    """Mean square per full block, channels summed; assets in ``layout_errors`` are left out.
 
     Samples first collapse to one partial sum per step (combined before the shuffle); only those
     partials are handed to the ``block/step`` blocks they belong to.
@@ -170,7 +186,7 @@ def blocks_of(steps: DataFrame, block: int, step: int, name: str = "energy") ->
     return (
         steps.withColumn("block", F.explode(F.sequence(F.greatest(F.col("sk") - span + 1, F.lit(0)), F.col("sk"))))
         .groupBy("asset_id", "block").agg((F.sum("e") / block).alias(name), F.sum("cnt").alias("_cnt"), F.max("ch").alias("_ch"))
-        .where(F.col("_cnt") == F.col("_ch") * block).select("asset_id", "block", name)
+        .where((F.col("_cnt") == F.col("_ch") * block) & (F.col("_ch") <= MOST_CHANNELS)).select("asset_id", "block", name)
     )
 
 
@@ -193,7 +209,7 @@ def integrated(blocks: DataFrame) -> DataFrame:
 def loudness(weighted: DataFrame, momentary: int, short_term: int, step: int) -> DataFrame:
     """Integrated loudness with the loudest momentary and short-term blocks.
 
-    The samples are read once, into step sums; everything after works on those.
+    The samples are read once, into step sums; everything after works on those. Assets in ``layout_errors`` are left out.
     """
     steps = cut_lineage(step_energy(weighted, step))
     blocks = blocks_of(steps, momentary, step)
@@ -201,7 +217,7 @@ def loudness(weighted: DataFrame, momentary: int, short_term: int, step: int) ->
     peak_s = blocks_of(steps, short_term, step).groupBy("asset_id").agg(lufs(F.max("energy")).alias("max_short_term_lufs"))
     silent = F.lit(float("-inf"))
     return (
-        steps.select("asset_id").distinct().join(integrated(blocks), "asset_id", "left").join(peak_m, "asset_id", "left").join(peak_s, "asset_id", "left")
+        _measurable(steps).join(integrated(blocks), "asset_id", "left").join(peak_m, "asset_id", "left").join(peak_s, "asset_id", "left")
         .select("asset_id", *[F.coalesce(c, silent).alias(c) for c in ("integrated_lufs", "max_momentary_lufs", "max_short_term_lufs")])
     )
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +31,7 @@ class Effect:
     run: Callable[..., DataFrame]
     params: tuple[Param, ...] = ()
     neutral: Callable[[dict], bool] = field(default=lambda p: False)
+    reads_again: bool = False  # its plan reads its input more than once
 
 
 def _float(key, default, lo=None, hi=None):
@@ -104,6 +105,13 @@ BUILT_IN = [
     Effect("weather.dehaze_dcp", stencil.dehaze_dcp, (_float("omega", 0.95, 0.5, 1), _float("t0", 0.1, 0.01, 0.5), _int("patch_radius", 7, 1, 31))),
 ]
 
+#: Effects that need frame sizes, frame statistics or several spectra, and so read their input more than once.
+READS_AGAIN = {
+    "compression.deblock", "deblur.richardson_lucy", "deblur.wiener", "face.skin_smooth_in_rect", "geometric.crop", "geometric.resize", "geometric.rotate_ortho",
+    "mask.alpha_rect", "stabilize.translate", "text.clahe", "upscale.bicubic", "upscale.catmull_rom", "upscale.lanczos", "weather.dehaze_dcp",
+}
+BUILT_IN = [replace(e, reads_again=e.id in READS_AGAIN) for e in BUILT_IN]
+
 
 class Registry:
     """Effects by id. User effects get the same parameter checks as the built-in ones."""

@@ -33,12 +33,21 @@ def parse_recipe(text: str) -> list[Step]:
 
 
 def apply_chain(px: DataFrame, steps: Sequence[Step], registry: Registry | None = None) -> DataFrame:
-    """Steps as one plan; a step whose bound parameters change nothing adds nothing to it."""
+    """Steps one after the other; a step whose bound parameters change nothing adds nothing.
+
+    A step that reads its input more than once starts from written rows unless its input is still the chain's own, so
+    no step is computed twice and the planned scans of a chain grow by a constant per step.
+    """
     registry = registry or Registry()
+    planned = 0  # steps since the last written rows
     for effect_id, _, params in steps:
         effect, bound = registry.get(effect_id), registry.bind(effect_id, params)
-        if not effect.neutral(bound):
-            px = effect.run(px, **bound)
+        if effect.neutral(bound):
+            continue
+        if planned and effect.reads_again:
+            px, planned = cut_lineage(px), 0
+        px = effect.run(px, **bound)
+        planned += 1
     return px
 
 

@@ -41,6 +41,24 @@ def _blocks(src: str, out: str, block: int, channels: int = 1) -> str:
     return f"""{out} AS (SELECT asset_id, j AS block, sum(v*v)/{block}.0 AS energy FROM {src}, LATERAL (SELECT unnest(range(greatest(n//{STEP} - {block // STEP - 1}, 0), n//{STEP} + 1)) AS j) GROUP BY ALL HAVING count(*) = {block * channels})"""
 
 
+WIDE = f"""{STEREO}, wide AS (SELECT * FROM stereo UNION ALL SELECT asset_id, 2, n, v FROM snd WHERE asset_id IN ('view', 'click'))"""
+
+
+def snd_wide(spark, sf):
+    third = t.snd_ev(spark, sf).where(F.col("asset_id").isin("view", "click")).withColumn("channel", F.lit(2))
+    return t.snd_stereo(spark, sf).unionByName(third)
+
+
+@query("au.layout_errors", f"WITH {WIDE} SELECT asset_id, 'LAYOUT' AS code, count(DISTINCT channel) || ' channels, at most 2 are measured' AS reason FROM wide GROUP BY asset_id HAVING count(DISTINCT channel) > 2")
+def layout_errors(spark, sf):
+    return audio.layout_errors(snd_wide(spark, sf))
+
+
+@query("au.block_energy_wide", f"WITH {WIDE}, keep AS (SELECT * FROM wide WHERE asset_id NOT IN ('view', 'click')), {_blocks('keep', 'bl', MOMENTARY, 2)} SELECT asset_id, block, round(energy, 12) AS energy FROM bl")
+def block_energy_wide(spark, sf):
+    return audio.block_energy(snd_wide(spark, sf), MOMENTARY, STEP).select("asset_id", "block", r9("energy", 12))
+
+
 @query("au.block_energy", f"WITH {STEREO}, {_blocks('stereo', 'bl', MOMENTARY, 2)} SELECT asset_id, block, round(energy, 12) AS energy FROM bl")
 def block_energy(spark, sf):
     return audio.block_energy(t.snd_stereo(spark, sf), MOMENTARY, STEP).select("asset_id", "block", r9("energy", 12))

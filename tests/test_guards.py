@@ -84,3 +84,23 @@ def test_undecodable_files_are_listed(spark, tmp_path):
     (tmp_path / "bad.png").write_bytes(b"not an image")
     assert [r.code for r in images.image_errors(spark, str(tmp_path)).collect()] == ["LAYOUT"]
     assert images.read_images(spark, str(tmp_path)).count() == 0
+
+
+def test_chain_plans_grow_by_a_constant(spark, frame, noise):
+    path_rows = frame(noise[:40, :30])
+    scans = []
+    for n in range(1, 7):
+        done = chain.apply_chain(path_rows, [("text.clahe", None, {"tiles_x": 2, "tiles_y": 2})] * n)
+        plan = done._jdf.queryExecution().optimizedPlan().toString()
+        scans.append(plan.count("Relation [") + plan.count("LogicalRDD") + plan.count("LocalRelation"))
+    assert max(scans) <= scans[0] + 1, scans
+
+
+def test_three_channels_are_listed(spark):
+    from framelake.operators import audio
+
+    rows = [(a, c, n, 0.5) for a, most in (("mono", 1), ("wide", 3)) for c in range(most) for n in range(4800)]
+    samples = spark.createDataFrame(rows, "asset_id STRING, channel INT, n BIGINT, v DOUBLE")
+    assert [r.asset_id for r in audio.layout_errors(samples).collect()] == ["wide"]
+    assert {r.asset_id for r in audio.block_energy(samples, 400, 100).collect()} == {"mono"}
+    assert {r.asset_id for r in audio.loudness(samples, 400, 800, 100).collect()} == {"mono"}
