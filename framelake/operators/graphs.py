@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.errors import GRAPH
-from framelake.session import cut_lineage
+from framelake.session import cut_lineage, staging_path
 
 NODE = ["project_id", "node_id"]
 
@@ -44,7 +44,8 @@ def topo_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     # never settle, and after the longest possible chain has been covered they are left over.
     anchors = hop.where("fan <> 1").select("project_id", F.col("node_id").alias("up"), F.lit(True).alias("settled"))
     state = hop.join(anchors, ["project_id", "up"], "left").select(*NODE, "fan", "up", "far", F.coalesce("settled", F.lit(False)).alias("settled"))
-    state, reach, longest = cut_lineage(state), 1, nodes.count()
+    largest = nodes.groupBy("project_id").count().agg(F.max("count")).first()[0] or 0
+    state, reach, longest = cut_lineage(state), 1, largest
     while reach <= longest and not state.where("not settled").isEmpty():
         ahead = state.select("project_id", F.col("node_id").alias("up"), F.col("up").alias("_up"), F.col("far").alias("_far"), F.col("settled").alias("_done"))
         moving = state.where("not settled").join(ahead, ["project_id", "up"], "left")
@@ -115,6 +116,30 @@ def ancestors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return known.where("node_id <> ancestor").unionByName(self_too)
 
 
+def upstream_of(sinks: DataFrame, edges: DataFrame) -> DataFrame:
+    """``project_id, sink, ancestor``: every node a given sink depends on, itself included.
+
+    Only what the sinks reach is expanded, one step of edges per round; all rounds append to one written table, from
+    which a round reads what is known. Cycles end when nothing new is reached.
+    """
+    spark, path = sinks.sparkSession, staging_path(sinks.sparkSession, "upstream")
+    pair = ["project_id", "sink", "ancestor"]
+    fresh = sinks.select("project_id", F.col("node_id").alias("sink"), F.col("node_id").alias("ancestor")).distinct()
+    steps = edges.select("project_id", F.col("dst").alias("ancestor"), F.col("src").alias("_up")).distinct()
+    schema = fresh.schema
+    read = lambda where: spark.read.schema(schema).parquet(where)
+    rounds = 0
+    while True:
+        here = f"{path}/part{rounds}"
+        fresh.write.parquet(here)
+        last, rounds = read(here), rounds + 1
+        if last.isEmpty():
+            return spark.read.schema(schema).parquet(*[f"{path}/part{k}" for k in range(rounds)])
+        known = spark.read.schema(schema).parquet(*[f"{path}/part{k}" for k in range(rounds)])
+        above = last.join(steps, ["project_id", "ancestor"]).select("project_id", "sink", F.col("_up").alias("ancestor")).distinct()
+        fresh = above.join(known, pair, "left_anti")
+
+
 def _compose(first: DataFrame, second: DataFrame) -> DataFrame:
     """Pairs reached by a pair of ``first`` followed by a pair of ``second``."""
     onward = second.select("project_id", F.col("node_id").alias("ancestor"), F.col("ancestor").alias("_far"))

@@ -538,6 +538,14 @@ def ancestors(spark, sf):
     return graphs.ancestors(*t.dag_orders(spark, sf))
 
 
+@query("graph.upstream_of", """WITH RECURSIVE an AS (SELECT o_orderkey AS n, o_orderkey AS a FROM orders WHERE o_orderkey % 100 = 7 UNION ALL SELECT n, a // 2 FROM an WHERE a >= 1)
+  SELECT 'orders' AS project_id, CAST(n AS VARCHAR) AS sink, CAST(a AS VARCHAR) AS ancestor FROM an""")
+def upstream_of(spark, sf):
+    nodes, edges = t.dag_orders(spark, sf)
+    sinks = nodes.where(F.col("node_id").cast("bigint") % 100 == 7)
+    return graphs.upstream_of(sinks, edges)
+
+
 def _catalogue_rows():
     rows = []
     reg = Registry()
