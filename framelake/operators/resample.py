@@ -140,9 +140,18 @@ def upscale_lanczos(px: DataFrame, scale: float = 2.0, lobes: int = 3, frames: D
 def translate(px: DataFrame, motion: DataFrame, subpixel: bool = True, frames: DataFrame | None = None) -> DataFrame:
     """Shift each frame by its row of ``motion`` (``dx, dy``), edges replicated; a frame without a row stays as it is."""
     moves = motion.select(*FRAME, *[(F.col(d) if subpixel else F.round(d)).cast("double").alias(d) for d in ("dx", "dy")])
+    return _shifted(with_dims(px, frames).join(moves, FRAME, "left").fillna(0.0, ["dx", "dy"]), subpixel)
+
+
+def translate_all(px: DataFrame, dx: float, dy: float, subpixel: bool = True, frames: DataFrame | None = None) -> DataFrame:
+    """Shift all frames alike."""
+    dx, dy = (dx, dy) if subpixel else (float(np.floor(abs(d) + 0.5) * np.sign(d)) for d in (dx, dy))
+    return _shifted(with_dims(px, frames).withColumns({"dx": F.lit(float(dx)), "dy": F.lit(float(dy))}), subpixel)
+
+
+def _shifted(moved: DataFrame, subpixel: bool) -> DataFrame:
     axes = Axis(shift="dy"), Axis(shift="dx")
     taps, weight = (range(0, 2), kernels.tent) if subpixel else (range(0, 1), kernels.flat)
-    moved = with_dims(px, frames).join(moves, FRAME, "left").fillna(0.0, ["dx", "dy"])
     return resample(moved, axes, taps, weight, clip=False)
 
 

@@ -60,8 +60,7 @@ def _lut(px, path, strength):
 
 
 def _translate(px, dx, dy, subpixel):
-    motion = px.select("asset_id", "frame_no").distinct().select("*", F.lit(float(dx)).alias("dx"), F.lit(float(dy)).alias("dy"))
-    return resample.translate(px, motion, subpixel)
+    return resample.translate_all(px, dx, dy, subpixel)
 
 
 # Effect ids with their parameters, defaults and ranges.

@@ -56,8 +56,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for one run inside the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/framelake/{name}-{uuid.uuid4().hex}"
+    """A fresh path for one run inside the shared folder, below a folder of this application."""
+    return f"{_application_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _application_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/framelake/{spark.sparkContext.applicationId}"
+
+
+def clear_steps(spark: SparkSession) -> None:
+    """Delete the step folders of this application; call it when the results that read them are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_application_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _shipped: set[str] = set()

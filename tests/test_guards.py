@@ -104,3 +104,23 @@ def test_three_channels_are_listed(spark):
     assert [r.asset_id for r in audio.layout_errors(samples).collect()] == ["wide"]
     assert {r.asset_id for r in audio.block_energy(samples, 400, 100).collect()} == {"mono"}
     assert {r.asset_id for r in audio.loudness(samples, 400, 800, 100).collect()} == {"mono"}
+
+
+def test_step_folders_can_be_cleared(spark):
+    import pathlib
+
+    from framelake.session import clear_steps, cut_lineage
+
+    kept = cut_lineage(spark.range(5))
+    folder = pathlib.Path("/" + kept.inputFiles()[0].removeprefix("file:").lstrip("/")).parent
+    assert folder.exists()
+    clear_steps(spark)
+    assert not folder.exists()
+
+
+def test_all_frames_shift_alike(spark, frame, noise, block):
+    px = frame(noise[:12, :9])
+    motion = px.select("asset_id", "frame_no").distinct().selectExpr("*", "1.5D AS dx", "-2.0D AS dy")
+    for subpixel in (True, False):
+        want = block(resample.translate(px, motion, subpixel))
+        np.testing.assert_allclose(block(resample.translate_all(px, 1.5, -2.0, subpixel)), want, atol=1e-12)
