@@ -93,17 +93,21 @@ def _stretches(pieces: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.nda
         span *= 2
     if width > span:
         low = np.minimum(low[: len(low) - (width - span)], low[width - span :])
-    windows = np.maximum(sizes - FLOOR + 1, 0)
-    owner = np.repeat(np.arange(len(sizes)), windows)
-    at = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-    anchor = low[at + np.repeat(np.cumsum(sizes) - sizes, windows)] >> np.uint64(16)
-    new = np.ones(len(owner), bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (anchor[1:] != anchor[:-1])
-    heads = np.flatnonzero(new)
-    since = np.arange(len(owner)) - heads[np.cumsum(new) - 1]
-    heads = np.flatnonzero(since % STRETCH_WINDOWS == 0)
+    # Stretches begin at a piece's first window and where the anchor changes; windows across pieces are left out.
+    first = np.cumsum(sizes) - sizes
+    last = first + sizes - FLOOR  # every piece holds a window
+    heads = np.unique(np.concatenate([first, last + 1, np.flatnonzero(low[1:] != low[:-1]) + 1]))
+    owner = np.searchsorted(first, heads, "right") - 1
+    inside = heads <= last[owner]
+    windows = np.diff(np.append(heads, last[-1] + 1))[inside]
+    heads, owner = heads[inside], owner[inside]
+    parts = -(-windows // STRETCH_WINDOWS)
+    if len(parts) and parts.max() > 1:
+        cut = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        windows = np.minimum(np.repeat(windows, parts) - cut * STRETCH_WINDOWS, STRETCH_WINDOWS)
+        heads, owner = np.repeat(heads, parts) + cut * STRETCH_WINDOWS, np.repeat(owner, parts)
     number, offset = np.array([k for k, _, _ in pieces]), np.array([o for _, o, _ in pieces])
-    return number[owner[heads]], at[heads] + offset[owner[heads]], np.diff(np.append(heads, len(owner))), anchor[heads]
+    return number[owner], heads - first[owner] + offset[owner], windows, low[heads] >> np.uint64(16)
 
 
 def _packed_anchors(anchor: np.ndarray, text: np.ndarray, hashes: np.ndarray) -> bytes:

@@ -42,23 +42,33 @@ class RunLengthIndex:
             symbol[inside] = self.text[np.flatnonzero(inside) + k]
             key = key << 9 | symbol
         depth, longest = min(FIRST, floor), int(self.left.max(initial=0))
+        # A rank is the place of the first suffix of its group; groups of one are final and not sorted again.
+        order, rank = np.arange(n), np.zeros(n, np.int64)
+        slots = open_ = np.arange(n)
         groups = None
         while True:
-            order = np.argsort(key, kind="stable")
-            by = key[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.concatenate([[1], by[1:] != by[:-1]])) if n else by
+            sort = np.argsort(key)
+            open_, key = open_[sort], key[sort]
+            order[slots] = open_
+            head = np.ones(len(key), bool)
+            head[1:] = key[1:] != key[:-1]
+            starts = np.flatnonzero(head)
+            rank[open_] = np.repeat(slots[starts], np.diff(np.append(starts, len(key))))
             if groups is None and 2 * depth >= floor:
                 # Two overlapping (or touching) stretches of ``depth`` symbols give the first ``floor`` symbols.
                 groups = np.full(n, -1, np.int64)
                 long = np.flatnonzero(self.left >= floor)
                 groups[long] = rank[long] * (n + 1) + rank[long + floor - depth]
-            if depth > longest or (n and rank[order[-1]] == n):
+            single = head & np.append(head[1:], True)
+            slots, open_ = slots[~single], open_[~single]
+            if not len(open_) or depth > longest:
                 break
-            key = rank * (n + 1)
-            inside = np.flatnonzero(self.left > depth)
-            key[inside] += rank[inside + depth]
+            key = rank[open_] * (n + 2)
+            inside = self.left[open_] > depth
+            key[inside] += rank[open_[inside] + depth] + 1
             depth *= 2
+        if len(open_):  # equal to the strings' ends: in the order of the strings
+            order[slots] = open_[np.lexsort((open_, rank[open_]))]
         if groups is None:
             groups = np.full(n, -1, np.int64)
             long = np.flatnonzero(self.left >= floor)
@@ -72,7 +82,7 @@ class RunLengthIndex:
         start[1:] = (at[1:] != at[:-1]) | (at[1:] < 0)
         heads = np.flatnonzero(start)
         least = np.minimum.reduceat(self.owner[order], heads) if len(heads) else np.zeros(0, np.int64)
-        self.block_starts, self.block_first = heads, least
+        self.first_at = np.repeat(least, np.diff(np.append(heads, len(at)))).astype(np.int32)
 
     def _runs(self, order: np.ndarray) -> None:
         before = np.where(order > 0, self.text[order - 1], 0)
@@ -82,6 +92,7 @@ class RunLengthIndex:
         self.run_start = np.flatnonzero(start)
         self.run_symbol = before[self.run_start].astype(np.int64)
         self.run_end = np.append(self.run_start[1:], len(before)) - 1
+        self.run_at = np.repeat(np.arange(len(self.run_start), dtype=np.int32), np.diff(np.append(self.run_start, len(before))))
         self.head_at, self.tail_at = order[self.run_start], order[self.run_end]  # sampled text positions of run ends
         sizes = self.run_end - self.run_start + 1
         counts = np.bincount(self.text[: len(before)], minlength=258).astype(np.int64)
@@ -91,6 +102,7 @@ class RunLengthIndex:
         per = np.bincount(self.run_symbol, weights=sizes, minlength=258).astype(np.int64)
         self.run_to = np.empty(len(by), np.int64)  # where the first suffix of a run goes when its symbol is put in front
         self.run_to[by] = done - (np.cumsum(per) - per)[self.run_symbol[by]] + first[self.run_symbol[by]]
+        self.run_skip = self.run_to - self.run_start
         self.by_symbol, self.symbol_from = by, np.concatenate([[0], np.cumsum(np.bincount(self.run_symbol, minlength=258))])
         # Runs by (symbol, place) in one array, so that one search serves cursors with different symbols.
         self.width = len(before) + 1
@@ -132,15 +144,15 @@ class RunLengthIndex:
             off = np.flatnonzero(self.run_symbol[r] != c)
             if len(off):
                 k[off], r[off], p[off], m[off] = self._moved(c[off], k[off], p[off], m[off])
-            found = r >= 0
-            k = np.where(found, self.run_to[r] + k - self.run_start[r], 0)
-            p = np.where(found, p - 1, self.head_at[0])
-            m = np.where(found, m + 1, 0)
+            k = k + self.run_skip[r]
+            p, m = p - 1, m + 1
+            if len(off) and (lost := r < 0).any():  # a symbol that the strings do not hold
+                k[lost], p[lost], m[lost] = 0, self.head_at[0], 0
             place[now], at[now], held[now] = k, p, m
-            run[now] = np.searchsorted(self.run_start, k, "right") - 1
+            run[now] = self.run_at[k]
             length[where], position[where] = m, p
             deep = np.flatnonzero(m >= self.floor)
-            first[where[deep]] = self.block_first[np.searchsorted(self.block_starts, k[deep], "right") - 1]
+            first[where[deep]] = self.first_at[k[deep]]
         return length, position, first
 
     def _moved(self, c: np.ndarray, k: np.ndarray, p: np.ndarray, m: np.ndarray):
