@@ -1,8 +1,8 @@
 """Secrets in text: fixed patterns, and strings that a primed compressor finds new.
 
 Base findings come from three patterns (``assign``, ``access``, ``hex``). The novelty method adds ``novel`` findings: a run of
-token characters in a sensitive context (a word such as "credential" shortly before it in the line) is compressed by
-zstandard twice, with a dictionary of the surrounding text and of identifiers: once the context alone, once with the run
+token characters in a sensitive context (a word such as "credential" before it in the line or in the line above, and on through
+the lines of a block or of a wrapped run) is compressed by zstandard twice, with a dictionary of the surrounding text and of identifiers: once the context alone, once with the run
 behind it. The extra bytes it costs, per character, are its novelty. Words and names seen nearby cost little; random
 keys cost nearly all their bytes and are reported.
 
@@ -13,8 +13,10 @@ part a step compresses, so cost follows the text length. Positions are code poin
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -34,6 +36,11 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 SENSITIVE = ("credential", "auth", "bearer", "private", "secret", "token", "passw", "pwd", "key", "signature", "access", "cookie", "session")
 SENSITIVE_WORD = re.compile("|".join(SENSITIVE), re.ASCII | re.IGNORECASE)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Characters around a run that stands alone in its line, and such a line.
+EDGES = " \t\r\n\"'`,;|>\\+#*-"
+BARE_LINE = re.compile(r"""[\x20\t"'`|>#*-]*+([A-Za-z0-9+/_=.-]++)[\x20\t\r"'`,;\\]*+(?:\+\s*+)?$""")
+#: Line widths of common encoders.
+WRAPPED = (60, 64, 72, 76)
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{2,}")
 
 #: Identifiers that code and configuration files share.
@@ -57,7 +64,6 @@ username utf-8 value variable version void volume warning webhook width window w
 class Novelty:
     """How the novelty method decides."""
 
-    reach: int = 48  #: characters of the line before a candidate that may hold a sensitive word
     window: int = 512  #: characters of surrounding text on either side that prime the dictionary
     bytes_per_char: float = 0.72  #: least marginal compressed bytes per character
     level: int = 9
@@ -91,6 +97,37 @@ def marginal_bytes(run: str, before: str, after: str, level: int) -> int:
     return len(tool.compress(tail + run.encode())) - len(tool.compress(tail))
 
 
+def sensitive_stretches(text: str) -> Iterator[tuple[int, int]]:
+    """``(start, end)`` of what sensitive words cover, at most one stretch a line.
+
+    A word covers the rest of its line and the next line that is not blank; from there on, and from any line after it, a line that
+    is nothing but one run covers the next such line. An armored block (``-----BEGIN``) is covered up to its end.
+    """
+    start, follows, armored = 0, False, -1
+    while start < len(text):
+        stop = text.find("\n", start)
+        stop = len(text) if stop < 0 else stop
+        word = SENSITIVE_WORD.search(text, start, stop)
+        bare = BARE_LINE.match(text, start, stop)
+        if follows or start < armored:
+            yield start, stop
+        elif word:
+            yield word.end(), stop
+        if word and text.find("-----BEGIN", start, stop) >= 0:
+            armored = max(armored, text.find("-----END", stop))
+        if word or text[start:stop].strip():  # blank lines change nothing
+            follows = bool(word) or (follows and bare is not None)
+        start = stop + 1
+
+
+def _views(run: str) -> list[int]:
+    """Where a key may start in a run: at its start, behind names that end in ``=``, behind its last sensitive word."""
+    body = run.rstrip("=")
+    at = {len(run) - len(run.lstrip("=")), *(m.end() for m in re.finditer("=+", body))}
+    at |= {max((m.end() for m in SENSITIVE_WORD.finditer(run)), default=0)}
+    return sorted(k for k in at if len(run) - k >= 15)
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, str]], law: Novelty) -> list[tuple[int, int, str]]:
     """Runs in a sensitive context that stay large when compressed against what surrounds them."""
     low = text.lower()
@@ -98,29 +135,44 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], law: Novelty) -> l
         return []
     out, covered = [], sorted(taken)
     at = 0
-    last = -1
-    for word in SENSITIVE_WORD.finditer(text):
-        stop = text.find("\n", word.end(), word.end() + law.reach)
-        stop = word.end() + law.reach if stop < 0 else stop
-        at_least = stop + 16  # enough to see a run that begins before ``stop``
-        for seen in CANDIDATE.finditer(text, max(word.end(), last), at_least):
-            if seen.start() >= stop:
-                break
-            if seen.start() < last:
-                continue
-            m = CANDIDATE.match(text, seen.start())
-            last = m.end()
+    wrapped = (-1, 0, False)  # where the last reported run ends, its width, whether more of it follows for sure
+    for start, stop in sensitive_stretches(text):
+        for m in CANDIDATE.finditer(text, start, stop):
             while at < len(covered) and covered[at][1] <= m.start():
                 at += 1
             if (at < len(covered) and covered[at][0] < m.end()) or not _mixed(m[0]):
                 continue
-            before, after = text[max(0, m.start() - law.window) : m.start()], text[m.end() : m.end() + law.window]
-            shown = m[0][:4096]  # a longer run is judged by its head and reported whole
-            if marginal_bytes(shown, before, after, law.level) >= law.bytes_per_char * len(shown):
-                out.append((m.start(), m.end(), "novel"))
+            for k in _views(m[0]):
+                if _mixed(m[0][k:]) and is_new(text, m.start() + k, m.end(), law):
+                    out.append((m.start() + k, m.end(), "novel"))
+                    break
+        bare = BARE_LINE.match(text, start, stop)
+        if bare and wrapped[0] >= 0 and not text[wrapped[0] : bare.start(1)].strip(EDGES) and not (out and out[-1][1] > bare.start(1)):
+            # The rest of a run wrapped over lines: too short or too plain to be judged by itself.
+            short = bare.end(1) - bare.start(1)
+            if short <= wrapped[1] and (wrapped[2] or bare[1].endswith("=") or _mixed(bare[1])) and not _touches(covered, bare.start(1), bare.end(1)):
+                out.append((bare.start(1), bare.end(1), "novel"))
+        if out and not text[out[-1][1] : stop].strip(EDGES) and out[-1][1] > start:
+            width = out[-1][1] - out[-1][0]
+            wrapped = (out[-1][1], width, width == wrapped[1] and wrapped[0] >= 0 or width in WRAPPED)
+        else:
+            wrapped = (-1, 0, False)
     return out
 
 
+def _touches(spans: list[tuple[int, int, str]], start: int, end: int) -> bool:
+    """Whether ``start, end`` meets one of the ordered spans."""
+    k = bisect.bisect_left(spans, (end,))
+    return any(e > start for _, e, _ in spans[max(0, k - 3) : k])
+
+
+def is_new(text: str, start: int, end: int, law: Novelty) -> bool:
+    """Whether a run costs as much as a key does."""
+    before, after = text[max(0, start - law.window) : start], text[end : end + law.window]
+    shown = text[start:end][:4096]  # a longer run is judged by its head and reported whole
+    return marginal_bytes(shown, before, after, law.level) >= law.bytes_per_char * len(shown)
+
+
 def find_secrets(text: str | None, law: Novelty = Novelty()) -> list[tuple[int, int, str]]:
     """All findings of one text by start, then kind."""
     if not text:
