@@ -4,7 +4,8 @@ Base findings come from three patterns (``assign``, ``access``, ``hex``). The no
 token characters in a sensitive context (a word such as "credential" before it in the line or in the line above, and on through
 the lines of a block or of a wrapped run) is compressed by zstandard twice, with a dictionary of the surrounding text and of identifiers: once the context alone, once with the run
 behind it. The extra bytes it costs, per character, are its novelty. Words and names seen nearby cost little; random
-keys cost nearly all their bytes and are reported.
+keys cost nearly all their bytes and are reported. Copies of the run itself do not prime the compressor, a distinct run is
+judged once per text, and a run that is new is reported at every place where it stands.
 
 Defined results: a null text counts as empty and has no findings; ids and repeated rows are kept as they are; an empty
 table gives an empty table; other columns are not read. Texts are scanned whole; a window around one candidate is the only
@@ -39,6 +40,9 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Characters around a run that stands alone in its line, and such a line.
 EDGES = " \t\r\n\"'`,;|>\\+#*-"
 BARE_LINE = re.compile(r"""[\x20\t"'`|>#*-]*+([A-Za-z0-9+/_=.-]++)[\x20\t\r"'`,;\\]*+(?:\+\s*+)?$""")
+TOKENS = re.compile(r"[A-Za-z0-9+/_=-]{13,}")
+#: First characters by which a reported run is looked up elsewhere; no reported run without padding is shorter.
+HEAD = 13
 #: Line widths of common encoders.
 WRAPPED = (60, 64, 72, 76)
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{2,}")
@@ -116,16 +120,18 @@ def sensitive_stretches(text: str) -> Iterator[tuple[int, int]]:
         if word and text.find("-----BEGIN", start, stop) >= 0:
             armored = max(armored, text.find("-----END", stop))
         if word or text[start:stop].strip():  # blank lines change nothing
-            follows = bool(word) or (follows and bare is not None)
+            follows = bool(word) or (follows and bare is not None and len(bare[1]) >= 16)
         start = stop + 1
 
 
-def _views(run: str) -> list[int]:
-    """Where a key may start in a run: at its start, behind names that end in ``=``, behind its last sensitive word."""
-    body = run.rstrip("=")
-    at = {len(run) - len(run.lstrip("=")), *(m.end() for m in re.finditer("=+", body))}
-    at |= {max((m.end() for m in SENSITIVE_WORD.finditer(run)), default=0)}
-    return sorted(k for k in at if len(run) - k >= 15)
+def _views(run: str) -> Iterator[list[tuple[int, int]]]:
+    """Parts of a run that may be keys, best first: what ``=`` parts, all of it, what follows the last sensitive word."""
+    parts = [m.span() for m in re.finditer("[^=]+=*", run)]
+    yield [(a, b) for a, b in parts if b - a >= 15]
+    if len(parts) > 1:
+        yield [(parts[0][0], len(run))]
+    word = max((m.end() for m in SENSITIVE_WORD.finditer(run)), default=len(run))
+    yield [(word, len(run))] if len(run) - word >= 15 else []
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, str]], law: Novelty) -> list[tuple[int, int, str]]:
@@ -134,6 +140,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], law: Novelty) -> l
     if not any(w in low for w in SENSITIVE):
         return []
     out, covered = [], sorted(taken)
+    verdicts: dict[str, bool] = {}
     at = 0
     wrapped = (-1, 0, False)  # where the last reported run ends, its width, whether more of it follows for sure
     for start, stop in sensitive_stretches(text):
@@ -142,9 +149,16 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], law: Novelty) -> l
                 at += 1
             if (at < len(covered) and covered[at][0] < m.end()) or not _mixed(m[0]):
                 continue
-            for k in _views(m[0]):
-                if _mixed(m[0][k:]) and is_new(text, m.start() + k, m.end(), law):
-                    out.append((m.start() + k, m.end(), "novel"))
+            for parts in _views(m[0]):
+                new = []
+                for a, b in parts:
+                    shown = m[0][a:b]
+                    if shown not in verdicts:
+                        verdicts[shown] = _mixed(shown) and is_new(text, m.start() + a, m.start() + b, law)
+                    if verdicts[shown]:
+                        new.append((m.start() + a, m.start() + b, "novel"))
+                if new:
+                    out += new
                     break
         bare = BARE_LINE.match(text, start, stop)
         if bare and wrapped[0] >= 0 and not text[wrapped[0] : bare.start(1)].strip(EDGES) and not (out and out[-1][1] > bare.start(1)):
@@ -157,6 +171,31 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], law: Novelty) -> l
             wrapped = (out[-1][1], width, width == wrapped[1] and wrapped[0] >= 0 or width in WRAPPED)
         else:
             wrapped = (-1, 0, False)
+    return out + other_places(text, [s for s, yes in verdicts.items() if yes], covered, out)
+
+
+def other_places(text: str, found: list[str], taken: list[tuple[int, int, str]], novel: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Where else in ``text`` the ``found`` runs stand, sensitive context or not, and without their padding too."""
+    strings = {s.rstrip("=") for s in found}
+    known: dict[str, set[int]] = {}
+    for s in strings:
+        known.setdefault(s[:HEAD], set()).add(-len(s))
+    if not known:
+        return []
+    sizes = {head: sorted(n) for head, n in known.items()}  # longest first
+    out, novel, at = [], sorted(novel), 0
+    for m in TOKENS.finditer(text):
+        k = m.start()
+        while k <= m.end() - HEAD:
+            stop = next((k - n for n in sizes.get(text[k : k + HEAD], ()) if text[k : k - n] in strings), None)
+            if stop is None:
+                k += 1
+                continue
+            while at < len(novel) and novel[at][1] <= k:
+                at += 1
+            if not (at < len(novel) and novel[at][0] < stop) and not _touches(taken, k, stop):
+                out.append((k, stop, "novel"))
+            k = stop
     return out
 
 
@@ -166,10 +205,29 @@ def _touches(spans: list[tuple[int, int, str]], start: int, end: int) -> bool:
     return any(e > start for _, e, _ in spans[max(0, k - 3) : k])
 
 
+def _without(text: str, start: int, end: int, copies: list[str]) -> str:
+    """``text[start:end]`` without what belongs to a copy of one of the strings, even if the copy crosses an end."""
+    gone = []
+    for s in copies:
+        at = text.find(s, max(0, start - len(s) + 1), end + len(s) - 1)
+        while at >= 0:
+            gone.append((at, at + len(s)))
+            at = text.find(s, at + len(s), end + len(s) - 1)
+    kept = []
+    for a, b in sorted(gone):
+        if a > start:
+            kept.append(text[start:a])
+        start = max(start, b)
+    return "".join([*kept, text[start:end]])
+
+
 def is_new(text: str, start: int, end: int, law: Novelty) -> bool:
-    """Whether a run costs as much as a key does."""
-    before, after = text[max(0, start - law.window) : start], text[end : end + law.window]
-    shown = text[start:end][:4096]  # a longer run is judged by its head and reported whole
+    """Whether a run costs as much as a key does next to what surrounds it but for its own copies."""
+    run = text[start:end]
+    copies = [run, *(p for p in run.split("=") if 15 <= len(p) < len(run))]
+    before = _without(text, max(0, start - law.window), start, copies)
+    after = _without(text, end, min(len(text), end + law.window), copies)
+    shown = run[:4096]  # a longer run is judged by its head and reported whole
     return marginal_bytes(shown, before, after, law.level) >= law.bytes_per_char * len(shown)
 
 

@@ -210,6 +210,16 @@ def test_secrets_reach_over_lines():
     assert _masked(dashes) == dashes
 
 
+def test_secrets_that_stand_twice():
+    a, b = _key(30, 40), _key(31, 32) + "=="
+    text = f"Authorization: Bearer {a}\nhost one\nAuthorization: Bearer {a}\nclient_key={b} and {b[:-2]} far off{' word' * 200}\n\nlist\nand {a}x"
+    assert _masked(text) == text.replace(a, "[secret]").replace(b, "[secret]").replace(b[:-2], "[secret]")
+    lines = "\n".join([f"auth {a}"] * 3000)
+    assert secret_scan.find_secrets(lines) == [(k * 46 + 5, k * 46 + 45, "novel") for k in range(3000)]
+    edge = f"key {a}\n{'y ' * 245}\nkey {a}\n"  # the first copy crosses the border of the window
+    assert _masked(edge).count("[secret]") == 2
+
+
 def test_secrets_of_documents_equal_the_plain_patterns(spark):
     plain = {
         "assign": re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
