@@ -3,8 +3,9 @@
 Base findings come from three patterns (``assign``, ``access``, ``hex``). The novelty method adds ``novel`` findings: a run of
 token characters in a sensitive context (a word such as "credential" before it in the line or in the line above, and on through
 the lines of a block or of a wrapped run) is compressed by zstandard twice, with a dictionary of the surrounding text and of identifiers: once the context alone, once with the run
-behind it. The extra bytes it costs, per character, are its novelty. Words and names seen nearby cost little; random
-keys cost nearly all their bytes and are reported. Copies of the run itself do not prime the compressor, a distinct run is
+behind it. The extra bytes it costs are its novelty, compared with its length and with what a random string over its alphabet
+would cost. Words and names seen nearby cost little; random keys cost nearly all their bytes and are reported. Long runs are
+judged in consecutive windows and reported whole if one of them is new. Copies of the run itself do not prime the compressor, a distinct run is
 judged once per text, and a run that is new is reported at every place where it stands.
 
 Defined results: a null text counts as empty and has no findings; ids and repeated rows are kept as they are; an empty
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,6 +42,8 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Characters around a run that stands alone in its line, and such a line.
 EDGES = " \t\r\n\"'`,;|>\\+#*-"
 BARE_LINE = re.compile(r"""[\x20\t"'`|>#*-]*+([A-Za-z0-9+/_=.-]++)[\x20\t\r"'`,;\\]*+(?:\+\s*+)?$""")
+#: Four or more times the same in a row.
+PERIODIC = re.compile(r"(.{1,16}?)\1{3,}+")
 TOKENS = re.compile(r"[A-Za-z0-9+/_=-]{13,}")
 #: First characters by which a reported run is looked up elsewhere; no reported run without padding is shorter.
 HEAD = 13
@@ -69,7 +73,10 @@ class Novelty:
     """How the novelty method decides."""
 
     window: int = 512  #: characters of surrounding text on either side that prime the dictionary
-    bytes_per_char: float = 0.72  #: least marginal compressed bytes per character
+    bytes_per_char: float = 0.72  #: marginal compressed bytes per character that always suffice
+    share: float = 1.02  #: for 64 characters and more, share of a random string's bytes that suffices together with ``table``
+    table: float = 8.0  #: bytes of a code table
+    span: int = 256  #: characters of a run that are judged together
     level: int = 9
 
 
@@ -134,6 +141,17 @@ def _views(run: str) -> Iterator[list[tuple[int, int]]]:
     yield [(word, len(run))] if len(run) - word >= 15 else []
 
 
+def _open_parts(run: re.Match, covered: list[tuple[int, int, str]], at: int) -> list[tuple[int, int]]:
+    """Parts of a run that no pattern finding from ``covered[at]`` on covers."""
+    out, reach = [], run.start()
+    while at < len(covered) and covered[at][0] < run.end():
+        out.append((reach - run.start(), covered[at][0] - run.start()))
+        reach = max(reach, covered[at][1])
+        at += 1
+    out.append((reach - run.start(), run.end() - run.start()))
+    return [(a, b) for a, b in out if b - a >= 15]
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, str]], law: Novelty) -> list[tuple[int, int, str]]:
     """Runs in a sensitive context that stay large when compressed against what surrounds them."""
     low = text.lower()
@@ -147,9 +165,10 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], law: Novelty) -> l
         for m in CANDIDATE.finditer(text, start, stop):
             while at < len(covered) and covered[at][1] <= m.start():
                 at += 1
-            if (at < len(covered) and covered[at][0] < m.end()) or not _mixed(m[0]):
+            if not _mixed(m[0]):
                 continue
-            for parts in _views(m[0]):
+            over = at < len(covered) and covered[at][0] < m.end()
+            for parts in [_open_parts(m, covered, at)] if over else _views(m[0]):
                 new = []
                 for a, b in parts:
                     shown = m[0][a:b]
@@ -158,7 +177,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], law: Novelty) -> l
                     if verdicts[shown]:
                         new.append((m.start() + a, m.start() + b, "novel"))
                 if new:
-                    out += new
+                    out += [(m.start(), m.end(), "novel")] if over else new
                     break
         bare = BARE_LINE.match(text, start, stop)
         if bare and wrapped[0] >= 0 and not text[wrapped[0] : bare.start(1)].strip(EDGES) and not (out and out[-1][1] > bare.start(1)):
@@ -221,14 +240,48 @@ def _without(text: str, start: int, end: int, copies: list[str]) -> str:
     return "".join([*kept, text[start:end]])
 
 
+def random_bytes(run: str) -> float:
+    """Least bytes that the compressor needs for a random string of the length and alphabet of ``run``.
+
+    Up to 63 characters are stored as they are. Longer ones are entropy coded with a table: over few characters what these take, over
+    many what the kinds of characters take, since words use a large alphabet unevenly and keys use it evenly.
+    """
+    if len(run) < 64:
+        return float(len(run))
+    size = len(set(run))
+    if size > 24:
+        kinds = (str.islower, 26), (str.isupper, 26), (str.isdigit, 10)
+        size = sum(n for has, n in kinds if any(map(has, run))) + len({c for c in run if not c.isalnum()})
+    return len(run) * math.log2(max(size, 2)) / 8
+
+
+def _windows(run: str, span: int) -> Iterator[tuple[int, int]]:
+    """Consecutive stretches of a run without what repeats itself; the last of a piece reaches back to be full."""
+    edges = [0, *(x for m in PERIODIC.finditer(run) if m.end() - m.start() >= 16 for x in m.span()), len(run)]
+    for a, b in zip(edges[::2], edges[1::2], strict=True):
+        for k in range(a, b, span):
+            end = min(k + span, b)
+            k = max(a, end - span)
+            if end - k >= 15:
+                yield k, end
+
+
 def is_new(text: str, start: int, end: int, law: Novelty) -> bool:
-    """Whether a run costs as much as a key does next to what surrounds it but for its own copies."""
+    """Whether a run, or any window of it, costs as much as a key does next to what surrounds it but for its own copies."""
     run = text[start:end]
     copies = [run, *(p for p in run.split("=") if 15 <= len(p) < len(run))]
-    before = _without(text, max(0, start - law.window), start, copies)
-    after = _without(text, end, min(len(text), end + law.window), copies)
-    shown = run[:4096]  # a longer run is judged by its head and reported whole
-    return marginal_bytes(shown, before, after, law.level) >= law.bytes_per_char * len(shown)
+    for a, b in _windows(run, law.span):
+        before = _without(text, max(0, start + a - law.window), start + a, copies) if a < law.window else run[a - law.window : a]
+        after = _without(text, start + b, min(len(text), start + b + law.window), copies) if len(run) - b < law.window else ""
+        n = b - a
+        if not _mixed(run[a:b]):
+            continue
+        least = law.bytes_per_char * n
+        if n >= 64:
+            least = min(least, law.share * random_bytes(run[a:b]) + law.table)
+        if marginal_bytes(run[a:b], before, after, law.level) >= least:
+            return True
+    return False
 
 
 def find_secrets(text: str | None, law: Novelty = Novelty()) -> list[tuple[int, int, str]]:

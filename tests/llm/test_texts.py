@@ -220,6 +220,19 @@ def test_secrets_that_stand_twice():
     assert _masked(edge).count("[secret]") == 2
 
 
+def test_secrets_of_any_length_and_alphabet():
+    for chars in ("0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefg1"):
+        for n in (40, 63, 64, 96, 128, 300, 512, 5000):
+            for seed in range(5):
+                text = f"private_key: {_key(seed, n, chars)}\n"
+                assert _masked(text) == "private_key: [secret]\n", (chars, n, seed)
+    for head in ("a" * 1000, "a" * 4096, "xy1" * 2000):  # a key behind a head that costs nothing
+        text = f"private_key: {head}{_key(40, 40)}"
+        assert _masked(text) == "private_key: [secret]"
+    for plain in ("xy1" * 2000, "changeme_example_1_" * 300):
+        assert _masked(f"private_key: {plain}") == f"private_key: {plain}"
+
+
 def test_secrets_of_documents_equal_the_plain_patterns(spark):
     plain = {
         "assign": re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
