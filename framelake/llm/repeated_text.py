@@ -11,9 +11,11 @@ work is dealt by anchors and no task sees the corpus:
    reach ``floor``, the index names the first document that holds the window;
 3. covered bytes are collected per document and cut out.
 
-Only the first of documents with equal texts takes part; the others repeat it as a whole. A stretch that a step meets again in
-a later document is covered there as a whole and is not sent again, so a passage common to a third of all documents
-reaches its part once per step of ``STEP_BYTES``, not once per document.
+Only the first of documents with equal texts takes part; the others repeat it as a whole. A stretch that a step of ``STEP_BYTES``
+meets again in a later document is covered there as a whole and is not sent again. Stretches at the border of a common
+passage differ in every document, so where an anchor has more than ``HOT_STRETCHES`` stretches, its windows are dealt by their own
+digests instead: a step covers what it meets again and sends each distinct window with its first document. Where anchors are
+counted, two texts of a step stand for all of its texts that share an anchor. So no anchor gathers in one part.
 
 Defined results: a null or empty text has no bytes and no removals; rows with a null id are neither judged nor matched; rows
 that repeat an id are not earlier than each other; texts shorter than ``floor`` bytes lose nothing; an empty table gives an
@@ -27,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +45,11 @@ STEP_BYTES = 8 << 20
 #: Corpus bytes per part when anchors are counted, and stretch bytes per part of the index.
 COUNT_BYTES, INDEX_BYTES = 36 << 20, 2 << 20
 LEAST_PARTS = 12
+#: An anchor with more stretches than one part of the index is meant for is hot: its windows are dealt one by one.
+HOT_STRETCHES = INDEX_BYTES // (FLOOR + STRETCH_WINDOWS - 1)
+#: Packed windows of hot anchors per part.
+WINDOW = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("start", "<i4")])
+WINDOW_BYTES = 16 << 20
 #: Windows worked on together.
 PIECE_BYTES = 1 << 19
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
@@ -110,58 +118,92 @@ def _stretches(pieces: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.nda
     return number[owner], heads - first[owner] + offset[owner], windows, low[heads] >> np.uint64(16)
 
 
-def _packed_anchors(anchor: np.ndarray, text: np.ndarray, hashes: np.ndarray) -> bytes:
+def _packed_anchors(anchor: np.ndarray, text: np.ndarray, hashes: np.ndarray, weight: np.ndarray) -> bytes:
+    heavy = np.flatnonzero(weight != 1)
     return b"".join([
-        np.array([len(hashes), len(anchor)], np.uint32).tobytes(), hashes.tobytes(), text.astype(np.uint32).tobytes(),
-        (anchor & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (anchor >> np.uint64(32)).astype(np.uint16).tobytes(),
+        np.array([len(hashes), len(anchor), len(heavy), 0], np.uint32).tobytes(), hashes.tobytes(), text.astype(np.uint32).tobytes(),
+        (anchor & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), heavy.astype(np.uint32).tobytes(), weight[heavy].astype(np.uint32).tobytes(),
+        (anchor >> np.uint64(32)).astype(np.uint16).tobytes(),
     ])
 
 
-def _unpacked_anchors(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, m = (int(x) for x in np.frombuffer(blob, np.uint32, 2))
-    hashes = np.frombuffer(blob, np.int64, n, 8)
-    text = np.frombuffer(blob, np.uint32, m, 8 + 8 * n)
-    low = np.frombuffer(blob, np.uint32, m, 8 + 8 * n + 4 * m)
-    high = np.frombuffer(blob, np.uint16, m, 8 + 8 * n + 8 * m)
-    return low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), hashes[text]
+def _unpacked_anchors(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, m, k, _ = (int(x) for x in np.frombuffer(blob, np.uint32, 4))
+    hashes = np.frombuffer(blob, np.int64, n, 16)
+    at = 16 + 8 * n
+    text, low = np.frombuffer(blob, np.uint32, m, at), np.frombuffer(blob, np.uint32, m, at + 4 * m)
+    heavy, more = np.frombuffer(blob, np.uint32, k, at + 8 * m), np.frombuffer(blob, np.uint32, k, at + 8 * m + 4 * k)
+    high = np.frombuffer(blob, np.uint16, m, at + 8 * m + 8 * k)
+    weight = np.ones(m, np.int64)
+    weight[heavy] = more
+    return low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), hashes[text], weight
 
 
-def repeated_anchors(rows: DataFrame, parts: int) -> DataFrame:
-    """``text_hash, anchors`` (packed) of the anchors that texts with different hashes share; ``rows``: ``text_hash, text``."""
+def _lists(anchor: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Owners and the packed anchors of each."""
+    order = np.argsort(owner, kind="stable")
+    anchor, owner = anchor[order], owner[order]
+    heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
+    return owner[heads], [np.unique(a).tobytes() for a in np.split(anchor, heads[1:])] if len(heads) else []
+
+
+def repeated_anchors(rows: DataFrame, parts: int, hot_from: int) -> DataFrame:
+    """``text_hash, anchors`` (packed) of the anchors that texts with different hashes share; ``rows``: ``text_hash, text``.
+
+    Anchors that different texts of one step share are known to be shared, so two of these texts stand for all of them where anchors
+    are counted. Rows without a ``text_hash`` hold pairs of an anchor with over ``hot_from`` stretches and their number.
+    """
 
     def send(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        hashes = part.column("text_hash").to_numpy()
+        hashes, of = np.unique(part.column("text_hash").to_numpy(), return_inverse=True)
         owner, _, _, anchor = stretches([(t or "").encode() for t in part.column("text").to_pylist()])
-        kept = np.unique(np.rec.fromarrays([anchor, owner]))
+        kept, times = np.unique(np.rec.fromarrays([anchor, of[owner]]), return_counts=True)
         anchor, owner = kept["f0"], kept["f1"]
+        names, blobs, known, lists = [], [], [], []
+        if len(anchor):
+            heads = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+            ends = np.append(heads[1:], len(anchor)) - 1
+            sends = np.zeros(len(anchor), bool)
+            sends[heads] = sends[ends] = True
+            total = np.add.reduceat(times, heads)
+            weight = np.ones(len(anchor), np.int64)
+            weight[heads] = total - (ends > heads)  # the last of several counts as one
+            known, lists = _lists(anchor[~sends], owner[~sends])
+            anchor, owner, weight = anchor[sends], owner[sends], weight[sends]
         to = (anchor % np.uint64(parts)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         edges = np.searchsorted(to[order], np.arange(parts + 1))
-        names, blobs = [], []
         for p in range(parts):
             mine = order[edges[p] : edges[p + 1]]
             if len(mine):
                 used, local = np.unique(owner[mine], return_inverse=True)
                 names.append(p)
-                blobs.append(_packed_anchors(anchor[mine], local, hashes[used]))
-        yield common.batch([names, blobs], ["part", "blob"], [pa.int32(), pa.binary()])
+                blobs.append(_packed_anchors(anchor[mine], local, hashes[used], weight[mine]))
+        told = hashes[known].tolist() if len(known) else []
+        columns = [names + [h % parts for h in told], blobs + [None] * len(told), [None] * len(names) + told, [None] * len(names) + lists]
+        yield common.batch(columns, ["part", "blob", "text_hash", "anchors"], [pa.int32(), pa.binary(), pa.int64(), pa.binary()])
 
     def count(group: pa.Table) -> pa.Table:
-        got = [_unpacked_anchors(b.as_py()) for b in group.column("blob")]
-        anchor, owner = np.concatenate([a for a, _ in got]), np.concatenate([o for _, o in got])
+        told = group.filter(pc.is_valid(group.column("text_hash"))).select(["text_hash", "anchors"])
+        got = [_unpacked_anchors(b.as_py()) for b in group.column("blob") if b.is_valid]
+        if not got:
+            return told
+        anchor, owner, weight = (np.concatenate(x) for x in zip(*got, strict=True))
         order = np.argsort(anchor, kind="stable")
         anchor, owner = anchor[order], owner[order]
         heads = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
         shared = np.minimum.reduceat(owner, heads) != np.maximum.reduceat(owner, heads)
+        total = np.add.reduceat(weight[order], heads)
+        hot = np.flatnonzero(shared & (total > hot_from))
+        pairs = np.column_stack([anchor[heads[hot]], total[hot].astype(np.uint64)])
         keep = np.repeat(shared, np.diff(np.append(heads, len(anchor))))
-        anchor, owner = anchor[keep], owner[keep]
-        order = np.argsort(owner, kind="stable")
-        anchor, owner = anchor[order], owner[order]
-        heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
-        lists = [np.unique(a).tobytes() for a in np.split(anchor, heads[1:])] if len(heads) else []
-        return pa.table({"text_hash": pa.array(owner[heads], pa.int64()), "anchors": pa.array(lists, pa.binary())})
+        owners, lists = _lists(anchor[keep], owner[keep])
+        owners = owners.tolist()
+        if len(hot):
+            owners, lists = [*owners, None], [*lists, pairs.tobytes()]
+        return pa.concat_tables([told, pa.table({"text_hash": pa.array(owners, pa.int64()), "anchors": pa.array(lists, pa.binary())})])
 
-    sent = common.over_texts(rows, "text", "part INT, blob BINARY", send, STEP_BYTES)
+    sent = common.over_texts(rows, "text", "part INT, blob BINARY, text_hash BIGINT, anchors BINARY", send, STEP_BYTES)
     return sent.groupBy("part").applyInArrow(count, "text_hash BIGINT, anchors BINARY")
 
 
@@ -169,8 +211,37 @@ def _ranges(pairs: np.ndarray) -> bytes:
     return pairs.astype(np.int32).tobytes()
 
 
-def _send_stretches(rows: DataFrame, parts: int) -> DataFrame:
-    """``part, blob`` with stretches and covered ranges for every part; ``rows``: ``doc_id, text, anchors`` (lists of packed lists)."""
+def _window_names(text: bytes, at: np.ndarray, windows: np.ndarray, doc: int) -> np.ndarray:
+    """The windows of some stretches by 128-bit digests."""
+    starts = np.repeat(at - np.cumsum(windows) + windows, windows) + np.arange(windows.sum())
+    out = np.empty(len(starts), WINDOW)
+    digests = b"".join([hashlib.blake2b(text[a : a + FLOOR], digest_size=16).digest() for a in starts.tolist()])
+    out["a"], out["b"] = np.frombuffer(digests, np.uint64).reshape(-1, 2).T
+    out["doc"], out["start"] = doc, starts
+    return out
+
+
+def _first_windows(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of the first document that holds each, and those of later documents (by document and start)."""
+    found = found[np.lexsort((found["doc"], found["b"], found["a"]))]
+    heads = np.concatenate([[True], (found["a"][1:] != found["a"][:-1]) | (found["b"][1:] != found["b"][:-1])])
+    later = found["doc"] > found["doc"][np.flatnonzero(heads)][np.cumsum(heads) - 1]
+    again = found[later]
+    return found[~later], again[np.lexsort((again["start"], again["doc"]))]
+
+
+def _window_ranges(again: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """Byte ranges of windows, by document."""
+    heads = np.flatnonzero(np.concatenate([[True], again["doc"][1:] != again["doc"][:-1]])) if len(again) else []
+    for a, b in zip(heads, [*heads[1:], len(again)], strict=False):
+        yield int(again["doc"][a]), _joined(again["start"][a:b].tolist())
+
+
+def _send_stretches(rows: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
+    """``part, blob`` with stretches, windows and covered ranges for every part; ``rows``: ``doc_id, text, anchors`` (lists of packed lists).
+
+    Windows of ``hot`` anchors go to parts by their digests, so no anchor gathers in one part.
+    """
 
     def send(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         part = part.sort_by("doc_id")
@@ -182,10 +253,16 @@ def _send_stretches(rows: DataFrame, parts: int) -> DataFrame:
         first: dict[bytes, int] = {}
         out: dict[int, tuple[list, list, list, list]] = {}
         whole: dict[int, list[tuple[int, int]]] = {}
+        named = []
         for k, text in enumerate(texts):
             span = slice(edges[k], edges[k + 1])
             mine = np.flatnonzero(np.isin(anchor[span], np.frombuffer(b"".join(known[k]), np.uint64))) + edges[k]
             doc = int(ids[k])
+            if len(hot) and len(mine):
+                is_hot = np.isin(anchor[mine], hot)
+                if is_hot.any():
+                    named.append(_window_names(text, at[mine[is_hot]], windows[mine[is_hot]], doc))
+                    mine = mine[~is_hot]
             for a, w, h in zip(at[mine].tolist(), windows[mine].tolist(), anchor[mine].tolist(), strict=True):
                 stretch = text[a : a + w + FLOOR - 1]
                 if first.setdefault(stretch, doc) < doc:
@@ -201,15 +278,29 @@ def _send_stretches(rows: DataFrame, parts: int) -> DataFrame:
             with pa.ipc.new_stream(sink, sent.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                 writer.write_batch(sent)
             blobs.append(sink.getvalue().to_pybytes())
+        loose = [None] * len(names)
+        if named:
+            new, again = _first_windows(np.concatenate(named))
+            for doc, pairs in _window_ranges(again):
+                whole.setdefault(doc, []).extend(pairs)
+            to = (new["a"] % np.uint64(parts)).astype(np.int64)
+            new = new[np.argsort(to, kind="stable")]
+            edges = np.searchsorted(np.sort(to), np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(edges)).tolist():
+                names.append(p)
+                blobs.append(None)
+                loose.append(new[edges[p] : edges[p + 1]].tobytes())
         covered = [[None] * len(names), [None] * len(names)]
         for doc, pairs in whole.items():
             names.append(doc % parts)
             blobs.append(None)
+            loose.append(None)
             covered[0].append(doc)
             covered[1].append(_ranges(np.array(pairs)))
-        yield common.batch([names, blobs, *covered], ["part", "blob", "doc_id", "ranges"], [pa.int32(), pa.binary(), pa.int64(), pa.binary()])
+        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
+        yield common.batch([names, blobs, loose, *covered], ["part", "blob", "windows", "doc_id", "ranges"], kinds)
 
-    return common.over_texts(rows, "text", "part INT, blob BINARY, doc_id BIGINT, ranges BINARY", send, STEP_BYTES)
+    return common.over_texts(rows, "text", "part INT, blob BINARY, windows BINARY, doc_id BIGINT, ranges BINARY", send, STEP_BYTES)
 
 
 def covered_ranges(anchor: np.ndarray, doc: np.ndarray, start: np.ndarray, found: list[bytes]) -> dict[int, list[tuple[int, int]]]:
@@ -273,6 +364,11 @@ def _part(group: pa.Table) -> pa.Table:
         for doc, pairs in found.items():
             ids.append(doc)
             ranges.append(_ranges(np.array(pairs)))
+    named = [np.frombuffer(b.as_py(), WINDOW) for b in group.column("windows") if b.is_valid]
+    if named:
+        for doc, pairs in _window_ranges(_first_windows(np.concatenate(named))[1]):
+            ids.append(doc)
+            ranges.append(_ranges(np.array(pairs)))
     return pa.table({"doc_id": pa.array(ids, pa.int64()), "ranges": pa.array(ranges, pa.binary())})
 
 
@@ -290,13 +386,16 @@ def removal_ranges(docs: DataFrame, rows: DataFrame, classes: DataFrame, id_col:
     texts = common.only(docs, {"doc_id": id_col, "text": text_col}).where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= FLOOR))
     texts = texts.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     n_bytes = rows.agg(F.sum("n_bytes")).first()[0] or 0
-    counted = repeated_anchors(texts.select("text_hash", "text"), max(LEAST_PARTS, -(-n_bytes // COUNT_BYTES)))
+    counted = repeated_anchors(texts.select("text_hash", "text"), max(LEAST_PARTS, -(-n_bytes // COUNT_BYTES)), HOT_STRETCHES)
     anchors = cut_lineage(counted.groupBy("text_hash").agg(F.collect_list("anchors").alias("anchors")))
-    n_anchors = anchors.agg(F.sum(F.aggregate("anchors", F.lit(0).cast("bigint"), lambda s, a: s + F.octet_length(a)))).first()[0] or 0
+    found = [np.frombuffer(b, np.uint64).reshape(-1, 2) for r in anchors.where("text_hash IS NULL").collect() for b in r.anchors]
+    hot = np.concatenate(found) if found else np.zeros((0, 2), np.uint64)
+    n_anchors = anchors.where("text_hash IS NOT NULL").agg(F.sum(F.aggregate("anchors", F.lit(0).cast("bigint"), lambda s, a: s + F.octet_length(a)))).first()[0] or 0
     parts = max(LEAST_PARTS, -(-(n_anchors // 8 * (FLOOR + STRETCH_WINDOWS // 2)) // INDEX_BYTES))
+    parts = max(parts, -(-int(hot[:, 1].sum()) * STRETCH_WINDOWS * WINDOW.itemsize // WINDOW_BYTES))
     wanted = classes.select("doc_id", "text_hash").join(anchors, "text_hash")
     held = texts.join(wanted, ["doc_id", "text_hash"]).select("doc_id", "text", "anchors")
-    sent = _send_stretches(held, parts)
+    sent = _send_stretches(held, parts, np.sort(hot[:, 0]))
     return sent.groupBy("part").applyInArrow(_part, "doc_id BIGINT, ranges BINARY")
 
 

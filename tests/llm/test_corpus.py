@@ -144,6 +144,36 @@ def test_repeated_text_equals_brute_force(spark, monkeypatch, piece):
     assert repeated_text.remove_repeats(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("hot", [0, 2, 30])
+def test_repeated_text_deals_hot_anchors_by_windows(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeated_text, "HOT_STRETCHES", hot)
+    monkeypatch.setattr(repeated_text, "STEP_BYTES", 3000)
+    rows = repeat_rows()
+    got = repeated_text.remove_repeats(docs_of(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == sorted(repeat_brute(rows), key=str)
+
+
+def test_no_anchor_gathers_in_one_part(spark):
+    """300 texts with a common 40-byte string between bytes of their own: one part held a stretch of every text."""
+    rng = random.Random(4)
+    own = lambda n: "".join(chr(rng.randrange(33, 127)) for _ in range(n))
+    common_part = own(40)
+    rows = [(k, own(80) + common_part + own(80)) for k in range(300)]
+    texts = docs_of(spark, rows).coalesce(1).selectExpr("doc_id", "text", "xxhash64(text) AS text_hash")
+    counted = repeated_text.repeated_anchors(texts, 12, 100).collect()
+    hot = np.concatenate([np.frombuffer(r.anchors, np.uint64).reshape(-1, 2) for r in counted if r.text_hash is None])
+    assert len(hot) and 100 < hot[:, 1].max() <= 300
+    lists = collections.defaultdict(list)
+    for r in counted:
+        lists[r.text_hash].append(bytes(r.anchors))
+    held = spark.createDataFrame([(k, t, lists[h]) for k, t, h in texts.collect()], "doc_id BIGINT, text STRING, anchors ARRAY<BINARY>").coalesce(1)
+    sizes = collections.Counter()
+    for r in repeated_text._send_stretches(held, 12, np.sort(hot[:, 0])).collect():
+        if r.windows is not None:
+            sizes[r.part] += len(r.windows) // repeated_text.WINDOW.itemsize
+    assert len(sizes) == 12 and max(sizes.values()) < 0.2 * sum(sizes.values())
+
+
 def test_matching_statistics_equal_brute_force():
     rng = random.Random(5)
     for round_no in range(150):
