@@ -114,6 +114,17 @@ def apply_graph(target: DataFrame, source: DataFrame, diff: DataFrame) -> DataFr
     return nodes.join(inputs, NODE, "left").withColumn("inputs", F.coalesce("_in", none)).drop("_in")
 
 
+def apply_sinks(sinks: DataFrame, target: DataFrame, diff: DataFrame) -> DataFrame:
+    """Sinks of ``target`` (``project_id, node_id``) after ``diff``: removed nodes, rebuilt ones too, are sinks no longer.
+
+    Projects with any violation keep theirs.
+    """
+    diff = cut_lineage(diff)  # read by both branches
+    broken = graph_diff_errors(target, diff).select("project_id").distinct()
+    removed = diff.where("change = 'node_removed'").join(broken, "project_id", "left_anti").select("project_id", F.col("item").alias("node_id"))
+    return sinks.join(removed, NODE, "left_anti")
+
+
 def diff_items(a: DataFrame, b: DataFrame) -> DataFrame:
     """Assets and presets by id: what was added and removed."""
     cols = ["project_id", "kind", "item_id"]
@@ -164,6 +175,11 @@ def merge_models(base: DataFrame, theirs: DataFrame) -> DataFrame:
     return theirs.unionByName(base.join(theirs.select(*keys), keys, "left_anti"))
 
 
+def merge_sinks(base: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Sinks of either side, each once."""
+    return union_distinct(base.select(*NODE), theirs.select(*NODE))
+
+
 def union_distinct(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b).distinct()
 

@@ -428,6 +428,18 @@ def apply_graph(spark, sf):
     return done.select("project_id", "node_id", "effect_id", "label", F.array_join("inputs", ",").alias("inputs"), F.concat(F.try_element_at("params", F.lit("status")), F.lit("/"), F.try_element_at("params", F.lit("totalprice"))).alias("params"))
 
 
+def _sinks(nodes):
+    """The latest order of every customer."""
+    return nodes.groupBy("project_id").agg(F.max(F.col("node_id").cast("bigint")).cast("string").alias("node_id"))
+
+
+@query("diff.apply_sinks", f"""WITH {NODES}, s AS (SELECT project_id, CAST(max(CAST(node_id AS BIGINT)) AS VARCHAR) AS node_id FROM base GROUP BY project_id)
+  SELECT project_id, node_id FROM s WHERE EXISTS (SELECT 1 FROM base b JOIN theirs t ON b.project_id = t.project_id AND b.node_id = t.node_id AND b.effect_id = t.effect_id AND b.label = t.label WHERE b.project_id = s.project_id AND b.node_id = s.node_id)""")
+def apply_sinks(spark, sf):
+    a, b = _closed(spark, sf)
+    return diffmerge.apply_sinks(_sinks(a), a, diffmerge.diff_graphs(a, b)).select("project_id", "node_id")
+
+
 @query("diff.graph_errors", f"""WITH {NODES}, {_GRAPH_DIFF}, e AS (SELECT project_id, unnest(string_split(item, '->')) AS item FROM gd WHERE change LIKE 'edge_%')
   SELECT DISTINCT project_id, 'GRAPH' AS code, 'edge references missing node ' || item AS reason FROM e WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.project_id = e.project_id AND b.node_id = e.item) AND NOT EXISTS (SELECT 1 FROM theirs t WHERE t.project_id = e.project_id AND t.node_id = e.item AND t.node_id NOT IN (SELECT node_id FROM base))""")
 def graph_errors(spark, sf):
@@ -458,6 +470,12 @@ def merge_conflicts(spark, sf):
     return diffmerge.merge_conflicts(*_sides(spark, sf, t.project_nodes), *_sides(spark, sf, t.project_models))
 
 
+@query("merge.sinks", f"""WITH {NODES} SELECT project_id, CAST(max(CAST(node_id AS BIGINT)) AS VARCHAR) AS node_id FROM base GROUP BY project_id
+  UNION SELECT project_id, CAST(max(CAST(node_id AS BIGINT)) AS VARCHAR) FROM theirs GROUP BY project_id""")
+def merge_sinks(spark, sf):
+    return diffmerge.merge_sinks(*(_sinks(n) for n in _sides(spark, sf, t.project_nodes)))
+
+
 @query("merge.items", f"WITH {ITEMS} SELECT * FROM items_base UNION ALL SELECT * FROM items_theirs WHERE item_id NOT IN (SELECT item_id FROM items_base)")
 def merge_items(spark, sf):
     return diffmerge.merge_items(*_sides(spark, sf, t.project_items))

@@ -66,6 +66,19 @@ def test_graph_diff_round_trip(spark):
     assert shape(diffmerge.apply_graph(a, b, diff)) == shape(b)
 
 
+def test_sinks_follow_merge_and_removal(spark):
+    node = lambda p, i, e: (p, i, e, "l", [], {})
+    a = spark.createDataFrame([node("p", "1", "e"), node("p", "2", "e"), node("p", "3", "e"), node("q", "1", "e")], NODES)
+    b = spark.createDataFrame([node("p", "1", "e"), node("p", "2", "f"), node("q", "1", "e")], NODES)
+    sinks = spark.createDataFrame([("p", "1"), ("p", "2"), ("p", "3"), ("q", "1")], "project_id STRING, node_id STRING")
+    pairs = lambda df: sorted((r["project_id"], r["node_id"]) for r in df.collect())
+    assert pairs(diffmerge.apply_sinks(sinks, a, diffmerge.diff_graphs(a, b))) == [("p", "1"), ("q", "1")]
+    bad = spark.createDataFrame([("p", "node_removed", "1"), ("p", "node_removed", "9"), ("q", "node_removed", "1")], "project_id STRING, change STRING, item STRING")
+    assert pairs(diffmerge.apply_sinks(sinks, a, bad)) == [("p", "1"), ("p", "2"), ("p", "3")]
+    more = spark.createDataFrame([("p", "1"), ("r", "7")], sinks.schema)
+    assert pairs(diffmerge.merge_sinks(sinks, more)) == [*pairs(sinks), ("r", "7")]
+
+
 def test_diff_with_missing_node_is_refused(spark):
     a = spark.createDataFrame([("p", "1", "e", "l", [], {})], NODES)
     diff = spark.createDataFrame([("p", "node_removed", "9")], "project_id STRING, change STRING, item STRING")
