@@ -139,3 +139,66 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framelake.llm.repeated_text import remove_repeats
 
     return remove_repeats(common.table(spark, sf_dir, "documents"))
+
+
+@query("op11_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framelake.llm.whitening import whiten
+
+    return whiten(common.table(spark, sf_dir, "embeddings"))
+
+
+def vector_codes_sql(rounds: int = 4) -> str:
+    """Four rounds of assignment and flooring means, then the codes, as plain joins of parts and entries."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+, near{k} AS (
+  SELECT p.rid, p.part, min(list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * 256 + b.entry) AS best
+  FROM parts p JOIN book{k} b ON p.part = b.part GROUP BY p.rid, p.part
+)""")
+        if k < rounds:
+            steps.append(f"""
+, flat{k} AS (
+  SELECT p.part, n.best % 256 AS entry, unnest(range(len(p.v))) AS pos, unnest(p.v) AS x FROM parts p JOIN near{k} n ON p.rid = n.rid AND p.part = n.part
+), sums{k} AS (
+  SELECT part, entry, pos, CAST(floor(CAST(sum(x) AS DOUBLE) / count(*)) AS BIGINT) AS x FROM flat{k} GROUP BY part, entry, pos
+), means{k} AS (
+  SELECT part, entry, list(x ORDER BY pos) AS v FROM sums{k} GROUP BY part, entry
+), book{k + 1} AS (
+  SELECT b.part, b.entry, coalesce(m.v, b.v) AS v FROM book{k} b LEFT JOIN means{k} m ON b.part = m.part AND b.entry = m.entry
+)""")
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS rid, vec_id, label,
+    list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), parts AS (
+  SELECT rid, part, v[part * (len(v) // 4) + 1 : (part + 1) * (len(v) // 4)] AS v FROM (SELECT rid, v, unnest(range(4)) AS part FROM kept)
+), book0 AS (
+  SELECT part, rid - 1 AS entry, v FROM parts WHERE rid <= 256
+){''.join(steps)}
+, coded AS (
+  SELECT rid, string_agg(printf('%02x', best % 256), '' ORDER BY part) AS code, CAST(sum(best // 256) AS BIGINT) AS error FROM near{rounds} GROUP BY rid
+), books AS (
+  SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, pos)) AS sha
+  FROM (SELECT part, entry, unnest(range(len(v))) AS pos, unnest(v) AS x FROM book{rounds})
+)
+SELECT k.vec_id, c.code, c.error, CAST(sum(c.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error, books.sha AS codebooks_sha256, k.label
+FROM kept k JOIN coded c ON k.rid = c.rid, books
+"""
+
+
+@query("op12_vector_codes", vector_codes_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framelake.llm.vector_codes import encode
+
+    return encode(common.table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_toxic_spans")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framelake.llm.toxic_spans import score, train
+
+    docs = common.table(spark, sf_dir, "documents")
+    return score(docs, train(docs, common.table(spark, sf_dir, "labels")))
