@@ -132,15 +132,15 @@ class Network:
         response = (windows.reshape(-1, windows.shape[2]) @ self.w["filters"]).reshape(len(chunks), -1, s.filters)
         best = response.argmax(axis=1)
         pooled = np.maximum(np.take_along_axis(response, best[:, None], 1)[:, 0] + self.w["bias"], 0)
-        counts = np.bincount(owner, minlength=n).astype(np.float32)
-        mean = np.zeros((n, s.filters), np.float32)
+        counts = np.bincount(owner, minlength=n).astype(pooled.dtype)
+        mean = np.zeros((n, s.filters), pooled.dtype)
         np.add.at(mean, owner, pooled)
         mean /= counts[:, None]
-        top = np.zeros((n, s.filters), np.float32)
+        top = np.zeros((n, s.filters), pooled.dtype)
         np.maximum.at(top, owner, pooled)
         features = np.concatenate([mean, top], axis=1)
         p = 1 / (1 + np.exp(-(features @ self.w["out"] + self.w["shift"])))
-        miss = ((p - labels) / n).astype(np.float32)
+        miss = ((p - labels) / n).astype(pooled.dtype)
         back = miss[:, None] * self.w["out"]
         to_mean, to_top = back[:, : s.filters] / counts[:, None], back[:, s.filters :]
         flow = (to_mean[owner] + to_top[owner] * (pooled == top[owner])) * (pooled > 0)
