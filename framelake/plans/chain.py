@@ -14,6 +14,7 @@ from framelake.operators import metrics
 from framelake.plans.catalogue import Registry
 from framelake.schemas import FRAME, PIXEL, RGBA
 from framelake.session import cut_lineage, staging_path
+from framelake.sources import renders
 
 Step = tuple[str, str | None, dict]
 #: Recipes in one plan.
@@ -111,5 +112,5 @@ def golden_run(px: DataFrame, golden: DataFrame, cases: DataFrame, steps: Sequen
 
 
 def golden_refresh(px: DataFrame, steps: Sequence[Step], path: str, registry: Registry | None = None) -> None:
-    """Store the current rendering as golden, replacing the frames' old partitions atomically."""
-    apply_chain(px, steps, registry).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*FRAME).parquet(path)
+    """Store the current rendering as golden, in place of the frames' old versions; other golden frames stay."""
+    renders.replace_frames(apply_chain(px, steps, registry), path)

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.errors import INVALID_PARAMETER, OperatorError
-from framelake.schemas import AUDIT, FRAME, PROJECT
+from framelake.errors import INVALID_PARAMETER, LAYOUT, OperatorError
+from framelake.schemas import AUDIT, PROJECT
 
 PROJECT_TAG = "framelake.project/v1"
 
@@ -64,17 +62,51 @@ def frame_extract(frames: DataFrame, start: int, end: int, stride: int = 1, pref
 
 
 def bundle_export(assets: DataFrame, blobs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Blobs to embed, one per distinct content, and a manifest row per project.
+    """Blobs to embed, one per project and distinct content, and a manifest row per project.
 
-    Assets that are not local files or have no blob are left out.
+    Assets that are not local files or have no blob are left out. ``hash_set`` tells whether two bundles hold the same
+    contents without listing them: the count, and the sum of 60 bits of every hash.
     """
     local = assets.where(F.col("uri").startswith("file://"))
-    found = local.join(blobs.select("blob_id", F.col("hash").alias("content_hash")), local.blob_id == blobs.blob_id).drop(blobs.blob_id)
-    embed = found.groupBy("project_id", "content_hash").agg(F.count(F.lit(1)).alias("assets"))
-    manifest = embed.groupBy("project_id").agg(F.count(F.lit(1)).alias("embedded"), F.sum("assets").alias("assets"))
+    found = local.join(blobs.select("blob_id", F.col("hash").alias("content_hash"), "size"), local.blob_id == blobs.blob_id).drop(blobs.blob_id)
+    embed = found.groupBy("project_id", "content_hash").agg(F.count(F.lit(1)).alias("assets"), F.max("size").alias("size"))
+    bits = F.conv(F.substring(F.regexp_replace("content_hash", "^[a-z0-9]+:", ""), 1, 15), 16, 10).cast("decimal(38,0)")
+    manifest = embed.groupBy("project_id").agg(
+        F.count(F.lit(1)).alias("embedded"), F.sum("assets").alias("assets"), F.sum("size").alias("bytes"),
+        F.concat_ws(":", F.count(F.lit(1)), F.sum(bits)).alias("hash_set"),
+    )
     return embed, manifest
 
 
+def write_bundle(assets: DataFrame, blobs: DataFrame, path: str) -> None:
+    """A self-contained export below ``path``: ``entries`` (every project's hashes), ``contents`` (each hash's bytes, once) and ``manifest``.
+
+    ``blobs`` holds ``blob_id, hash, size, content``. Adaptive execution sizes the content files by bytes.
+    """
+    embed, manifest = bundle_export(assets, blobs)
+    embed.withColumn("archive_path", F.concat(F.lit("assets/"), F.regexp_replace("content_hash", "^[a-z0-9]+:", ""))).write.parquet(f"{path}/entries")
+    entries = assets.sparkSession.read.parquet(f"{path}/entries")
+    wanted = entries.select("content_hash").distinct()
+    # The smallest id stands for equal contents, so bytes are joined for one row per hash only.
+    first = blobs.groupBy(F.col("hash").alias("content_hash")).agg(F.min("blob_id").alias("blob_id")).join(wanted, "content_hash")
+    contents = blobs.select("blob_id", "content").join(first, "blob_id").select("content_hash", "content")
+    contents.hint("rebalance").write.parquet(f"{path}/contents")
+    manifest.write.parquet(f"{path}/manifest")
+
+
+def read_bundle(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``entries``, ``contents`` and ``manifest`` of a written bundle."""
+    return tuple(spark.read.parquet(f"{path}/{part}") for part in ("entries", "contents", "manifest"))
+
+
+def bundle_faults(spark: SparkSession, path: str) -> DataFrame:
+    """``content_hash, code, reason`` where contents are missing or differ from their hash."""
+    entries, contents, _ = read_bundle(spark, path)
+    seen = contents.select("content_hash", (F.concat(F.lit("sha256:"), F.sha2("content", 256)) == F.col("content_hash")).alias("_same"))
+    joined = entries.select("content_hash").distinct().join(seen, "content_hash", "left").where("_same IS NULL OR NOT _same")
+    return joined.select("content_hash", F.lit(LAYOUT).alias("code"), F.when(F.col("_same").isNull(), "content is missing").otherwise("content differs from its hash").alias("reason"))
+
+
 def bundle_import(entries: DataFrame, assets: DataFrame) -> DataFrame:
     """Embedded blobs linked to every asset with the same digest; unlinked blobs keep a nil id."""
     safe = entries.where(~F.col("archive_path").contains("..") & ~F.col("archive_path").startswith("/"))
@@ -91,12 +123,6 @@ def bundle_errors(entries: DataFrame) -> DataFrame:
     )
 
 
-def write_render(px: DataFrame, path: str, pixels_per_file: int = 4_000_000) -> None:
-    """Renders partitioned by asset and frame; a huge frame splits into row bands, never one task."""
-    band = F.floor(F.col("y") / F.lit(max(1, math.isqrt(pixels_per_file))))
-    px.repartition(*FRAME, band).write.mode("overwrite").partitionBy(*FRAME).parquet(path)
-
-
 def write_stages(stages: DataFrame, path: str) -> None:
     stages.write.mode("overwrite").partitionBy("stage_no").parquet(path)
 

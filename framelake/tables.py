@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +49,44 @@ def px_emb_u8(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's source as a file of its own, in one of four kinds."""
+    ext = F.element_at(F.array(*[F.lit(e) for e in ("PNG", "mkv", "cr3", "html")]), (F.col("page_id") % 4).cast("int") + 1)
+    name = F.concat(F.lit("host"), F.col("page_id") % 10, F.lit("/page"), "page_id", F.lit("."), ext)
+    return read(spark, sf_dir, "pages").select(name.alias("path"), F.coalesce("html", F.lit("")).cast("binary").alias("content"))
+
+
+def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frame of ``px_emb`` as a PNG file; every seventh file is cut short."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            done = []
+            for no, cells in zip(part.column("frame_no").to_pylist(), part.column("cells").to_pylist(), strict=True):
+                width = max(c["x"] for c in cells) + 1
+                rows = bytearray()
+                for c in cells:
+                    rows += (b"\0" if c["x"] == 0 else b"") + bytes((c["r"], c["g"], c["b"], c["a"]))
+                whole = png_file(width, len(cells) // width, bytes(rows))
+                done.append(whole[: len(whole) // 3] if no % 7 == 6 else whole)
+            yield pa.RecordBatch.from_arrays([part.column("path"), pa.array(done, pa.binary())], names=["path", "content"])
+
+    cells = F.array_sort(F.collect_list(F.struct("y", "x", "r", "g", "b", "a"))).alias("cells")  # one frame's fixed number of pixels
+    frames = px_emb_u8(spark, sf_dir).groupBy("asset_id", "frame_no").agg(cells)
+    named = frames.select(F.concat("asset_id", F.lit("/"), "frame_no", F.lit(".png")).alias("path"), "frame_no", "cells")
+    return named.mapInArrow(encode, "path STRING, content BINARY")
+
+
+def png_file(width: int, height: int, rows: bytes) -> bytes:
+    """A PNG of eight-bit RGBA rows, each led by its filter byte."""
+
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    head = struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
 def px_li(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One dense 50x11 frame per supplier: quantity by discount, colored by count, tax and price."""
     cells = (
@@ -181,6 +224,7 @@ def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("sha256:"), F.sha2("text", 256)).alias("hash"),
         F.col("n_chars").alias("size"),
         "source",
+        F.col("text").cast("binary").alias("content"),
     )
 
 

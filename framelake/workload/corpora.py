@@ -10,6 +10,7 @@ from framelake.operators import layout, metrics, provenance, udfs
 from framelake.plans import catalogue, chain, decisions
 from framelake.schemas import FRAME, PIXEL, RGB
 from framelake.session import staging_path
+from framelake.sources import renders
 from framelake.sources import tables as src
 from framelake.streaming import jobs
 from framelake.workload.pixels import pair
@@ -129,8 +130,16 @@ def stage_snapshots(spark, sf):
 @query("sink.partitioned_render", f"WITH {PX_EMB} SELECT {KEY}, {', '.join(f'round({_BC(c)}, 9) AS {c}' for c in 'rgb')} FROM px_emb")
 def partitioned_render(spark, sf):
     path = staging_path(spark, "render")
-    src.write_render(chain.apply_chain(t.px_emb(spark, sf), SNAPSHOT_STEPS[:1]), path)
-    return pixels(spark.read.parquet(path), RGB)
+    renders.write_render(chain.apply_chain(t.px_emb(spark, sf), SNAPSHOT_STEPS[:1]), path)
+    return pixels(renders.read_render(spark, path), RGB)
+
+
+@query("sink.replaced_frames", f"WITH {PX_EMB} SELECT {KEY}, {', '.join(f'round(CASE WHEN frame_no % 3 = 0 THEN {_BC(c)} ELSE {c} END, 9) AS {c}' for c in 'rgb')} FROM px_emb")
+def replaced_frames(spark, sf):
+    path, px = staging_path(spark, "render"), t.px_emb(spark, sf)
+    renders.write_render(px, path)
+    renders.replace_frames(chain.apply_chain(px.where("frame_no % 3 = 0"), SNAPSHOT_STEPS[:1]), path)
+    return pixels(renders.read_render(spark, path), RGB)
 
 
 GOLDEN_STEPS = [("exposure.brightness_contrast", None, {"brightness": 0.02, "contrast": 1.0})]
@@ -169,7 +178,7 @@ def golden_refresh(spark, sf):
     px = t.px_emb(spark, sf)
     chain.golden_refresh(px, [], path)
     chain.golden_refresh(px, SNAPSHOT_STEPS[:1], path)
-    return pixels(spark.read.parquet(path), RGB)
+    return pixels(renders.read_render(spark, path), RGB)
 
 
 # User functions

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framelake import tables as t
-from framelake.operators import diffmerge, graphs, provenance
+from framelake.operators import diffmerge, graphs, layout, provenance
 from framelake.plans import chain as chains
 from framelake.plans import params
 from framelake.plans.catalogue import Effect, Param, Registry
+from framelake.session import staging_path
 from framelake.sources import images, luts, recipes
 from framelake.sources import tables as src
 from framelake.workload.registry import query
@@ -19,8 +20,10 @@ from framelake.workload.sql import (
     CASES,
     ENTRIES,
     ITEMS,
+    KEY,
     MODELS,
     NODES,
+    PX_U8,
     RECIPE_PARTS,
     checked,
     linked,
@@ -126,10 +129,49 @@ def kind_of(spark, sf):
     return t.read(spark, sf, "pages").select("page_id", images.kind_of(F.concat("url", ext)).alias("kind"))
 
 
-@query("src.binary_inventory")
+@query("src.table_inventory")
+def table_inventory(spark, sf):
+    found = images.binary_inventory(spark, sf)
+    return found.select(F.regexp_extract("uri", "[^/]+$", 0).alias("name"), "size", "hash", "kind")
+
+
+_PAGE_FILES = """pf AS (SELECT 'host' || page_id % 10 || '/page' || page_id || '.' || (['PNG', 'mkv', 'cr3', 'html'])[page_id % 4 + 1] AS name, coalesce(html, '') AS html,
+  (['still_image', 'video', 'still_image', 'other'])[page_id % 4 + 1] AS kind FROM pages)"""
+_NAME = F.regexp_extract("uri", "[^/]+/[^/]+$", 0).alias("name")
+
+
+def _page_folder(spark, sf):
+    path = staging_path(spark, "pages")
+    images.write_blobs(t.page_files(spark, sf), path)
+    return path
+
+
+@query("src.binary_inventory", f"WITH {_PAGE_FILES} SELECT name, strlen(html) AS size, 'sha256:' || sha256(html) AS hash, kind FROM pf")
 def binary_inventory(spark, sf):
-    files = images.binary_inventory(spark, sf)
-    return files.select(F.regexp_extract("uri", "[^/]+$", 0).alias("name"), "size", "hash", "kind")
+    return images.binary_inventory(spark, _page_folder(spark, sf)).select(_NAME, "size", "hash", "kind")
+
+
+@query("src.file_blocks", f"""WITH {_PAGE_FILES} SELECT name, b AS block, 1000 * b AS start, 'sha256:' || sha256(encode(html)[1000 * b + 1 : 1000 * b + 1000]) AS hash
+  FROM pf, LATERAL (SELECT unnest(range(greatest(1, (strlen(html) + 999) // 1000))) AS b)""")
+def file_blocks(spark, sf):
+    return images.file_blocks(spark, _page_folder(spark, sf), block_bytes=1000).select(_NAME, "block", "start", "hash")
+
+
+def _image_folder(spark, sf):
+    path = staging_path(spark, "images")
+    images.write_blobs(t.image_files(spark, sf), path)
+    return path
+
+
+@query("src.image", f"WITH {PX_U8} SELECT asset_id || '/' || frame_no || '.png' AS name, {KEY.split('frame_no, ')[1]}, r, g, b, a FROM px_u8 WHERE frame_no % 7 <> 6")
+def image(spark, sf):
+    px = layout.to_pixels(images.read_images(spark, _image_folder(spark, sf)))
+    return px.select(F.regexp_extract("asset_id", "[^/]+/[^/]+$", 0).alias("name"), "y", "x", "r", "g", "b", "a")
+
+
+@query("src.image_errors", f"WITH {PX_U8} SELECT DISTINCT asset_id || '/' || frame_no || '.png' AS name, 'LAYOUT' AS code FROM px_u8 WHERE frame_no % 7 = 6")
+def image_errors(spark, sf):
+    return images.image_errors(spark, _image_folder(spark, sf)).select(_NAME, "code")
 
 
 # Joins and batch bookkeeping
@@ -166,7 +208,24 @@ def bundle_errors(spark, sf):
 
 @query("sink.bundle_export", f"WITH {_BLOBS} SELECT source AS project_id, hash AS content_hash, count(*) AS assets FROM blobs WHERE CAST(blob_id AS BIGINT) % 3 <> 0 GROUP BY 1, 2")
 def bundle_export(spark, sf):
-    return src.bundle_export(_assets(spark, sf), t.blobs(spark, sf))[0]
+    return src.bundle_export(_assets(spark, sf), t.blobs(spark, sf))[0].select("project_id", "content_hash", "assets")
+
+
+_EMBED = "em AS (SELECT source AS project_id, hash AS content_hash, count(*) AS assets, max(size) AS size FROM blobs WHERE CAST(blob_id AS BIGINT) % 3 <> 0 GROUP BY 1, 2)"
+
+
+@query("sink.bundle_manifest", f"""WITH {_BLOBS}, {_EMBED} SELECT project_id, count(*) AS embedded, CAST(sum(assets) AS BIGINT) AS assets, CAST(sum(size) AS BIGINT) AS bytes,
+  count(*) || ':' || sum(CAST(CAST('0x' || substr(content_hash, 8, 15) AS UBIGINT) AS HUGEINT)) AS hash_set FROM em GROUP BY 1""")
+def bundle_manifest(spark, sf):
+    return src.bundle_export(_assets(spark, sf), t.blobs(spark, sf))[1]
+
+
+@query("sink.bundle_contents", f"WITH {_BLOBS}, {_EMBED} SELECT project_id, content_hash, 'assets/' || substr(content_hash, 8) AS archive_path, sha256 AS found FROM em JOIN (SELECT DISTINCT hash, substr(hash, 8) AS sha256 FROM blobs) ON hash = content_hash")
+def bundle_contents(spark, sf):
+    path = staging_path(spark, "bundle")
+    src.write_bundle(_assets(spark, sf), t.blobs(spark, sf), path)
+    entries, contents, _ = src.read_bundle(spark, path)
+    return entries.join(contents, "content_hash").select("project_id", "content_hash", "archive_path", F.sha2("content", 256).alias("found"))
 
 
 @query("join.skip_existing", "SELECT CAST(p_partkey AS VARCHAR) AS source, p_partkey || '.png' AS output_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45)")
