@@ -6,6 +6,7 @@ halo or as a few state values, so one very long recording spreads over many task
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -67,82 +68,122 @@ def _cascade(x: np.ndarray, state: np.ndarray, sections) -> tuple[np.ndarray, np
 CHUNK, CHUNKS_PER_GROUP = 1024, 1024
 
 
+def with_rates(samples: DataFrame, rates: DataFrame) -> DataFrame:
+    """Samples with the ``sample_rate`` of their recording; recordings without a positive rate are left out (``rate_errors``)."""
+    return samples.join(rates.where("sample_rate > 0").select("asset_id", F.col("sample_rate").cast("int").alias("sample_rate")), "asset_id")
+
+
+def rate_errors(samples: DataFrame, rates: DataFrame) -> DataFrame:
+    """Recordings without a positive rate."""
+    seen = samples.select("asset_id").distinct().join(rates.select("asset_id", "sample_rate"), "asset_id", "left")
+    return seen.where("sample_rate IS NULL OR sample_rate <= 0").select(
+        "asset_id", F.lit(LAYOUT).alias("code"), F.lit("the recording has no positive sample rate").alias("reason")
+    )
+
+
+@functools.lru_cache(maxsize=64)
+def _ringing(rate: int, chunk: int) -> tuple[np.ndarray, np.ndarray]:
+    """What each state value adds to a chunk's samples, and the matrix that carries a state over a chunk."""
+    impulse, step = _cascade(np.zeros((4, chunk)), np.eye(4), k_weighting(rate))
+    return impulse, step.T
+
+
 def k_weight(samples: DataFrame, rate: int = 48000, chunk: int = CHUNK, per_group: int = CHUNKS_PER_GROUP) -> DataFrame:
-    """K-weighted samples.
+    """K-weighted samples, each recording at its ``sample_rate`` where ``samples`` has that column, else all at ``rate``.
 
-    The filter is linear: a chunk started from silence plus the ringing of the state it inherits.
-    Chunks run alone; their end states are carried across chunks of a group and then across groups
-    (each at most ``chunk*per_group`` samples), so even one endless channel keeps every fold short.
+    The filter is linear: a chunk started from silence plus the ringing of the state it inherits. Chunks are filtered
+    once and written; what a chunk inherits is a prefix scan over the chunks' four end values (``_inherited``).
     """
-    sections = k_weighting(rate)
-    impulse, step = _cascade(np.zeros((4, chunk)), np.eye(4), sections)  # ringing and carry of each state
-    across = np.linalg.matrix_power(step.T, per_group)
+    keys = [*CHANNEL, "sample_rate"]
+    rated = samples if "sample_rate" in samples.columns else samples.withColumn("sample_rate", F.lit(rate))
 
     @F.pandas_udf("y ARRAY<DOUBLE>, s ARRAY<DOUBLE>")
-    def from_silence(x: pd.Series) -> pd.DataFrame:
-        lengths = x.map(len)
-        block = np.zeros((len(x), chunk))
+    def from_silence(x: pd.Series, rates: pd.Series) -> pd.DataFrame:
+        lengths = x.map(len).to_numpy()
+        block, ends = np.zeros((len(x), chunk)), np.zeros((len(x), 4))
         for i, row in enumerate(x):
             block[i, : len(row)] = row
-        y, s = _cascade(block, np.zeros((len(x), 4)), sections)
-        return pd.DataFrame({"y": [v[:n] for v, n in zip(y, lengths)], "s": list(s)})
+        for r in rates.unique():
+            mine = (rates == r).to_numpy()
+            block[mine], ends[mine] = _cascade(block[mine], np.zeros((mine.sum(), 4)), k_weighting(int(r)))
+        return pd.DataFrame({"y": [v[:n] for v, n in zip(block, lengths)], "s": list(ends)})
 
     @F.pandas_udf("array<double>")
-    def add_ringing(y: pd.Series, state: pd.Series) -> pd.Series:
-        return pd.Series([np.asarray(v) + np.asarray(s) @ impulse[:, : len(v)] for v, s in zip(y, state)])
+    def add_ringing(y: pd.Series, state: pd.Series, rates: pd.Series) -> pd.Series:
+        return pd.Series([np.asarray(v) + np.asarray(s) @ _ringing(int(r), chunk)[0][:, : len(v)] for v, s, r in zip(y, state, rates)])
 
-    chunks = (
-        samples.withColumn("ck", F.expr(f"n div {chunk}")).groupBy(*CHANNEL, "ck")
+    filtered = (
+        rated.withColumn("ck", F.expr(f"n div {chunk}")).groupBy(*keys, "ck")
         .agg(F.array_sort(F.collect_list(F.struct("n", "v"))).alias("c"))
-        .withColumn("z", from_silence(F.col("c.v")))
-        .select(*CHANNEL, "ck", F.expr(f"ck div {per_group}").alias("gk"), F.get("c.n", 0).alias("n0"), "z.y", "z.s")
-    )
-    groups = (
-        chunks.groupBy(*CHANNEL, "gk").agg(F.array_sort(F.collect_list(F.struct("ck", "s"))).alias("c"))
-        .withColumn("f", _carry(step.T)(F.col("c.s"))).select(*CHANNEL, "gk", F.col("c.ck").alias("ck"), F.col("f.seen").alias("seen"), F.col("f.now").alias("s"))
+        .withColumn("z", from_silence(F.col("c.v"), F.col("sample_rate")))
+        .select(*keys, "ck", F.get("c.n", 0).alias("n0"), "z.y", "z.s")
     )
-    starts = (
-        groups.groupBy(*CHANNEL).agg(F.array_sort(F.collect_list(F.struct("gk", "s"))).alias("c"))
-        .withColumn("f", _carry(across)(F.col("c.s")))
-        .select(*CHANNEL, F.explode(F.arrays_zip(F.col("c.gk").alias("gk"), F.col("f.seen").alias("seen"))).alias("g"))
-        .select(*CHANNEL, "g.gk", F.col("g.seen").alias("start"))
-    )
-    inherited = groups.join(starts, [*CHANNEL, "gk"]).select(
-        *CHANNEL, "start", F.posexplode(F.arrays_zip(F.col("ck"), F.col("seen"))).alias("i", "e")
-    ).select(*CHANNEL, F.col("e.ck").alias("ck"), _advance_many(step.T)(F.col("e.seen"), F.col("start"), F.col("i")).alias("state"))
-    voiced = chunks.join(inherited, [*CHANNEL, "ck"]).withColumn("y", add_ringing("y", "state"))
-    return voiced.select(*CHANNEL, "n0", F.posexplode("y").alias("i", "v")).select(*CHANNEL, (F.col("n0") + F.col("i")).alias("n"), "v")
+    chunks = cut_lineage(filtered)
+    last = chunks.agg(F.max("ck")).first()[0] or 0
+    states = _inherited(chunks.select(*keys, "ck", "s"), last, chunk, per_group)
+    voiced = chunks.drop("s").join(states, [*keys, "ck"]).withColumn("y", add_ringing("y", "state", "sample_rate"))
+    done = voiced.select(*keys, "n0", F.posexplode("y").alias("i", "v")).select(*keys, (F.col("n0") + F.col("i")).alias("n"), "v")
+    return done.select(*samples.columns)
+
 
+def _inherited(ends: DataFrame, last: int, span: int, per_group: int) -> DataFrame:
+    """The state that each block of ``span`` samples inherits, from the blocks' own end states.
+
+    Blocks are folded in groups of ``per_group``; the groups' end states are blocks of the next level, until one group holds
+    a channel (``last`` is the largest block number). So a level moves four numbers per block, no fold is longer than a
+    group, and levels grow with the logarithm of the length.
+    """
+    keys = [*CHANNEL, "sample_rate"]
 
-def _carry(matrix: np.ndarray):
-    """Fold ordered end states into the state each position inherits."""
+    def power(rate, n: int) -> np.ndarray:
+        return np.linalg.matrix_power(_carry(int(rate), span), n)
 
     @F.pandas_udf("now ARRAY<DOUBLE>, seen ARRAY<ARRAY<DOUBLE>>")
-    def fold(ends: pd.Series) -> pd.DataFrame:
+    def fold(numbers: pd.Series, own: pd.Series, rates: pd.Series) -> pd.DataFrame:
         now, seen = [], []
-        for row in ends:
-            state, trail = np.zeros(4), []
-            for own in row:
+        for cks, rows, rate in zip(numbers, own, rates):
+            first = int(cks[0]) // per_group * per_group
+            state, at, trail, step = np.zeros(4), first, [], _carry(int(rate), span)
+            for ck, row in zip(cks, rows):
+                if ck > at:
+                    state = power(rate, int(ck) - at) @ state
                 trail.append(state)
-                state = matrix @ state + np.asarray(own)
-            now.append(state)
+                state, at = step @ state + np.asarray(row), int(ck) + 1
+            now.append(power(rate, first + per_group - at) @ state)
             seen.append(trail)
         return pd.DataFrame({"now": now, "seen": seen})
 
-    return fold
+    @F.pandas_udf("array<double>")
+    def advance(own: pd.Series, start: pd.Series, moves: pd.Series, rates: pd.Series) -> pd.Series:
+        known: dict = {}
+        out = []
+        for o, s, n, r in zip(own, start, moves, rates):
+            if (r, n) not in known:
+                known[r, n] = power(r, int(n))
+            out.append(np.asarray(o) + known[r, n] @ np.asarray(s))
+        return pd.Series(out)
 
+    groups = (
+        ends.withColumn("gk", F.expr(f"ck div {per_group}")).groupBy(*keys, "gk")
+        .agg(F.array_sort(F.collect_list(F.struct("ck", "s"))).alias("c"))
+        .withColumn("f", fold(F.col("c.ck"), F.col("c.s"), F.col("sample_rate")))
+        .select(*keys, "gk", F.col("c.ck").alias("ck"), F.col("f.seen").alias("seen"), F.col("f.now").alias("now"))
+    )
+    one = F.explode(F.arrays_zip("ck", "seen")).alias("e")
+    if last < per_group:
+        return groups.select(*keys, one).select(*keys, "e.ck", F.col("e.seen").alias("state"))
+    groups = cut_lineage(groups)
+    upper = _inherited(groups.select(*keys, F.col("gk").alias("ck"), F.col("now").alias("s")), last // per_group, span * per_group, per_group)
+    starts = upper.select(*keys, F.col("ck").alias("gk"), F.col("state").alias("start"))
+    each = groups.drop("now").join(starts, [*keys, "gk"]).select(*keys, "start", one)
+    moved = advance(F.col("e.seen"), F.col("start"), F.expr(f"e.ck % {per_group}"), F.col("sample_rate"))
+    return each.select(*keys, F.col("e.ck").alias("ck"), moved.alias("state"))
 
-def _advance_many(step: np.ndarray):
-    """State inherited inside a group: its own part plus the group's start state moved ``i`` chunks on."""
-    powers = [np.eye(4)]
 
-    @F.pandas_udf("array<double>")
-    def advance(own: pd.Series, start: pd.Series, moves: pd.Series) -> pd.Series:
-        while len(powers) <= moves.max():
-            powers.append(step @ powers[-1])
-        return pd.Series([np.asarray(o) + powers[i] @ np.asarray(s) for o, s, i in zip(own, start, moves)])
-
-    return advance
+@functools.lru_cache(maxsize=256)
+def _carry(rate: int, span: int) -> np.ndarray:
+    """The matrix that carries a state over ``span`` samples."""
+    return np.linalg.matrix_power(_ringing(rate, 1)[1], span)
 
 
 MOST_CHANNELS = 2
@@ -222,6 +263,49 @@ def loudness(weighted: DataFrame, momentary: int, short_term: int, step: int) ->
     )
 
 
+# Seconds of momentary and short-term blocks, and of the step between them.
+MOMENTARY_SECS, SHORT_TERM_SECS, STEP_SECS = 0.4, 3.0, 0.1
+
+
+def loudness_by_rate(weighted: DataFrame) -> DataFrame:
+    """Integrated, momentary and short-term loudness with blocks in seconds of each recording's own ``sample_rate``.
+
+    A block need not be a whole number of steps: each step is summed in the parts that block ends cut it into, so blocks
+    are exact at any rate. The samples are read once; recordings in ``layout_errors`` are left out.
+    """
+    def size(seconds: float) -> Column:
+        return F.greatest(F.round(F.lit(seconds) * F.col("sample_rate")).cast("bigint"), F.lit(1).cast("bigint"))
+
+    step, sizes = size(STEP_SECS), (size(MOMENTARY_SECS), size(SHORT_TERM_SECS))
+    offset = F.col("n") % step
+    part = sum((F.when(offset >= b % step, 1).otherwise(0) for b in sizes[1:]), F.when(offset >= sizes[0] % step, 1).otherwise(0))
+    per_channel = weighted.groupBy(*CHANNEL, "sample_rate", F.floor(F.col("n") / step).alias("sk"), part.alias("part")).agg(
+        F.sum(F.col("v") * F.col("v")).alias("e"), F.count(F.lit(1)).alias("cnt"), F.min(offset).alias("offset")
+    )
+    steps = cut_lineage(per_channel.groupBy("asset_id", "sample_rate", "sk", "part").agg(
+        F.sum("e").alias("e"), F.sum("cnt").alias("cnt"), F.count(F.lit(1)).alias("ch"), F.min("offset").alias("offset")
+    ))
+
+    def blocks(block: Column) -> DataFrame:
+        whole = F.floor(block / step)
+        first = F.when(F.col("offset") < block % step, F.col("sk") - whole).otherwise(F.col("sk") - whole + 1)
+        reach = F.sequence(F.greatest(first, F.lit(0).cast("bigint")), F.col("sk"))
+        return (
+            steps.withColumn("_size", block).withColumn("block", F.explode(F.when(first <= F.col("sk"), reach)))
+            .groupBy("asset_id", "block").agg((F.sum("e") / F.max("_size")).alias("energy"), F.sum("cnt").alias("_cnt"), F.max("ch").alias("_ch"), F.max("_size").alias("_size"))
+            .where((F.col("_cnt") == F.col("_ch") * F.col("_size")) & (F.col("_ch") <= MOST_CHANNELS)).select("asset_id", "block", "energy")
+        )
+
+    momentary = blocks(sizes[0])
+    peak_m = momentary.groupBy("asset_id").agg(lufs(F.max("energy")).alias("max_momentary_lufs"))
+    peak_s = blocks(sizes[1]).groupBy("asset_id").agg(lufs(F.max("energy")).alias("max_short_term_lufs"))
+    silent = F.lit(float("-inf"))
+    return (
+        _measurable(steps).join(integrated(momentary), "asset_id", "left").join(peak_m, "asset_id", "left").join(peak_s, "asset_id", "left")
+        .select("asset_id", *[F.coalesce(c, silent).alias(c) for c in ("integrated_lufs", "max_momentary_lufs", "max_short_term_lufs")])
+    )
+
+
 PHASES, TAPS = 4, 8  # fixed values: oversampling and taps per phase
 
 
@@ -286,9 +370,10 @@ def _frames(samples: DataFrame, size: int) -> DataFrame:
     both = F.sequence(F.greatest(F.expr(f"n div {hop}") - 1, F.lit(0)), last)
     placed = counted.withColumn("frame", F.explode(F.when(F.size(both) > 0, both)))
     placed = placed.where((F.col("n") - F.col("frame") * hop >= 0) & (F.col("n") - F.col("frame") * hop < size))
+    extra = [F.max(c).alias(c) for c in samples.columns if c == "sample_rate"]
     return placed.groupBy(*CHANNEL, "frame").agg(
-        F.array_sort(F.collect_list(F.struct("n", "v"))).alias("c"), F.max("frames").alias("frames"), F.max("len").alias("len")
-    ).select(*CHANNEL, "frame", "frames", "len", F.col("c.v").alias("x"))
+        F.array_sort(F.collect_list(F.struct("n", "v"))).alias("c"), F.max("frames").alias("frames"), F.max("len").alias("len"), *extra
+    ).withColumn("x", F.col("c.v")).drop("c")
 
 
 def _check_frame(size: int) -> None:
@@ -308,7 +393,7 @@ def _spectra(samples: DataFrame, size: int) -> DataFrame:
         z = np.fft.rfft(block * window, axis=1)
         return pd.DataFrame({"re": list(z.real), "im": list(z.imag)})
 
-    return _frames(samples, size).withColumn("z", spectrum("x")).select(*CHANNEL, "frame", "frames", "len", "z.re", "z.im")
+    return _frames(samples, size).withColumn("z", spectrum("x")).withColumns({"re": F.col("z.re"), "im": F.col("z.im")}).drop("x", "z")
 
 
 def stft(samples: DataFrame, frame_size: int = 1024) -> DataFrame:
@@ -318,16 +403,20 @@ def stft(samples: DataFrame, frame_size: int = 1024) -> DataFrame:
 
 
 def spectral_subtract(
-    samples: DataFrame, rate: int, frame_size: int = 1024, over_subtract: float = 1.5, floor: float = 0.05, noise_secs: float = 0.5
+    samples: DataFrame, rate: int | None = None, frame_size: int = 1024, over_subtract: float = 1.5, floor: float = 0.05, noise_secs: float = 0.5
 ) -> DataFrame:
-    """Noise reduction: subtract the mean spectrum of the leading frames, keep the phase, overlap-add."""
+    """Noise reduction: subtract the mean spectrum of the leading frames, keep the phase, overlap-add.
+
+    How many frames ``noise_secs`` are follows from ``rate``, or from each recording's ``sample_rate`` without one.
+    """
     _check_frame(frame_size)
     if not (over_subtract >= 0 and floor >= 0 and noise_secs > 0):
         raise OperatorError(INVALID_PARAMETER, "over_subtract and floor must be >= 0, noise_secs > 0")
     hop, window = frame_size // 2, hann(frame_size)
-    noise_frames = max(max(int(noise_secs * rate + 0.5) - frame_size, 0) // hop + 1, 1)
-    spectra = _spectra(samples, frame_size)
-    lead = spectra.where(F.col("frame") < noise_frames)
+    rates = F.col("sample_rate") if rate is None else F.lit(rate)
+    noise_samples = F.floor(F.lit(noise_secs) * rates + 0.5) - frame_size
+    spectra = _spectra(samples if rate is None else samples.withColumn("sample_rate", rates), frame_size)
+    lead = spectra.where(F.col("frame") < F.floor(F.greatest(noise_samples, F.lit(0)) / hop) + 1)
     noise = (
         lead.select(*CHANNEL, F.posexplode(F.arrays_zip("re", "im")).alias("bin", "z"))
         .groupBy(*CHANNEL, "bin").agg(F.avg(F.hypot("z.re", "z.im")).alias("m"))

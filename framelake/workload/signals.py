@@ -117,6 +117,46 @@ def spectral_subtract(spark, sf):
     return done.select("asset_id", "n", (F.round("v", 9) + 0.0).alias("v"))
 
 
+# Recordings with rates of their own
+
+_OTHER = 44100
+_SHELF_44, _HIGH_44 = audio.k_weighting(_OTHER)
+
+
+def _by_rate(parts48, parts44):
+    """One coefficient tuple per rate as SQL that picks by recording."""
+    return tuple(f"(CASE WHEN k.asset_id < 'p' THEN {a!r} ELSE {b!r} END)" for a, b in zip(parts44, parts48, strict=True))
+
+
+_KW_RATES = KWEIGHT.replace(_U0, _biquad(_by_rate(SHELF_48K, _SHELF_44), "s.v", "k.x1", "k.x2", "k.u1", "k.u2")).replace(
+    _biquad(HIGHPASS_48K, "u0", "u1", "u2", "y1", "y2"), _biquad(tuple(c.replace("k.asset_id", "asset_id") for c in _by_rate(HIGHPASS_48K, _HIGH_44)), "u0", "u1", "u2", "y1", "y2"))
+
+
+def _rated(spark, sf, low, high):
+    """The signals with one rate for names before 'p' and another from there on."""
+    return t.snd_ev(spark, sf).withColumn("sample_rate", F.when(F.col("asset_id") < "p", low).otherwise(high))
+
+
+@query("au.k_weight_rates", f"WITH RECURSIVE {_KW_RATES} SELECT asset_id, channel, n, round(v, 6) AS v FROM kw")
+def k_weight_rates(spark, sf):
+    return audio.k_weight(_rated(spark, sf, _OTHER, 48000)).select("asset_id", "channel", "n", r9("v", 6))
+
+
+_SIZES = "CAST(round(0.1 * sr) AS BIGINT) AS st, CAST(round({secs} * sr) AS BIGINT) AS bl"
+
+
+def _rate_blocks(out: str, secs: float) -> str:
+    return f"""{out} AS (SELECT asset_id, j AS block, sum(v*v)/max(bl) AS energy FROM (SELECT asset_id, n, v, {_SIZES.format(secs=secs)} FROM rated), LATERAL (SELECT unnest(range(greatest(CAST(ceil((n - bl + 1) / CAST(st AS DOUBLE)) AS BIGINT), 0), n // st + 1)) AS j) GROUP BY asset_id, j HAVING count(*) = max(bl))"""
+
+
+@query("au.loudness_rates", f"""WITH {SND}, rated AS (SELECT *, CASE WHEN asset_id < 'p' THEN 48 ELSE 133 END AS sr FROM snd), {_rate_blocks('bm', 0.4)}, {_rate_blocks('bs', 3.0)}, {INTEGRATED},
+  pm AS (SELECT asset_id, max(energy) AS pm FROM bm GROUP BY 1), ps AS (SELECT asset_id, max(energy) AS ps FROM bs GROUP BY 1)
+  SELECT asset_id, round({_LUFS.format('m2')}, 9) AS integrated_lufs, round({_LUFS.format('pm')}, 9) AS max_momentary_lufs, round({_LUFS.format('coalesce(ps, 0)')}, 9) AS max_short_term_lufs FROM g2 JOIN pm USING (asset_id) LEFT JOIN ps USING (asset_id)""")
+def loudness_rates(spark, sf):
+    done = audio.loudness_by_rate(_rated(spark, sf, 48, 133))
+    return done.select("asset_id", *[r9(c) for c in ("integrated_lufs", "max_momentary_lufs", "max_short_term_lufs")])
+
+
 def _rates(spark, sf):
     kinds = t.read(spark, sf, "events").groupBy(F.col("event_type").alias("asset_id")).agg(F.min("event_id").alias("m"))
     is_view, is_error = F.col("asset_id") == "view", F.col("asset_id") == "error"

@@ -83,3 +83,54 @@ def test_frame_size_must_be_a_power_of_two(sound):
 
 def test_short_signal_is_one_frame(sound):
     assert audio.stft(sound(np.ones(10)), 64).select("frame").distinct().count() == 1
+
+
+def test_recordings_at_their_own_rates(sound):
+    rng = np.random.default_rng(9)
+    signals = {"a": (44100, rng.standard_normal(30_011)), "b": (48000, rng.standard_normal(29_003)), "c": (11025, rng.standard_normal(40_000))}
+    table = None
+    for name, (rate, v) in signals.items():
+        one = sound(v, name).selectExpr("*", f"{rate} AS sample_rate")
+        table = one if table is None else table.unionByName(one)
+    weighted = audio.k_weight(table, chunk=128, per_group=5)
+    got = weighted.toPandas()
+    for name, (rate, v) in signals.items():
+        mine = got[got["asset_id"] == name].sort_values("n")
+        np.testing.assert_allclose(mine["v"], serial(v, audio.k_weighting(rate)), atol=1e-9)
+    loud = {r["asset_id"]: r for r in audio.loudness_by_rate(weighted).collect()}
+    for name, (rate, v) in signals.items():
+        y = serial(v, audio.k_weighting(rate))
+        half_up = lambda x: int(np.floor(x + 0.5))
+        step, block = half_up(0.1 * rate), half_up(0.4 * rate)
+        energy = np.array([np.mean(y[k : k + block] ** 2) for k in range(0, len(y) - block + 1, step)])
+        assert abs(loud[name]["max_momentary_lufs"] - (-0.691 + 10 * np.log10(energy.max()))) < 1e-6
+        assert loud[name]["max_short_term_lufs"] == float("-inf") if rate > 11025 else loud[name]["max_short_term_lufs"] > -10
+
+
+def test_filter_runs_once(sound):
+    plan = audio.k_weight(sound(np.zeros(5000)), chunk=64, per_group=4)._jdf.queryExecution().executedPlan().toString()
+    assert "from_silence" not in plan and plan.count("add_ringing") >= 1  # the filtered chunks are read back
+
+
+def test_gaps_keep_their_length(sound):
+    """Missing chunks ring on as silence does."""
+    v = np.random.default_rng(4).standard_normal(640)
+    v[192:512] = 0
+    whole = serial(v, audio.k_weighting(RATE))
+    got = audio.k_weight(sound(v).where("n < 192 OR n >= 512"), RATE, 64, 3).toPandas().sort_values("n")
+    np.testing.assert_allclose(got["v"], np.delete(whole, np.s_[192:512]), atol=1e-9)
+
+
+def test_rates_are_joined_and_missing_ones_listed(spark, sound):
+    both = sound(np.ones(10), "a").unionByName(sound(np.ones(10), "b"))
+    rates = spark.createDataFrame([("a", 44100), ("b", 0)], "asset_id STRING, sample_rate INT")
+    assert {(r["asset_id"], r["sample_rate"]) for r in audio.with_rates(both, rates).collect()} == {("a", 44100)}
+    assert [r["asset_id"] for r in audio.rate_errors(both, rates).collect()] == ["b"]
+
+
+def test_noise_frames_follow_each_rate(sound):
+    rng = np.random.default_rng(6)
+    v = 0.05 * rng.standard_normal(16000)
+    split = audio.spectral_subtract(sound(v).selectExpr("*", "16000 AS sample_rate"), None, 1024).orderBy("n").toPandas()["v"]
+    whole = audio.spectral_subtract(sound(v), 16000, 1024).orderBy("n").toPandas()["v"]
+    np.testing.assert_allclose(split, whole)
