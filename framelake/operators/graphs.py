@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.errors import GRAPH
@@ -63,8 +63,9 @@ def topo_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     long_edges = cut_lineage(long_edges.join(need, ["project_id", "dst"]))
     # Each round hands on only the levels found last, so every edge is joined once in all.
     fresh = hop.where("fan = 0").select("project_id", F.col("node_id").alias("anchor"), F.lit(0).cast("bigint").alias("level"))
-    levels, waiting = fresh, None
-    while not fresh.isEmpty():
+    levels, waiting = _Parts(nodes.sparkSession, "levels"), None
+    while levels.add(fresh):
+        fresh = levels.last()
         arrived = long_edges.join(fresh, ["project_id", "anchor"]).select(
             "project_id", "dst", "need", F.lit(1).alias("got"), (F.col("level") + F.col("length")).alias("level")
         )
@@ -73,8 +74,7 @@ def topo_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         seen = cut_lineage(arrived.groupBy("project_id", "dst").agg(F.max("need").alias("need"), F.sum("got").alias("got"), F.max("level").alias("level")))
         waiting = seen.where("got < need")
         fresh = seen.where("got = need").select("project_id", F.col("dst").alias("anchor"), "level")
-        levels = levels.unionByName(fresh)
-    known = levels.withColumnRenamed("anchor", "up").withColumnRenamed("level", "base")
+    known = levels.all().withColumnRenamed("anchor", "up").withColumnRenamed("level", "base")
     done = placed.join(known, ["project_id", "up"], "left").select(*NODE, (F.col("base") + F.col("far")).alias("level"))
     return nodes.select(*NODE).join(done, NODE, "left").withColumn("level", F.coalesce("level", F.lit(-1).cast("bigint")))
 
@@ -119,25 +119,90 @@ def ancestors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def upstream_of(sinks: DataFrame, edges: DataFrame) -> DataFrame:
     """``project_id, sink, ancestor``: every node a given sink depends on, itself included.
 
-    Only what the sinks reach is expanded, one step of edges per round; all rounds append to one written table, from
-    which a round reads what is known. Cycles end when nothing new is reached.
+    A node with one input has one way up, so tables of its 1st, 2nd, 4th, ... ancestors hold at most a row per node, and lead to
+    the stretch's end: the nearest node with none or several inputs. Only ends with several inputs are walked round by
+    round, each once per sink; then all stretches that the walk entered are listed by doubling. A chain of
+    ``n`` nodes takes ``log2(n)`` rounds, and rows in between never exceed nodes per table plus the answer. Cycles end
+    where nothing new is reached.
     """
-    spark, path = sinks.sparkSession, staging_path(sinks.sparkSession, "upstream")
-    pair = ["project_id", "sink", "ancestor"]
-    fresh = sinks.select("project_id", F.col("node_id").alias("sink"), F.col("node_id").alias("ancestor")).distinct()
-    steps = edges.select("project_id", F.col("dst").alias("ancestor"), F.col("src").alias("_up")).distinct()
-    schema = fresh.schema
-    read = lambda where: spark.read.schema(schema).parquet(where)
-    rounds = 0
-    while True:
-        here = f"{path}/part{rounds}"
-        fresh.write.parquet(here)
-        last, rounds = read(here), rounds + 1
-        if last.isEmpty():
-            return spark.read.schema(schema).parquet(*[f"{path}/part{k}" for k in range(rounds)])
-        known = spark.read.schema(schema).parquet(*[f"{path}/part{k}" for k in range(rounds)])
-        above = last.join(steps, ["project_id", "ancestor"]).select("project_id", "sink", F.col("_up").alias("ancestor")).distinct()
-        fresh = above.join(known, pair, "left_anti")
+    spark = sinks.sparkSession
+    node = ["project_id", "node_id"]
+    steps = cut_lineage(edges.select("project_id", F.col("dst").alias("node_id"), F.col("src").alias("up")).distinct())
+    fans = steps.groupBy(*node).agg(F.count(F.lit(1)).alias("fan"), F.min("up").alias("only"))
+    jumps, cyclic = _stretch_jumps(fans.where("fan = 1").select(*node, F.col("only").alias("up")))
+    ends = _stretch_ends(jumps)
+    inputs = cut_lineage(steps.join(fans.where("fan > 1").select(*node), node))
+
+    entered, seen = _Parts(spark, "entered"), _Parts(spark, "ends")
+    fresh = sinks.select("project_id", F.col("node_id").alias("sink"), "node_id").distinct()
+    while entered.add(fresh):
+        last = entered.last()
+        at = last.join(ends, node, "left").select(
+            "project_id", "sink", F.coalesce("end", "node_id").alias("node_id")
+        ).distinct().join(inputs.select(*node).distinct(), node, "left_semi")
+        if len(seen):
+            at = at.join(seen.all(), ["project_id", "sink", "node_id"], "left_anti")
+        if not seen.add(at):
+            break
+        fresh = seen.last().join(inputs, node).select("project_id", "sink", F.col("up").alias("node_id")).distinct()
+
+    triple = ["project_id", "sink", "node_id"]
+    listed = _Parts(spark, "upstream")
+    listed.add(entered.all().distinct())
+    for jump in jumps:
+        known = listed.all()
+        further = known.join(jump, node).select("project_id", "sink", F.col("up").alias("node_id"))
+        listed.add(further.distinct().join(known, triple, "left_anti") if cyclic else further)
+    return listed.all().distinct().select("project_id", "sink", F.col("node_id").alias("ancestor"))
+
+
+def _stretch_jumps(first: DataFrame) -> tuple[list[DataFrame], bool]:
+    """Tables ``project_id, node_id, up`` of the 1st, 2nd, 4th, ... ancestor along single inputs, and whether some stretch is a cycle.
+
+    A table holds the nodes with that many ancestors on their stretch; on a cycle there is always one more, so the largest
+    project's size ends the doubling.
+    """
+    tables = [cut_lineage(first)]
+    longest = tables[0].groupBy("project_id").count().agg(F.max("count")).first()[0] or 0
+    while 2 ** len(tables) <= 2 * longest:
+        last = tables[-1]
+        onward = last.select("project_id", F.col("node_id").alias("up"), F.col("up").alias("_far"))
+        further = cut_lineage(last.join(onward, ["project_id", "up"]).select("project_id", "node_id", F.col("_far").alias("up")))
+        if further.isEmpty():
+            return tables, False
+        tables.append(further)
+    return tables, 2 ** (len(tables) - 1) > longest > 0
+
+
+def _stretch_ends(jumps: list[DataFrame]) -> DataFrame:
+    """``project_id, node_id, end``: the top of each node's stretch, by the largest jumps first."""
+    state = jumps[0].select("project_id", "node_id", F.col("node_id").alias("end"))
+    for jump in reversed(jumps):
+        state = state.join(jump.select("project_id", F.col("node_id").alias("end"), F.col("up").alias("_far")), ["project_id", "end"], "left")
+        state = state.select("project_id", "node_id", F.coalesce("_far", "end").alias("end"))
+    return cut_lineage(state)
+
+
+class _Parts:
+    """Rows written round by round below one folder; every round reads what is there."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.schemas = spark, staging_path(spark, name), []
+
+    def __len__(self) -> int:
+        return len(self.schemas)
+
+    def add(self, rows: DataFrame) -> bool:
+        """Write one round; False if it holds nothing."""
+        rows.write.parquet(f"{self.path}/part{len(self)}")
+        self.schemas.append(rows.schema)
+        return not self.last().isEmpty()
+
+    def last(self) -> DataFrame:
+        return self.spark.read.schema(self.schemas[-1]).parquet(f"{self.path}/part{len(self) - 1}")
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schemas[0]).parquet(*[f"{self.path}/part{k}" for k in range(len(self))])
 
 
 def _compose(first: DataFrame, second: DataFrame) -> DataFrame:
