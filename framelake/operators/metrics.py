@@ -23,13 +23,25 @@ def frame_pair(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(other, PIXEL)
 
 
+def pair_table(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Per frame of either side: both sides' sizes (null where a side lacks the frame), summed squared error and shared pixels.
+
+    One full join of the pixels tells sizes, errors and frames that only one side holds, so nothing is read again for them.
+    """
+    a = left.select(*PIXEL, *RGB, F.lit(True).alias("_l"))
+    b = right.select(*PIXEL, *[F.col(c).alias(f"{c}2") for c in RGB], F.lit(True).alias("_r"))
+    sides = [F.max(F.when(F.col(side), F.col(at) + 1)).alias(name) for side, at, name in (("_l", "x", "w1"), ("_l", "y", "h1"), ("_r", "x", "w2"), ("_r", "y", "h2"))]
+    both = F.when(F.col("_l") & F.col("_r"), 1)
+    return a.join(b, PIXEL, "full").groupBy(*FRAME).agg(*sides, F.sum(squared_error()).alias("total"), F.count(both).alias("pixels"))
+
+
 def pair_errors(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Frames that cannot be compared because their sizes differ."""
-    a = frame_dims(left)
-    b = frame_dims(right).select(*FRAME, F.col("width").alias("w2"), F.col("height").alias("h2"))
-    return a.join(b, FRAME).where("width <> w2 or height <> h2").select(
-        *FRAME, F.lit(LAYOUT).alias("code"),
-        F.format_string("frame dims differ: %dx%d vs %dx%d", "width", "height", "w2", "h2").alias("reason"),
+    """Frames that cannot be compared: their sizes differ, or only one side holds them."""
+    slim = [side.select(*PIXEL, *[F.lit(0.0).alias(c) for c in RGB]) for side in (left, right)]
+    differ = F.format_string("frame dims differ: %dx%d vs %dx%d", "w1", "h1", "w2", "h2")
+    lone = F.concat(F.lit("only the "), F.when(F.col("w1").isNull(), "second").otherwise("first"), F.lit(" side has the frame"))
+    return pair_table(*slim).where("NOT (w1 <=> w2 AND h1 <=> h2)").select(
+        *FRAME, F.lit(LAYOUT).alias("code"), F.when(F.col("w1").isNull() | F.col("w2").isNull(), lone).otherwise(differ).alias("reason")
     )
 
 
@@ -52,8 +64,8 @@ def psnr_of(mse: Column) -> Column:
 
 
 def mse(left: DataFrame, right: DataFrame) -> DataFrame:
-    scores = frame_pair(left, right).groupBy(*FRAME).agg(mse_of(F.sum(squared_error()), F.count(F.lit(1))).alias("mse"))
-    return comparable(scores, left, right)
+    """Mean squared error of frames that both sides hold in one size; ``pair_errors`` lists the others."""
+    return pair_table(left, right).where("w1 = w2 AND h1 = h2").select(*FRAME, mse_of(F.col("total"), F.col("pixels")).alias("mse"))
 
 
 def psnr(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -39,6 +39,10 @@ def audit_key(df: DataFrame) -> bytes:
     return key.encode()
 
 
+# Kinds of a case's files by folder.
+ARTIFACT_KINDS = {"inputs": "input", "outputs": "output", "stages": "stage", "recipes": "recipe"}
+
+
 def content_hash(c: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(c, 256))
 
@@ -228,9 +232,21 @@ def case_rollup(audit: DataFrame) -> DataFrame:
     )
 
 
+def artifact_rollup(artifacts: DataFrame) -> DataFrame:
+    """Files per case and kind, per case, and overall; the kind follows from the first folder of ``path``, the stage from the second."""
+    folder = F.split("path", "/")
+    kind = F.coalesce(*[F.when(folder[0] == name, word) for name, word in ARTIFACT_KINDS.items()], F.lit("other"))
+    slim = artifacts.select("case_id", kind.alias("kind"), F.when(kind == "stage", folder[1]).alias("_stage"))
+    return slim.groupingSets([["case_id", "kind"], ["case_id"], []], "case_id", "kind").agg(
+        F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("artifacts"), F.countDistinct("_stage").alias("stage_runs")
+    )
+
+
 def manifest(renders: DataFrame, hashes: DataFrame) -> DataFrame:
-    """Input, output and recipe digests of each render, looked up by path."""
+    """Input, output and recipe digests of each render, looked up by path; its ``rendered_at``, where given, also as ``render_time`` text in UTC."""
     out = renders
+    if "rendered_at" in renders.columns:
+        out = out.withColumn("render_time", F.date_format("rendered_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
     for k in HASHES:
         named = hashes.select(F.col("path").alias(f"{k}_path"), F.col("hash").alias(f"{k}_hash"))
         out = out.join(named, f"{k}_path", "left")
@@ -295,6 +311,34 @@ def record_run(audit: DataFrame, runs: DataFrame) -> DataFrame:
     return append_to(audit, runs.withColumn("action", F.lit("render")))
 
 
+def super_resolve_drafts(runs: DataFrame, shifts: DataFrame) -> DataFrame:
+    """Log drafts of fused frames whose note carries each frame's measured shift.
+
+    ``runs`` holds ``case_id, draft_no, at, operator_key, asset_id, scale, fuse, remark`` and hashes; ``shifts`` is the output of
+    ``phase_correlate``. The first frame's hash stands for the input, the report names every frame. Runs without shifts are
+    left out (``super_resolve_errors``).
+    """
+    frame = F.struct("frame_no", "dx", "dy", "peak")
+    reports = shifts.groupBy("asset_id").agg(F.count(F.lit(1)).alias("_n"), F.to_json(F.array_sort(F.collect_list(frame))).alias("_report"))
+    text = F.format_string("super-resolve of %d frames at scale %d by %s; shifts: %s", "_n", "scale", "fuse", "_report")
+    remark = F.coalesce("remark", F.lit(""))
+    note = F.when(remark == "", text).otherwise(F.concat(remark, F.lit(" | "), text))
+    done = runs.join(reports, "asset_id").withColumns({"action": F.lit("super-resolve"), "note": note})
+    return done.drop("asset_id", "scale", "fuse", "remark", "_n", "_report")
+
+
+def super_resolve_errors(runs: DataFrame, shifts: DataFrame) -> DataFrame:
+    """Runs whose frames were not registered."""
+    return runs.join(shifts.select("asset_id"), "asset_id", "left_anti").select(
+        "case_id", F.lit("INVALID_PARAMETER").alias("code"), F.concat(F.lit("no measured shifts for "), "asset_id").alias("reason")
+    )
+
+
+def record_super_resolve(audit: DataFrame, runs: DataFrame, shifts: DataFrame) -> DataFrame:
+    """Fused frames as log entries with their shift report; nothing is added to a broken log."""
+    return append_to(audit, super_resolve_drafts(runs, shifts))
+
+
 def decision_errors(decisions: DataFrame) -> DataFrame:
     return decisions.where(~F.lower("decision").isin("approve", "reject")).select(
         "case_id", F.lit("INVALID_PARAMETER").alias("code"),

@@ -2,32 +2,65 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framelake.errors import INVALID_PARAMETER, OperatorError
 from framelake.operators.metrics import frame_pair
-from framelake.schemas import FRAME
+from framelake.schemas import FRAME, RGB
+from framelake.session import ship_package
 
 
-@F.pandas_udf(T.StructType([T.StructField("sum", T.DoubleType()), T.StructField("n", T.LongType())]))
-def _batch_error(r: pd.Series, g: pd.Series, b: pd.Series, r2: pd.Series, g2: pd.Series, b2: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame({"sum": (r - r2) ** 2 + (g - g2) ** 2 + (b - b2) ** 2, "n": 1})
+#: How Spark merges a state column of two batches.
+MERGES = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
-def metric_udaf(left: DataFrame, right: DataFrame) -> DataFrame:
-    """The squared-error metric with a vectorized user function inside a combinable aggregate.
+def user_aggregate(
+    rows: DataFrame, keys: Sequence[str], partial: Callable[[pd.DataFrame], pd.DataFrame], state: dict[str, tuple[str, str]],
+    finish: dict[str, Column],
+) -> DataFrame:
+    """A user's aggregate in two stages.
 
-    A grouped-aggregate pandas function would hold one frame per call; mapping batches first and
-    summing in Spark keeps partial aggregation.
+    ``partial`` sees one Arrow batch (``keys`` and all other columns) and returns one row per key with the ``state`` columns;
+    Spark merges these by ``sum``, ``min`` or ``max`` (``state`` maps a name to its SQL type and merge), within a task and
+    after the shuffle, and ``finish`` turns the merged state into results. So what is shuffled is one row per batch and key, and
+    no key's rows meet in one Python call.
     """
-    e = frame_pair(left, right).withColumn("e", _batch_error("r", "g", "b", "r2", "g2", "b2"))
-    return e.groupBy(*FRAME).agg((F.sum("e.sum") / (F.sum("e.n") * 3.0)).alias("mse"))
+    for name, (_, merge) in state.items():
+        if merge not in MERGES:
+            raise OperatorError(INVALID_PARAMETER, f"{name}: merge must be one of {sorted(MERGES)}")
+    ship_package(rows.sparkSession)
+    wanted = [*keys, *state]
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), *(f"`{n}` {t}" for n, (t, _) in state.items())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield partial(batch)[wanted]
+
+    merged = rows.mapInPandas(run, schema).groupBy(*keys).agg(*[MERGES[merge](n).alias(n) for n, (_, merge) in state.items()])
+    return merged.select(*keys, *[c.alias(n) for n, c in finish.items()])
+
+
+def metric_udaf(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The squared-error metric as a user aggregate: one state row per Arrow batch and frame."""
+
+    def partial(batch: pd.DataFrame) -> pd.DataFrame:
+        batch["total"] = sum((batch[c] - batch[f"{c}2"]) ** 2 for c in RGB)
+        batch["pixels"] = 1
+        return batch.groupby(FRAME, as_index=False, sort=False, dropna=False)[["total", "pixels"]].sum()
+
+    pairs = frame_pair(left, right).select(*FRAME, *RGB, *[f"{c}2" for c in RGB])
+    return user_aggregate(
+        pairs, FRAME, partial, {"total": ("DOUBLE", "sum"), "pixels": ("BIGINT", "sum")}, {"mse": F.col("total") / (F.col("pixels") * 3.0)},
+    )
 
 
 def batch_predict(tensors: DataFrame, make_predict: Callable, shape: tuple[int, ...], batch_size: int = 32) -> DataFrame:

@@ -9,7 +9,7 @@ from framelake.operators import diffmerge, graphs, layout, provenance
 from framelake.plans import chain as chains
 from framelake.plans import params
 from framelake.plans.catalogue import Effect, Param, Registry
-from framelake.session import staging_path
+from framelake.session import cut_lineage, staging_path
 from framelake.sources import images, luts, recipes
 from framelake.sources import tables as src
 from framelake.workload.registry import query
@@ -325,8 +325,6 @@ def fips(spark, sf):
   g AS (SELECT case_id, CASE WHEN NOT ok THEN 'audit log broken' WHEN coalesce(missing,0) > 0 THEN 'artifact missing' WHEN NOT fips_ok THEN 'sha-256 missing' WHEN NOT independent THEN 'no independent approval' ELSE 'ok' END AS reason FROM v LEFT JOIN files USING (case_id) JOIN sign USING (case_id) JOIN fips USING (case_id))
   SELECT case_id, reason, reason = 'ok' AS passed FROM g""")
 def audit_gate(spark, sf):
-    from framelake.session import cut_lineage
-
     log = cut_lineage(t.case_ev_bad(spark, sf))
     return provenance.audit_gate(log, t.cases(spark, sf), t.artifacts(spark, sf), require_fips=True, require_signoff=True)
 
@@ -336,6 +334,32 @@ def rollup(spark, sf):
     return provenance.case_rollup(t.case_entries(spark, sf)).select(F.coalesce("case_id", F.lit("*")).alias("case_id"), F.coalesce("action", F.lit("*")).alias("action"), "level", "entries", "first_at", "last_at")
 
 
+_CASE_FILES = """cf AS (SELECT CAST(user_id AS VARCHAR) AS case_id, CASE event_type WHEN 'view' THEN 'inputs/' WHEN 'click' THEN 'outputs/' WHEN 'purchase' THEN 'stages/run' || event_id % 3 || '/' WHEN 'signup' THEN 'recipes/' ELSE 'notes/' END || event_id AS path FROM events)"""
+
+
+@query("agg.case_artifacts", f"""WITH {_CASE_FILES}, k AS (SELECT case_id, CASE split_part(path, '/', 1) WHEN 'inputs' THEN 'input' WHEN 'outputs' THEN 'output' WHEN 'stages' THEN 'stage' WHEN 'recipes' THEN 'recipe' ELSE 'other' END AS kind,
+    CASE WHEN path LIKE 'stages/%' THEN split_part(path, '/', 2) END AS stage FROM cf)
+  SELECT coalesce(case_id, '*') AS case_id, coalesce(kind, '*') AS kind, CAST(grouping(case_id, kind) AS INTEGER) AS level, count(*) AS artifacts, count(DISTINCT stage) AS stage_runs FROM k GROUP BY GROUPING SETS ((case_id, kind), (case_id), ())""")
+def case_artifacts(spark, sf):
+    folder = F.coalesce(
+        *[F.when(F.col("event_type") == k, v) for k, v in (("view", F.lit("inputs/")), ("click", F.lit("outputs/")), ("signup", F.lit("recipes/")))],
+        F.when(F.col("event_type") == "purchase", F.concat(F.lit("stages/run"), F.col("event_id") % 3, F.lit("/"))), F.lit("notes/"))
+    files = t.read(spark, sf, "events").select(F.col("user_id").cast("string").alias("case_id"), F.concat(folder, "event_id").alias("path"))
+    stars = [F.coalesce(c, F.lit("*")).alias(c) for c in ("case_id", "kind")]
+    return provenance.artifact_rollup(files).select(*stars, "level", "artifacts", "stage_runs")
+
+
+@query("prov.manifest_times", """SELECT o_orderkey, 'd' || o_orderkey % 190 AS output_path, 'sha256:' || sha256(text) AS output_hash, strftime(CAST(o_orderdate AS TIMESTAMP) + to_seconds(o_orderkey % 86400), '%Y-%m-%dT%H:%M:%S.%fZ') AS render_time
+  FROM orders LEFT JOIN documents ON doc_id = o_orderkey % 190""")
+def manifest_times(spark, sf):
+    at = F.concat(F.lit("d"), (F.col("o_orderkey") % 190).cast("string"))
+    renders = t.read(spark, sf, "orders").select(
+        "o_orderkey", *[at.alias(f"{k}_path") for k in ("input", "output", "recipe")],
+        F.expr("cast(o_orderdate as timestamp) + make_interval(0, 0, 0, 0, 0, 0, o_orderkey % 86400)").alias("rendered_at"))
+    hashes = t.read(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), provenance.content_hash(F.col("text")).alias("hash"))
+    return provenance.manifest(renders, hashes).select("o_orderkey", "output_path", "output_hash", "render_time")
+
+
 @query("prov.manifest", """WITH h AS (SELECT 'd' || doc_id AS path, 'sha256:' || sha256(text) AS hash FROM documents) SELECT p_partkey, i.hash AS input_hash, o.hash AS output_hash, coalesce(r.hash, '') AS recipe_hash
   FROM part LEFT JOIN h i ON i.path = 'd' || (p_partkey % 200) LEFT JOIN h o ON o.path = 'd' || (p_partkey % 190) LEFT JOIN h r ON r.path = 'd' || (p_size + 1000000)""")
 def manifest(spark, sf):
@@ -390,16 +414,39 @@ def _drafts(spark, sf, keep):
 
 @query("prov.record_run", _appended(_new_entries("render", "''", f"'sha256:' || sha256('i' || event_id) AS input_hash, {_NULLS}", "event_type = 'view'")))
 def record_run(spark, sf):
-    from framelake.session import cut_lineage
-
     runs = _drafts(spark, sf, "event_type = 'view'").withColumn("input_hash", provenance.content_hash(F.concat(F.lit("i"), F.col("event_id").cast("string"))))
     return provenance.record_run(cut_lineage(t.case_ev_bad(spark, sf)), runs.drop("event_id", "value")).select("case_id", "seq", "action", "note", "prev_link", "link")
 
 
+_SHIFT_NOTE = """CASE WHEN event_id % 2 = 0 THEN 'night | ' ELSE '' END || 'super-resolve of 3 frames at scale ' || (event_id % 3 + 2) || ' by median; shifts: [{"frame_no":0,"dx":0.0,"dy":0.0,"peak":1.0},{"frame_no":1,"dx":0.5,"dy":' || (event_id % 7 + 0.25) || ',"peak":0.5},{"frame_no":2,"dx":1.0,"dy":' || (event_id % 7 + 1.25) || ',"peak":0.5}]'"""
+
+
+def _shift_runs(spark, sf):
+    """Every event as a run over three frames with measured shifts."""
+    runs = _drafts(spark, sf, "true").select(
+        "*", F.concat(F.lit("a"), F.col("event_id").cast("string")).alias("asset_id"), (F.col("event_id") % 3 + 2).alias("scale"), F.lit("median").alias("fuse"),
+        F.when(F.col("event_id") % 2 == 0, "night").otherwise("").alias("remark"), provenance.content_hash(F.concat(F.lit("i"), F.col("event_id").cast("string"))).alias("input_hash"))
+    k = F.col("frame_no")
+    shifts = t.read(spark, sf, "events").select("event_id", F.explode(F.array(*[F.lit(n) for n in range(3)])).alias("frame_no")).select(
+        F.concat(F.lit("a"), F.col("event_id").cast("string")).alias("asset_id"), "frame_no", (k / 2.0).alias("dx"),
+        F.when(k == 0, 0.0).otherwise(F.col("event_id") % 7 + k - 0.75).alias("dy"), F.when(k == 0, 1.0).otherwise(0.5).alias("peak"))
+    return runs.drop("event_id", "value"), shifts
+
+
+@query("prov.record_super_resolve", _appended(_new_entries("super-resolve", _SHIFT_NOTE, f"'sha256:' || sha256('i' || event_id) AS input_hash, {_NULLS}", "true")))
+def record_super_resolve(spark, sf):
+    runs, shifts = _shift_runs(spark, sf)
+    return provenance.record_super_resolve(cut_lineage(t.case_ev_bad(spark, sf)), runs, shifts).select("case_id", "seq", "action", "note", "prev_link", "link")
+
+
+@query("prov.super_resolve_errors", "SELECT CAST(user_id AS VARCHAR) AS case_id, 'INVALID_PARAMETER' AS code, 'no measured shifts for a' || event_id AS reason FROM events WHERE event_id % 5 = 0")
+def super_resolve_errors(spark, sf):
+    runs, shifts = _shift_runs(spark, sf)
+    return provenance.super_resolve_errors(runs, shifts.where(F.substring("asset_id", 2, 20).cast("bigint") % 5 != 0))
+
+
 @query("prov.record_decision", _appended(_new_entries("sign-off", "'decision: ' || CASE WHEN value > 50 THEN 'approve' ELSE 'reject' END || CASE WHEN event_id % 2 = 0 THEN ' — checked' ELSE '' END", f"CAST(NULL AS VARCHAR) AS input_hash, {_NULLS}", "event_type = 'purchase'")))
 def record_decision(spark, sf):
-    from framelake.session import cut_lineage
-
     d = _drafts(spark, sf, "event_type = 'purchase'").withColumns({"decision": F.when(F.col("value") > 50, "Approve").otherwise("REJECT"), "remark": F.when(F.col("event_id") % 2 == 0, "checked").otherwise("")})
     drafts = provenance.decision_drafts(d, t.cases(spark, sf)).drop("event_id", "value", "decision", "remark", "creator_key", "self_signoff")
     return provenance.append_to(cut_lineage(t.case_ev_bad(spark, sf)), drafts).select("case_id", "seq", "action", "note", "prev_link", "link")

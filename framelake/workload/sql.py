@@ -79,7 +79,8 @@ def hmac_sql(message: str) -> str:
 
 
 def head_sql(t: str = "") -> str:
-    opt = lambda c: f"CASE WHEN {t}{c} IS NULL THEN '' ELSE ',\"{c}\":\"' || {t}{c} || '\"' END"
+    # Text inside JSON escapes its quotes.
+    opt = lambda c: f"CASE WHEN {t}{c} IS NULL THEN '' ELSE ',\"{c}\":\"' || replace({t}{c}, '\"', chr(92) || '\"') || '\"' END"
     fields = ["case_id", "input_hash", "input_sha256", "note", "operator_key", "output_hash", "output_sha256"]
     return f"""'{{"action":"' || {t}action || '","at":"' || {t}"at" || '"' || {" || ".join(opt(c) for c in fields)} || ',"prev_link":"'"""
 

@@ -361,6 +361,14 @@ def pair_errors(spark, sf):
     return metrics.pair_errors(t.px_emb(spark, sf), uneven(spark, sf))
 
 
+@query("join.pair_errors_lone", f"""WITH {PX_EMB}, f AS (SELECT DISTINCT asset_id, frame_no FROM px_emb), g AS (SELECT asset_id, frame_no - 1 AS frame_no FROM f)
+  SELECT asset_id, frame_no, 'LAYOUT' AS code, 'only the first side has the frame' AS reason FROM (SELECT * FROM f EXCEPT SELECT * FROM g)
+  UNION ALL SELECT asset_id, frame_no, 'LAYOUT', 'only the second side has the frame' FROM (SELECT * FROM g EXCEPT SELECT * FROM f)""")
+def pair_errors_lone(spark, sf):
+    px = t.px_emb(spark, sf)
+    return metrics.pair_errors(px, px.withColumn("frame_no", F.col("frame_no") - 1))
+
+
 @query("agg.mse_uneven", f"""WITH {UNEVEN} SELECT asset_id, frame_no, CAST(0.0 AS DOUBLE) AS mse FROM udims WHERE h = 50""")
 def mse_uneven(spark, sf):
     return metrics.mse(t.px_emb(spark, sf), uneven(spark, sf)).select(*FRAME, r9("mse", 12))

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from framelake.errors import OperatorError
 from framelake.operators import layout, metrics, pointwise, resample, stencil
@@ -116,3 +117,35 @@ def test_registry_checks():
     with pytest.raises(OperatorError):
         reg.bind("exposure.gamma", {"gamma": 99.0})
     assert reg.bind("exposure.gamma", {"gamma": 99}) == {"gamma": 99.0}  # promoted integers are not range-checked
+
+
+def test_lone_frames_are_listed_not_scored(frame):
+    same, left_only, right_only = flat(3, 3), flat(2, 2), flat(2, 5)
+    a = frame(same, "a", 0).unionByName(frame(left_only, "a", 1)).unionByName(frame(flat(2, 2), "a", 3))
+    b = frame(same, "a", 0).unionByName(frame(right_only, "a", 2)).unionByName(frame(flat(2, 3), "a", 3))
+    assert {(r["frame_no"], r["reason"]) for r in metrics.pair_errors(a, b).collect()} == {
+        (1, "only the first side has the frame"), (2, "only the second side has the frame"), (3, "frame dims differ: 2x2 vs 3x2")}
+    assert {(r["frame_no"], r["mse"]) for r in metrics.mse(a, b).collect()} == {(0, 0.0)}
+    plan = metrics.mse(a, b)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1  # sizes come with the errors
+
+
+def test_user_aggregate_sends_one_row_per_batch_and_key(spark):
+    from framelake.errors import OperatorError
+    from framelake.operators import udfs
+
+    rows = spark.range(0, 50_000, 1, 4).selectExpr("CAST(id % 3 AS INT) AS k", "CAST(id AS DOUBLE) AS v")
+    sizes = spark.sparkContext.accumulator(0)
+
+    def partial(batch):
+        done = batch.groupby("k", as_index=False).agg(total=("v", "sum"), least=("v", "min"), most=("v", "max"))
+        sizes.add(len(done))
+        return done
+
+    state = {"total": ("DOUBLE", "sum"), "least": ("DOUBLE", "min"), "most": ("DOUBLE", "max")}
+    done = udfs.user_aggregate(rows, ["k"], partial, state, {"total": F.col("total"), "spread": F.col("most") - F.col("least")})
+    want = {k: (float(sum(range(k, 50_000, 3))), float(range(k, 50_000, 3)[-1] - k)) for k in range(3)}
+    assert {r["k"]: (r["total"], r["spread"]) for r in done.collect()} == want
+    assert sizes.value <= 3 * 8
+    with pytest.raises(OperatorError):
+        udfs.user_aggregate(rows, ["k"], partial, {"total": ("DOUBLE", "mean")}, {})

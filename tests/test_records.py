@@ -208,3 +208,18 @@ def test_image_files(spark, tmp_path, block):
     listed = {r["uri"].rsplit("/", 1)[1]: r for r in images.binary_inventory(spark, str(tmp_path)).collect()}
     assert listed["a.png"]["kind"] == "still_image" and listed["notes.txt"]["kind"] == "other"
     assert listed["notes.txt"]["hash"] == "sha256:" + hashlib.sha256(b"x").hexdigest()
+
+
+def test_shift_report_reaches_the_log_but_not_a_broken_one(spark):
+    first = [(c, 0, "2024-01-01T00:00:00.000000", "op", "case-init", "") for c in ("good", "bad")]
+    draft = spark.createDataFrame(first, "case_id STRING, seq BIGINT, at STRING, operator_key STRING, action STRING, note STRING")
+    log = provenance.chain_append(provenance._draft(draft).select(*provenance.BEFORE_LINK, *provenance.AFTER_LINK))
+    log = log.withColumn("note", F.when(F.col("case_id") == "bad", "changed").otherwise(F.col("note")))
+    runs = spark.createDataFrame(
+        [(c, 0, "2024-01-02T00:00:00.000000", "op", a, 2, "median", r) for c, a, r in (("good", "a", "seen"), ("bad", "a", ""), ("good", "none", ""))],
+        "case_id STRING, draft_no INT, at STRING, operator_key STRING, asset_id STRING, scale INT, fuse STRING, remark STRING")
+    shifts = spark.createDataFrame([("a", 1, 0.5, -1.0, 0.9), ("a", 0, 0.0, 0.0, 1.0)], "asset_id STRING, frame_no INT, dx DOUBLE, dy DOUBLE, peak DOUBLE")
+    rows = provenance.record_super_resolve(log, runs, shifts).collect()
+    assert [(r["case_id"], r["seq"], r["action"]) for r in rows] == [("good", 1, "super-resolve")]
+    assert rows[0]["note"].startswith("seen | super-resolve of 2 frames at scale 2 by median") and '"frame_no":1,"dx":0.5,"dy":-1.0' in rows[0]["note"]
+    assert [r["case_id"] for r in provenance.super_resolve_errors(runs, shifts).collect()] == ["good"]
