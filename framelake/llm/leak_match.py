@@ -7,8 +7,10 @@ on the stretch of text around the hits.
 
 Documents are read once per block of items; a block's automaton is bounded by ``BLOCK_CHARS`` and travels as a broadcast.
 
-Defined results: null and empty texts match nothing; items that are null or shorter than ``least`` characters after
-normalizing take no part (they are in any text); repeated items count once per id; repeated rows are judged each; a document with a null
+Items of fewer than ``short`` characters have a budget of their own: they match without edits, and only between word borders (the characters next
+to the match are no letters or digits).
+
+Defined results: null and empty texts match nothing; items that are null or without characters match nothing; repeated items count once per id; repeated rows are judged each; a document with a null
 id is judged like any other; empty tables on either side give no matches.
 """
 
@@ -33,7 +35,11 @@ class Budget:
     """When a document holds an item."""
 
     rate: float = 0.06  #: edits allowed per item character
-    least: int = 30  #: shortest normalized item that takes part
+    short: int = 30  #: shorter normalized items match whole words without edits
+
+    def errors(self, size: int) -> int:
+        """Edits allowed for an item of that many characters."""
+        return int(self.rate * size) if size >= self.short else 0
 
 
 def normal(text: str | None) -> str:
@@ -43,7 +49,7 @@ def normal(text: str | None) -> str:
 
 def pieces(item: str, budget: Budget) -> list[tuple[int, str]]:
     """``(offset, piece)``: error budget plus one consecutive pieces of nearly equal length."""
-    count = int(budget.rate * len(item)) + 1
+    count = budget.errors(len(item)) + 1
     cuts = [k * len(item) // count for k in range(count + 1)]
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
@@ -117,7 +123,11 @@ class Matcher:
         out = []
         for k in sorted(starts):
             item = self.items[k]
-            errors = int(self.budget.rate * len(item))
+            if len(item) < self.budget.short:
+                if any(self._whole(text, s, len(item)) for s in starts[k]):
+                    out.append((self.ids[k], 0))
+                continue
+            errors = self.budget.errors(len(item))
             pattern = self.patterns.setdefault(k, Pattern(item))
             best = errors + 1
             for first, last in self._stretches(sorted(starts[k]), errors):
@@ -129,6 +139,11 @@ class Matcher:
                 out.append((self.ids[k], best))
         return out
 
+    @staticmethod
+    def _whole(text: str, start: int, size: int) -> bool:
+        """Whether a match lies between word borders."""
+        return not text[max(0, start - 1) : start].isalnum() and not text[start + size : start + size + 1].isalnum()
+
     @staticmethod
     def _stretches(starts: list[int], errors: int) -> Iterator[tuple[int, int]]:
         """Ranges of implied item starts that one verification covers: neighbors at most the budget apart."""
@@ -148,7 +163,7 @@ def blocks(items: DataFrame, budget: Budget, id_col: str = "item_id", text_col:
     count = -(-chars // BLOCK_CHARS)
     for block in range(count):
         rows = slim.where(F.pmod(F.xxhash64("item_id", "_text"), F.lit(count)) == block).collect()
-        part = sorted({(r[0], t) for r in rows if len(t := normal(r[1])) >= budget.least}, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        part = sorted({(r[0], t) for r in rows if (t := normal(r[1]))}, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         if part:
             yield part
 

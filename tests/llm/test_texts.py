@@ -133,7 +133,7 @@ def test_leaks_equal_brute_force(spark):
     rng = random.Random(3)
     item = lambda: " ".join("".join(rng.choice("abcde") for _ in range(rng.randint(2, 6))) for _ in range(12))
     items = [(k, item()) for k in range(6)] + [(6, None), (7, "short"), (None, item())]
-    budget = leak_match.Budget(rate=0.1, least=20)
+    budget = leak_match.Budget(rate=0.1, short=20)
     docs = []
     for k in range(60):
         text = list(items[rng.choice([0, 1, 2, 3, 4, 5, 8])][1])
@@ -146,7 +146,7 @@ def test_leaks_equal_brute_force(spark):
     bench = spark.createDataFrame(items, "item_id BIGINT, text STRING")
     want = []
     for i, t in docs:
-        near = [(k, distance(leak_match.normal(b), leak_match.normal(t))) for k, b in items if b and len(leak_match.normal(b)) >= budget.least]
+        near = [(k, distance(leak_match.normal(b), leak_match.normal(t))) for k, b in items if b and len(leak_match.normal(b)) >= budget.short]  # no text holds the short one
         size = {k: len(leak_match.normal(b)) for k, b in items if b}
         want.append((i, sorted(((k, d) for k, d in near if t and d <= int(budget.rate * size[k])), key=str)))
     got = [(r.doc_id, sorted(((x.item_id, x.distance) for x in r["items"]), key=str)) for r in leak_match.find_leaks(df, bench, budget).collect()]
@@ -156,6 +156,18 @@ def test_leaks_equal_brute_force(spark):
     assert leak_match.find_leaks(df.limit(0), bench).count() == 0 and leak_match.drop_leaks(df, bench.limit(0)).count() == len(docs)
 
 
+def test_short_items_match_whole_words_only(spark):
+    items = [(1, "Sum of two"), (2, "x"), (3, "What is 7*8?"), (4, " \n"), (5, ""), (6, "twenty-nine characters of text")]
+    docs = [(1, "The SUM  of\ntwo numbers"), (2, "the sum of twos, subsum of two"), (3, "an x-ray"), (4, "axis ex x1"), (5, "ask: what is 7*8? now"),
+            (6, "whatis 7*8?"), (7, "swhat is 7*8?"), (8, "sum of two"), (9, None), (10, ""), (11, "twenty-nine characters of texts"), (12, "twenty-nine characters of text.")]
+    df = spark.createDataFrame(docs, "doc_id BIGINT, text STRING")
+    bench = spark.createDataFrame(items, "item_id BIGINT, text STRING")
+    budget = leak_match.Budget(short=31)
+    got = {r.doc_id: [(x.item_id, x.distance) for x in r["items"]] for r in leak_match.find_leaks(df, bench, budget).collect()}
+    assert got == {1: [(1, 0)], 2: [], 3: [(2, 0)], 4: [], 5: [(3, 0)], 6: [], 7: [], 8: [(1, 0)], 9: [], 10: [], 11: [], 12: [(6, 0)]}
+    assert {r.doc_id for r in leak_match.drop_leaks(df, bench, budget).collect()} == {k for k, v in got.items() if not v}
+
+
 def test_leaks_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(leak_match, "BLOCK_CHARS", 40)
     bench = spark.createDataFrame([(k, f"item number {k} with a text of its own {'z' * k}") for k in range(5)], "item_id BIGINT, text STRING")
