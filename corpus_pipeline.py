@@ -50,11 +50,21 @@ STAGES = [
 ]
 
 
+#: Rows that a task hands to Python at once; texts are long, so Spark's default of 10,000 holds tens of megabytes on both sides.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
     docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = staging_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(BATCH_ROWS))
+    try:
+        for name, stage in STAGES:
+            path = staging_path(spark, name)
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return docs
