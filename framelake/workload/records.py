@@ -137,7 +137,11 @@ def table_inventory(spark, sf):
 
 _PAGE_FILES = """pf AS (SELECT 'host' || page_id % 10 || '/page' || page_id || '.' || (['PNG', 'mkv', 'cr3', 'html'])[page_id % 4 + 1] AS name, coalesce(html, '') AS html,
   (['still_image', 'video', 'still_image', 'other'])[page_id % 4 + 1] AS kind FROM pages)"""
-_NAME = F.regexp_extract("uri", "[^/]+/[^/]+$", 0).alias("name")
+
+
+def _name(column="uri"):
+    """A file's path below its folder of files."""
+    return F.regexp_extract(column, "[^/]+/[^/]+$", 0).alias("name")
 
 
 def _page_folder(spark, sf):
@@ -148,13 +152,13 @@ def _page_folder(spark, sf):
 
 @query("src.binary_inventory", f"WITH {_PAGE_FILES} SELECT name, strlen(html) AS size, 'sha256:' || sha256(html) AS hash, kind FROM pf")
 def binary_inventory(spark, sf):
-    return images.binary_inventory(spark, _page_folder(spark, sf)).select(_NAME, "size", "hash", "kind")
+    return images.binary_inventory(spark, _page_folder(spark, sf)).select(_name(), "size", "hash", "kind")
 
 
 @query("src.file_blocks", f"""WITH {_PAGE_FILES} SELECT name, b AS block, 1000 * b AS start, 'sha256:' || sha256(encode(html)[1000 * b + 1 : 1000 * b + 1000]) AS hash
   FROM pf, LATERAL (SELECT unnest(range(greatest(1, (strlen(html) + 999) // 1000))) AS b)""")
 def file_blocks(spark, sf):
-    return images.file_blocks(spark, _page_folder(spark, sf), block_bytes=1000).select(_NAME, "block", "start", "hash")
+    return images.file_blocks(spark, _page_folder(spark, sf), block_bytes=1000).select(_name(), "block", "start", "hash")
 
 
 def _image_folder(spark, sf):
@@ -166,12 +170,12 @@ def _image_folder(spark, sf):
 @query("src.image", f"WITH {PX_U8} SELECT asset_id || '/' || frame_no || '.png' AS name, {KEY.split('frame_no, ')[1]}, r, g, b, a FROM px_u8 WHERE frame_no % 7 <> 6")
 def image(spark, sf):
     px = layout.to_pixels(images.read_images(spark, _image_folder(spark, sf)))
-    return px.select(F.regexp_extract("asset_id", "[^/]+/[^/]+$", 0).alias("name"), "y", "x", "r", "g", "b", "a")
+    return px.select(_name("asset_id"), "y", "x", "r", "g", "b", "a")
 
 
 @query("src.image_errors", f"WITH {PX_U8} SELECT DISTINCT asset_id || '/' || frame_no || '.png' AS name, 'LAYOUT' AS code FROM px_u8 WHERE frame_no % 7 = 6")
 def image_errors(spark, sf):
-    return images.image_errors(spark, _image_folder(spark, sf)).select(_NAME, "code")
+    return images.image_errors(spark, _image_folder(spark, sf)).select(_name(), "code")
 
 
 # Joins and batch bookkeeping
