@@ -18,11 +18,11 @@ from pyspark.sql import types as T
 
 from framelake.errors import within
 from framelake.functions.color import clamp01, luma
-from framelake.functions.tiles import TILE_BITS, TILE_KEYS, column_values, dense_block, whole_tiles
+from framelake.functions.strips import LINES, Strip, block_schema, cut, over_rows, padded_size, pixel_rows, pixel_schema, turned
+from framelake.functions.tiles import column_values, whole_tiles
 from framelake.operators.metrics import combinable, fuse_median, stack, stack_errors
 from framelake.operators.pointwise import frame_dims, with_dims
 from framelake.operators.resample import translate, upscale_lanczos
-from framelake.operators.stencil import correlate
 from framelake.schemas import FRAME, PIXEL, RGB, RGBA
 from framelake.session import cut_lineage
 
@@ -90,38 +90,41 @@ def _psf_line(n: int, sigma: float) -> np.ndarray:
 
 
 def wiener(px: DataFrame, sigma: float = 1.0, nsr: float = 0.01, frames: DataFrame | None = None) -> DataFrame:
-    """Wiener deconvolution of a Gaussian blur. The blur is separable, so a column knows its own filter."""
+    """Wiener deconvolution of a Gaussian blur. The blur is separable, so a column knows its own filter; lines stay packed."""
     sigma, nsr = max(sigma, 0.3), max(nsr, 1e-6)
 
-    @F.pandas_udf(LINE)
-    def restore(re: pd.Series, im: pd.Series, kx: pd.Series, nx: pd.Series, ny: pd.Series) -> pd.DataFrame:
-        out_re, out_im = [], []
-        for a, b, k, w, h in zip(re, im, kx, nx, ny):
-            blur = _psf_line(h, sigma) * _psf_line(w, sigma)[k]
-            gain = np.conj(blur) / (np.abs(blur) ** 2 + nsr)
-            if k == 0:
-                gain[0] = 1.0
-            z = np.fft.ifft(np.fft.fft(np.asarray(a) + 1j * np.asarray(b), h) * gain)
-            out_re.append(z.real)
-            out_im.append(z.imag)
-        return pd.DataFrame({"re": out_re, "im": out_im})
+    def begin(at: Strip, lines: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n = padded_size(at.width)
+        out = np.zeros((4, lines.shape[1], n), dtype=complex)
+        out[:3], out[3, :, : at.width] = np.fft.fft(lines[:3], n), lines[3]
+        yield cut(at, out)
 
-    keys = [*FRAME, "ch", "nx", "ny"]
-    plane = planes(px, {c: F.col(c) for c in RGB}, frames)
-    rows = fft_lines(plane.withColumn("_n", F.col("nx")), keys, "y", "x", "_n")
-    cells = F.array_sort(F.collect_list(F.struct("y", "re", "im")))
-    columns = rows.groupBy(*keys, "x").agg(cells.alias("_c"))
-    filtered = columns.withColumn("_z", restore(F.col("_c.re"), F.col("_c.im"), "x", "nx", "ny"))
-    back = filtered.select(*keys, "x", F.posexplode(F.arrays_zip("_z.re", "_z.im")).alias("y", "v")).select(
-        *keys, "x", "y", "v.re", "v.im", F.col("nx").alias("_n")
-    )
-    image = fft_lines(back, keys, "y", "x", "_n", inverse=True)
-    channels = image.groupBy(*PIXEL).agg(*[clamp01(F.max(F.when(F.col("ch") == c, F.col("re")))).alias(c) for c in RGB])
-    return px.select(*PIXEL, "a").join(channels, PIXEL).select(*PIXEL, *RGBA)
+    def columns(at: Strip, lines: np.ndarray) -> Iterator[pa.RecordBatch]:
+        h, w = padded_size(at.height), padded_size(at.width)
+        kx = at.number * LINES + np.arange(lines.shape[1])
+        soft = _psf_line(w, sigma)[kx, None] * _psf_line(h, sigma)
+        gain = np.conj(soft) / (np.abs(soft) ** 2 + nsr)
+        gain[kx == 0, 0] = 1.0
+        sharp = np.fft.ifft(np.fft.fft(lines[:3], h) * gain)[..., : at.height]
+        yield cut(at, np.concatenate([sharp, lines[3:]]))
+
+    def end(at: Strip, lines: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rgb = np.clip(np.fft.ifft(lines[:3]).real[..., : at.width], 0.0, 1.0)
+        yield pixel_rows(at, np.concatenate([rgb, lines[3:, :, : at.width].real]), RGBA)
+
+    spectra = over_rows(with_dims(px, frames), RGBA, begin, block_schema(px))
+    back = turned(spectra, 4, columns, block_schema(px), complex)
+    return turned(back, 4, end, pixel_schema(px, RGBA), complex).select(*PIXEL, *RGBA)
 
 
-PSF_REACH = 7.0  # Gaussian taps beyond seven sigma are below 2.3e-11 of the peak
-WIDEST_HALO = 1 << TILE_BITS
+def _around(lines: np.ndarray, extent: int, sigma: float) -> np.ndarray:
+    """Circular Gaussian blur of zero-padded lines with the whole wrapped kernel, cut back to ``extent``."""
+    n = padded_size(extent)
+    return np.fft.irfft(np.fft.rfft(lines, n) * _psf_line(n, sigma).real[: n // 2 + 1], n)[..., :extent]
+
+
+#: Iterations between two written states, so that a lost executor repeats no more than these.
+WRITE_EVERY = 5
 
 
 def richardson_lucy(
@@ -129,115 +132,113 @@ def richardson_lucy(
 ) -> DataFrame:
     """Iterative deconvolution of a Gaussian blur on a torus of padded size, zero outside the frame.
 
-    Each iteration reads ``2*reach`` pixels away, so a halo of ``2*reach*k`` lets a tile run ``k``
-    iterations alone. Rounds of ``k`` are chained through the checkpoint folder until all are done.
+    The kernel is kept whole: each line is convolved by its transform. An iteration turns packed lines twice: columns end
+    the first blur, divide and begin the second; rows end it, update and begin the next iteration's first.
     """
     sigma, iterations, damping = max(sigma, 0.3), int(within("iterations", iterations, 1, 50)), within("damping", damping, 0.0, 1.0)
-    reach = max(math.ceil(PSF_REACH * sigma), 1)
-    per_round = max(1, min(iterations, WIDEST_HALO // (2 * reach)))
-    state = with_dims(px, frames).withColumns({f"o_{c}": F.col(c) for c in RGB})
-    left = iterations
-    while left:
-        steps = min(per_round, left)
-        left -= steps
-        state = _deconvolve_tiles(state, sigma, reach, steps, damping)
-        if left:
+    schema = block_schema(px)
+    # Channels of a strip: estimate, frame as given and blur under way, three each, then alpha.
+
+    def begin(at: Strip, lines: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rgb = lines[:3]
+        yield cut(at, np.concatenate([rgb, rgb, _around(rgb, at.width, sigma), lines[3:]]))
+
+    def columns(at: Strip, lines: np.ndarray) -> Iterator[pa.RecordBatch]:
+        now, shown, soft, alpha = lines[:3], lines[3:6], lines[6:9], lines[9:]
+        ratio = shown / np.maximum(_around(soft, at.height, sigma), 1e-6)
+        yield cut(at, np.concatenate([now, shown, _around(ratio, at.height, sigma), alpha]))
+
+    def updated(at: Strip, lines: np.ndarray) -> np.ndarray:
+        return lines[:3] * (1 + (_around(lines[6:9], at.width, sigma) - 1) * (1 - damping))
+
+    def rows(at: Strip, lines: np.ndarray) -> Iterator[pa.RecordBatch]:
+        now = updated(at, lines)
+        yield cut(at, np.concatenate([now, lines[3:6], _around(now, at.width, sigma), lines[9:]]))
+
+    def end(at: Strip, lines: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield pixel_rows(at, np.concatenate([np.clip(updated(at, lines), 0.0, 1.0), lines[9:]]), RGBA)
+
+    state = over_rows(with_dims(px, frames), RGBA, begin, schema)
+    for step in range(1, iterations):
+        state = turned(turned(state, 10, columns, schema), 10, rows, schema)
+        if step % WRITE_EVERY == 0:
             state = cut_lineage(state)
-    return state.withColumns({c: clamp01(F.col(c)) for c in RGB}).select(*px.columns)
-
-
-def _deconvolve_tiles(state: DataFrame, sigma: float, reach: int, steps: int, damping: float) -> DataFrame:
-    halo, size = 2 * reach * steps, 1 << TILE_BITS
-
-    def copies(pos: str, extent: str) -> Column:
-        """The positions a pixel is seen at on the torus, as far as any tile looks."""
-        n = padded(F.col(extent))
-        turns = F.ceil(F.lit(halo) / n).cast("int")
-        seen = F.transform(F.sequence(-turns, turns), lambda k: F.col(pos) + k * n)
-        return F.filter(seen, lambda p: (p >= -halo) & (p < F.col(extent) + halo))
-
-    def owners(pos: str, extent: str) -> Column:
-        first = F.floor(F.greatest(F.col(pos) - halo, F.lit(0)) / size)
-        last = F.floor(F.least(F.col(pos) + halo, F.col(extent) - 1) / size)
-        return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
-
-    seen = state.withColumn("vy", F.explode(copies("y", "height"))).withColumn("vx", F.explode(copies("x", "width")))
-    tiles = seen.withColumn("tile_y", F.explode(owners("vy", "height"))).withColumn("tile_x", F.explode(owners("vx", "width")))
-    taps = np.exp(-(np.arange(-reach, reach + 1) ** 2) / (2 * sigma * sigma))
-
-    def blur(block, totals):
-        for axis in (0, 1):
-            pad = [(0, 0)] * 3
-            pad[axis] = (reach, reach)
-            block = correlate(np.pad(block, pad), taps / totals[axis], axis)
-        return block
-
-    def wrapped_mass(extent: int) -> float:
-        n = 1 << (max(extent, 2) - 1).bit_length()
-        at = np.arange(n)
-        return float(np.exp(-(np.where(at <= n // 2, at, at - n) ** 2) / (2 * sigma * sigma)).sum())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, spans in whole_tiles(batches, TILE_KEYS):
-            y, x, vy, vx, tile_y, tile_x, height, width = (
-                column_values(table, c) for c in ("y", "x", "vy", "vx", "tile_y", "tile_x", "height", "width")
-            )
-            now = np.column_stack([column_values(table, c) for c in RGB])
-            shown = np.column_stack([column_values(table, f"o_{c}") for c in RGB])
-            for rows in spans:
-                ry, rx = vy[rows] - vy[rows].min(), vx[rows] - vx[rows].min()
-                est, seen_at = dense_block(ry, rx, now[rows]), dense_block(ry, rx, shown[rows])
-                totals = wrapped_mass(int(height[rows.start])), wrapped_mass(int(width[rows.start]))
-                for _ in range(steps):
-                    ratio = seen_at / np.maximum(blur(est, totals), 1e-6)
-                    est = est * (1 + (blur(ratio, totals) - 1) * (1 - damping))
-                now[rows] = est[ry, rx]
-            own = (vy == y) & (vx == x) & (y // size == tile_y) & (x // size == tile_x)
-            for k, c in enumerate(RGB):
-                table = table.set_column(table.column_names.index(c), c, pa.array(now[:, k]))
-            yield from table.filter(pa.array(own)).to_batches()
-
-    placed = tiles.repartition(*TILE_KEYS).sortWithinPartitions(*TILE_KEYS)
-    return placed.mapInArrow(run, placed.schema).select(*state.columns)
+    done = turned(turned(state, 10, columns, schema), 10, end, pixel_schema(px, RGBA))
+    return _with_rest(done, px)
+
+
+def _with_rest(done: DataFrame, px: DataFrame) -> DataFrame:
+    """The columns of ``px``; those beyond position and color are joined from it."""
+    rest = [c for c in px.columns if c not in (*PIXEL, *RGBA)]
+    done = done.join(px.select(*PIXEL, *rest), PIXEL) if rest else done
+    return done.select(*px.columns)
 
 
 def _hann(pos: str, extent: str) -> Column:
     return 0.5 - 0.5 * F.cos(2 * math.pi * F.col(pos) / (F.col(extent) - 1))
 
 
+RUN_BITS = 8  # frames of an asset that meet one copy of its first frame's spectrum: 256
+
+
 def phase_correlate(px: DataFrame, frames: DataFrame | None = None) -> DataFrame:
     """Shift of every frame against its asset's first frame, to a fraction of a pixel.
 
-    Spectra meet by an equi-join on frequency; the peak is one ``max_by`` per frame, and a second
-    pass over the same surface reads the four cells next to it. Assets with frames of several sizes are left out
-    and listed by ``register_errors``.
+    Every transform is done once, on packed lines. Strips of columns stream by runs of 256 frames behind a copy of the first
+    frame's strip, so a long recording spreads over tasks and a task holds two strips. The rows of the surface come with
+    the row before and after, so a strip knows its peak's neighbors and leaves one row. Assets with frames of several sizes
+    are left out and listed by ``register_errors``.
     """
     px = combinable(px)
-    plane = planes(px, {"lum": luma()}, frames)
-    shown = plane.withColumn("re", F.col("re") * _hann("x", "width") * _hann("y", "height"))
-    spectrum = fft2(shown)
-    first = px.groupBy("asset_id").agg(F.min("frame_no").alias("frame_no"))
-    reference = spectrum.join(first, FRAME, "left_semi").select(
-        "asset_id", "nx", "ny", "y", "x", F.col("re").alias("ar"), F.col("im").alias("ai")
-    )
-    pair = spectrum.join(reference, ["asset_id", "nx", "ny", "y", "x"])
-    cr = F.col("ar") * F.col("re") + F.col("ai") * F.col("im")
-    ci = F.col("ai") * F.col("re") - F.col("ar") * F.col("im")
-    size = F.hypot(cr, ci) + 1e-12
-    surface = fft2(pair.withColumns({"re": cr / size, "im": ci / size}), inverse=True)
-    surface = surface.select(*FRAME, "nx", "ny", "y", "x", F.round("re", 12).alias("v"))
-    peaks = surface.groupBy(*FRAME).agg(
-        F.max_by(F.struct(F.col("x").alias("px"), F.col("y").alias("py"), F.col("v").alias("pv")), F.struct("v", -F.col("y"), -F.col("x"))).alias("k")
-    ).select(*FRAME, "k.*")
-    near = surface.join(peaks, FRAME)
-    right = (F.col("x") - F.col("px") + F.col("nx")) % F.col("nx")
-    down = (F.col("y") - F.col("py") + F.col("ny")) % F.col("ny")
-    pick = lambda test: F.max(F.when(test, F.col("v")))
-    around = near.where(((right == 0) & ((down <= 1) | (down == F.col("ny") - 1))) | ((down == 0) & ((right <= 1) | (right == F.col("nx") - 1))))
-    cells = around.groupBy(*FRAME, "nx", "ny", "px", "py", "pv").agg(
-        pick((down == 0) & (right == F.col("nx") - 1)).alias("xm"), pick((down == 0) & (right == 1)).alias("xp"),
-        pick((right == 0) & (down == F.col("ny") - 1)).alias("ym"), pick((right == 0) & (down == 1)).alias("yp"),
-    )
+    sized = with_dims(px, frames).withColumn("lum", luma() * _hann("x", "width") * _hann("y", "height"))
+    schema = block_schema(px)
+
+    def begin(at: Strip, lines: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield cut(at, np.fft.fft(lines, padded_size(at.width)))
+
+    blocks = over_rows(sized, ["lum"], begin, schema)
+    dims = frame_dims(px) if frames is None else px
+    run = F.shiftright("frame_no", RUN_BITS)
+    first = dims.groupBy("asset_id").agg(F.min("frame_no").alias("_first"), F.collect_set(run).alias("_runs"))
+    copies = F.when(F.col("frame_no") == F.col("_first"), F.col("_runs")).otherwise(F.array(run))
+    dealt = blocks.join(first, "asset_id").withColumn("run", F.explode(copies)).drop("_runs")
+    group = ["asset_id", "run", "strip"]
+
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, reference = None, None
+        for table, groups in whole_tiles(batches, [*group, "frame_no"]):
+            cell = {c: column_values(table, c) for c in (*group, "frame_no", "_first", "lines", "height", "width")}
+            data = table.column("data")
+            for rows in groups:
+                k = rows.start
+                at = Strip(table.slice(k, 1).select(FRAME), int(cell["strip"][k]), int(cell["height"][k]), int(cell["width"][k]))
+                parts = [np.frombuffer(data[i].as_buffer(), complex).reshape(1, cell["lines"][k], -1) for i in range(rows.start, rows.stop)]
+                spectrum = np.fft.fft(np.concatenate(parts, axis=2), padded_size(at.height))
+                now = tuple(cell[c][k] for c in group)
+                is_first = cell["frame_no"][k] == cell["_first"][k]
+                if now != seen:  # the first frame has the smallest number, so it leads its group
+                    seen, reference = now, spectrum
+                if not is_first or int(cell["_first"][k]) >> RUN_BITS == cell["run"][k]:
+                    power = reference * np.conj(spectrum)
+                    yield cut(at, np.fft.ifft(power / (np.abs(power) + 1e-12)), ring=1)
+
+    met = dealt.repartition(*group).sortWithinPartitions(*group, "frame_no", "part").mapInArrow(cross, schema)
+
+    def peak(at: Strip, lines: np.ndarray) -> Iterator[pa.RecordBatch]:
+        surface = np.round(np.fft.ifft(lines[0]).real, 12)
+        own = surface[1:-1]
+        y, x = np.unravel_index(own.argmax(), own.shape)
+        n = own.shape[1]
+        found = {"pv": own[y, x], "xm": own[y, x - 1], "xp": own[y, (x + 1) % n], "ym": surface[y, x], "yp": surface[y + 2, x]}
+        ints = {"px": x, "py": y + at.number * LINES, "nx": n, "ny": padded_size(at.height)}
+        columns = {c: pa.array([int(v)], pa.int32()) for c, v in ints.items()} | {c: pa.array([float(v)]) for c, v in found.items()}
+        yield pa.RecordBatch.from_pydict(at.keys(1) | columns)
+
+    places = [T.StructField(c, T.IntegerType()) for c in ("px", "py", "nx", "ny")]
+    values = [T.StructField(c, T.DoubleType()) for c in ("pv", "xm", "xp", "ym", "yp")]
+    peaks = turned(met, 1, peak, T.StructType([*schema.fields[:2], *places, *values]), complex)
+    highest = F.max_by(F.struct("px", "py", "nx", "ny", "pv", "xm", "xp", "ym", "yp"), F.struct("pv", -F.col("py"), -F.col("px")))
+    cells = peaks.groupBy(*FRAME).agg(highest.alias("k")).select(*FRAME, "k.*")
 
     def vertex(a, b, c):
         bend = a - 2 * b + c
@@ -249,7 +250,7 @@ def phase_correlate(px: DataFrame, frames: DataFrame | None = None) -> DataFrame
     dx = signed(F.col("px") + vertex(F.col("xm"), F.col("pv"), F.col("xp")), F.col("nx"))
     dy = signed(F.col("py") + vertex(F.col("ym"), F.col("pv"), F.col("yp")), F.col("ny"))
     is_first = F.col("frame_no") == F.col("_first")
-    return cells.join(first.withColumnRenamed("frame_no", "_first"), "asset_id").select(
+    return cells.join(first, "asset_id").select(
         *FRAME,
         F.when(is_first, 0.0).otherwise(dx).alias("dx"),
         F.when(is_first, 0.0).otherwise(dy).alias("dy"),
