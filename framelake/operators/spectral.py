@@ -1,7 +1,7 @@
 """Fourier operators: batches of scan lines through numpy, with Spark doing the transposes.
 
-A plane is a set of lines ``(keys, line, pos, re, im)``. A transform gathers one line per row (a line is
-one padded frame side), runs the FFT on an Arrow batch of lines, and a shuffle turns rows into columns.
+Whole-frame operators keep their lines packed (``functions/strips.py``) and turn rows into columns by exchanging blocks.
+``fft2`` and ``dft_lines`` return coefficients as rows ``(keys, line, pos, re, im)``, since these are their results.
 """
 
 from __future__ import annotations

@@ -1,6 +1,6 @@
 """Neighborhood operators on halo tiles: one exchange each, whatever the frame size.
 
-Minima, sums and differences along lines are row and column windows inside the tile. Weighted sums run as
+Sums and differences along lines are row and column windows inside the tile. Minima and weighted sums run as
 one short numpy function per tile: on a million-pixel frame that took a third of the time of
 the same taps as ``lag``/``lead`` columns, and the window form grows by ten columns per tap.
 """
