@@ -103,6 +103,13 @@ def bands(signature: np.ndarray, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sets, each not empty."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    return int((large[at] == small).sum())
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int = 75) -> bool:
     """Whether two sets have ``100 * intersection >= percent * union``; empty sets are linked with nothing."""
     small, large = (a, b) if len(a) <= len(b) else (b, a)

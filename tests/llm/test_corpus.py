@@ -90,6 +90,35 @@ def test_near_copies_finish_buckets_in_blocks(spark, monkeypatch):
     assert sorted(got) == sorted(near_brute(rows))
 
 
+def test_near_copies_give_a_repeated_id_one_component(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(3, b), (5, a), (5, b), (5, b + " end"), (8, a), (9, c), (9, c), (9, ""), (12, c), (12, None)]
+    got = sorted({(r.doc_id, r.component_id) for r in near_copies.near_duplicates(docs_of(spark, rows)).collect()})
+    assert got == [(3, 3), (5, 3), (8, 3), (9, 9), (12, 9), (12, 12)]
+    own = [(r.n_shingles, r.component_id) for r in near_copies.near_duplicates(docs_of(spark, rows)).where("doc_id = 12").collect()]
+    assert sorted(own) == [(0, 12), (36, 9)]
+
+
+def test_near_copies_in_hot_buckets_of_unlinked_members(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "SALT_ROWS", 100)
+    rng = random.Random(21)
+    common = [f"c{k}" for k in range(60)]
+    rows = [(k, " ".join(common + [f"w{rng.randrange(10**9)}" for _ in range(20)])) for k in range(1500)]  # similarity 0.58
+    rows += [(2000 + k, " ".join(rows[k][1].split()[:-1] + ["other"])) for k in (3, 700, 1499)]
+    got = {r.doc_id: r.component_id for r in near_copies.near_duplicates(docs_of(spark, rows)).collect()}
+    assert got == {i: i - 2000 if i >= 2000 else i for i, _ in rows}
+
+
+def test_near_copies_of_long_texts_are_dealt_by_their_size(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "BLOCK_CELLS", 500)
+    monkeypatch.setattr(near_copies, "CELLS_PER_GROUP", 1000)
+    rng = random.Random(22)
+    base = [f"w{k}" for k in range(900)]
+    rows = [(k, " ".join(mutated(rng, base, rng.randrange(60)))) for k in range(40)]
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in near_copies.near_duplicates(docs_of(spark, rows)).collect()]
+    assert sorted(got) == sorted(near_brute(rows))
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(100, 160)] + [(5, 9), (9, 5), (7, 7)], "a BIGINT, b BIGINT")
     got = {(r.node, r.component) for r in near_copies.components(edges).collect()}
