@@ -9,7 +9,7 @@ import xxhash
 
 SHINGLE_WORDS = 5
 #: Words whose numbers a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: Shingles that one signature step works on.
 STEP_SHINGLES = 1 << 15
 
