@@ -8,7 +8,8 @@ block in one row, so a task holds two blocks at a time; the k best of every bloc
 
 Defined results: vectors that are null, or hold null or non-finite components, and null ids take no part; an id that
 repeats counts once, with its smallest vector; scores compare vectors of equal length only; ties go to the smaller id; a query
-with fewer than k partners gets all; empty tables give an empty table; other columns are not read.
+with fewer than k partners gets all; components and scores beyond 64 bits become the nearest 64-bit number, such scores after
+the ranking inside a block of candidates; empty tables give an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -73,7 +74,7 @@ def _unpacked(blob: bytes, dims: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _exact(a: np.ndarray, b: np.ndarray) -> type:
     """The fastest number kind in which all inner products of two blocks are exact."""
-    most = a.shape[1] * float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0))
+    most = a.shape[1] * float(np.abs(a.astype(float)).max(initial=0)) * float(np.abs(b.astype(float)).max(initial=0))
     return np.float32 if most < 2**24 else np.float64 if most < 2**53 else object
 
 
@@ -124,6 +125,8 @@ def search(
             q, block = q.astype(kind), Block(c_ids, c.astype(kind))
             found = [(own, *block.top(own, x, k)) for own, x in zip(q_ids, q, strict=True)]
         flat = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int64)
+        if any(s.dtype == object for _, _, s in found):
+            found = [(own, i, np.clip(s, -(2**63), 2**63 - 1)) for own, i, s in found]
         return pa.table({
             "query_id": flat([np.full(len(i), own) for own, i, _ in found]), "vec_id": flat([i for _, i, _ in found]), "score": flat([s for _, _, s in found]),
         })

@@ -244,6 +244,16 @@ def test_search_equals_brute_force(spark, monkeypatch):
     assert threshold_search.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_threshold_saturates_scores_beyond_64_bits(spark):
+    from pyspark.sql import functions as F
+
+    big = float(2**62)
+    df = spark.createDataFrame([(0, [big, 1.0]), (1, [big, 0.0]), (2, [-big, 0.0]), (3, [0.0, 1.0]), (4, [1e300, 0.0]), (5, [-1e300, 0.0])], "vec_id BIGINT, embedding ARRAY<DOUBLE>")
+    got = [tuple(r) for r in threshold_search.search(df, F.col("vec_id") == 0, scale=1.0).orderBy("rank").collect()]
+    most = 2**63 - 1
+    assert got == [(0, 1, 1, most), (0, 2, 4, most), (0, 3, 3, 1), (0, 4, 2, -(2**63)), (0, 5, 5, -(2**63))]
+
+
 def test_threshold_stops_early():
     rng = np.random.default_rng(0)
     vectors = np.abs(rng.standard_cauchy((4000, 3)) * 50).astype(np.int64).astype(np.float64)
