@@ -56,13 +56,16 @@ def from_scanlines(lines: DataFrame) -> DataFrame:
 
 
 def densify(px: DataFrame, frames: DataFrame) -> DataFrame:
-    """Every cell of every frame; absent cells are zero."""
+    """Every cell of every frame; absent cells are zero.
+
+    Spark sizes rows made by ``explode`` like the rows they come from, so both sides are merged, never broadcast.
+    """
     grid = (
         frames.where("width > 0 and height > 0")
         .select(*FRAME, "width", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
         .select(*FRAME, "y", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
     )
-    return grid.join(px, [*FRAME, "y", "x"], "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in RGBA})
+    return grid.hint("merge").join(px, [*FRAME, "y", "x"], "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in RGBA})
 
 
 def dims_check(frames: DataFrame) -> DataFrame:
