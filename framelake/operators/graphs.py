@@ -9,6 +9,8 @@ from framelake.errors import GRAPH
 from framelake.session import cut_lineage, staging_path
 
 NODE = ["project_id", "node_id"]
+#: Ancestors of a node kept in one row before they are listed.
+LINE = 64
 
 
 def missing_endpoints(nodes: DataFrame, edges: DataFrame, sinks: DataFrame | None = None) -> DataFrame:
@@ -93,12 +95,17 @@ def ancestors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Path doubling: round ``k`` extends the pairs known so far by jumps of exactly ``2**k`` edges, so a path of
     length ``d`` takes ``log2(d)`` rounds. Where every node has at most one input, each pair has one path and
-    rounds need no deduplication; a pair of a node with itself reveals a cycle and turns it on.
+    rounds need no deduplication; a pair of a node with itself reveals a cycle and turns it on. If such a graph is also
+    less than ``LINE`` deep, rounds move one row per node with its ancestors in order, and pairs arise at the very end.
     """
     pair = ["project_id", "node_id", "ancestor"]
     known = cut_lineage(edges.select("project_id", F.col("dst").alias("node_id"), F.col("src").alias("ancestor")).distinct())
     jump = known
+    self_too = nodes.select(*NODE, F.col("node_id").alias("ancestor"))
     single_path = known.groupBy("project_id", "node_id").count().where("count > 1").isEmpty()
+    lines = _lines(known) if single_path else None
+    if lines is not None:
+        return lines.select(*NODE, F.explode("line").alias("ancestor")).where("node_id <> ancestor").unionByName(self_too)
     while True:
         fresh = _compose(jump, known)
         if not single_path:
@@ -112,10 +119,29 @@ def ancestors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             single_path, known = False, cut_lineage(known.distinct())
         jump = _compose(jump, jump)
         jump = cut_lineage(jump if single_path else jump.distinct())
-    self_too = nodes.select(*NODE, F.col("node_id").alias("ancestor"))
     return known.where("node_id <> ancestor").unionByName(self_too)
 
 
+def _lines(ups: DataFrame) -> DataFrame | None:
+    """``project_id, node_id, line`` of all ancestors, the nearest first, of nodes with one input each; None if some node has
+    ``LINE`` of them or more, as on a cycle."""
+    state = ups.select(*NODE, F.array("ancestor").alias("line"))
+    reach = 1
+    while True:
+        # Only a line as long as the rounds so far can go on; its last node's line follows.
+        whole = F.size("line") == reach
+        onward = state.select("project_id", F.col("node_id").alias("_top"), F.col("line").alias("_more"))
+        tops = state.withColumn("_top", F.when(whole, F.element_at("line", -1)))
+        longer = F.when(F.col("_more").isNull(), F.col("line")).otherwise(F.concat("line", "_more"))
+        state = cut_lineage(tops.join(onward, ["project_id", "_top"], "left").select(*NODE, longer.alias("line")))
+        reach *= 2
+        most = state.agg(F.max(F.size("line"))).first()[0] or 0
+        if most >= LINE:
+            return None
+        if most < reach:
+            return state
+
+
 def upstream_of(sinks: DataFrame, edges: DataFrame) -> DataFrame:
     """``project_id, sink, ancestor``: every node a given sink depends on, itself included.
 
