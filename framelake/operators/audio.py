@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +68,20 @@ def _cascade(x: np.ndarray, state: np.ndarray, sections) -> tuple[np.ndarray, np
 
 
 CHUNK, CHUNKS_PER_GROUP = 1024, 1024
+#: Chunks that one task filters at a time: 256 of 1,024 samples are 2 MB, however many rows Spark hands over at once.
+CHUNKS_AT_ONCE = 256
+
+
+def _few_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, CHUNKS_AT_ONCE):
+            yield batch.slice(start, CHUNKS_AT_ONCE)
+
+
+def _with_lists(part: pa.RecordBatch, kept: list[str], **lists: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    """The kept columns and new list columns, each given as all values and the rows' lengths."""
+    made = [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype("int32"), pa.array(v)) for v, n in lists.values()]
+    return pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *made], names=[*kept, *lists])
 
 
 def with_rates(samples: DataFrame, rates: DataFrame) -> DataFrame:
@@ -97,31 +113,41 @@ def k_weight(samples: DataFrame, rate: int = 48000, chunk: int = CHUNK, per_grou
     keys = [*CHANNEL, "sample_rate"]
     rated = samples if "sample_rate" in samples.columns else samples.withColumn("sample_rate", F.lit(rate))
 
-    @F.pandas_udf("y ARRAY<DOUBLE>, s ARRAY<DOUBLE>")
-    def from_silence(x: pd.Series, rates: pd.Series) -> pd.DataFrame:
-        lengths = x.map(len).to_numpy()
-        block, ends = np.zeros((len(x), chunk)), np.zeros((len(x), 4))
-        for i, row in enumerate(x):
-            block[i, : len(row)] = row
-        for r in rates.unique():
-            mine = (rates == r).to_numpy()
-            block[mine], ends[mine] = _cascade(block[mine], np.zeros((mine.sum(), 4)), k_weighting(int(r)))
-        return pd.DataFrame({"y": [v[:n] for v, n in zip(block, lengths)], "s": list(ends)})
-
-    @F.pandas_udf("array<double>")
-    def add_ringing(y: pd.Series, state: pd.Series, rates: pd.Series) -> pd.Series:
-        return pd.Series([np.asarray(v) + np.asarray(s) @ _ringing(int(r), chunk)[0][:, : len(v)] for v, s, r in zip(y, state, rates)])
+    types = {f.name: f.dataType.simpleString() for f in rated.schema}
+    lead = ", ".join(f"`{k}` {types[k]}" for k in keys)
+
+    def from_silence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _few_rows(batches):
+            x, rates = part.column("x"), part.column("sample_rate").to_numpy()
+            lengths, block, ends = np.diff(x.offsets.to_numpy()), np.zeros((len(x), chunk)), np.zeros((len(x), 4))
+            filled = np.arange(chunk) < lengths[:, None]
+            block[filled] = x.flatten().to_numpy(zero_copy_only=False)
+            for r in np.unique(rates):
+                mine = rates == r
+                block[mine], ends[mine] = _cascade(block[mine], np.zeros((mine.sum(), 4)), k_weighting(int(r)))
+            yield _with_lists(part, [*keys, "ck", "n0"], y=(block[filled], lengths), s=(ends.ravel(), np.full(len(x), 4)))
+
+    def add_ringing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _few_rows(batches):
+            y, rates = part.column("y"), part.column("sample_rate").to_numpy()
+            states = part.column("state").flatten().to_numpy(zero_copy_only=False).reshape(-1, 4)
+            lengths, ring = np.diff(y.offsets.to_numpy()), np.zeros((len(y), chunk))
+            for r in np.unique(rates):
+                mine = rates == r
+                ring[mine] = states[mine] @ _ringing(int(r), chunk)[0]
+            done = y.flatten().to_numpy(zero_copy_only=False) + ring[np.arange(chunk) < lengths[:, None]]
+            yield _with_lists(part, [*keys, "n0"], y=(done, lengths))
 
     filtered = (
         rated.withColumn("ck", F.expr(f"n div {chunk}")).groupBy(*keys, "ck")
         .agg(F.array_sort(F.collect_list(F.struct("n", "v"))).alias("c"))
-        .withColumn("z", from_silence(F.col("c.v"), F.col("sample_rate")))
-        .select(*keys, "ck", F.get("c.n", 0).alias("n0"), "z.y", "z.s")
+        .select(*keys, "ck", F.get("c.n", 0).cast("bigint").alias("n0"), F.col("c.v").cast("array<double>").alias("x"))
+        .mapInArrow(from_silence, f"{lead}, ck BIGINT, n0 BIGINT, y ARRAY<DOUBLE>, s ARRAY<DOUBLE>")
     )
     chunks = cut_lineage(filtered)
     last = chunks.agg(F.max("ck")).first()[0] or 0
     states = _inherited(chunks.select(*keys, "ck", "s"), last, chunk, per_group)
-    voiced = chunks.drop("s").join(states, [*keys, "ck"]).withColumn("y", add_ringing("y", "state", "sample_rate"))
+    voiced = chunks.drop("s").join(states, [*keys, "ck"]).select(*keys, "n0", "y", "state").mapInArrow(add_ringing, f"{lead}, n0 BIGINT, y ARRAY<DOUBLE>")
     done = voiced.select(*keys, "n0", F.posexplode("y").alias("i", "v")).select(*keys, (F.col("n0") + F.col("i")).alias("n"), "v")
     return done.select(*samples.columns)
 
