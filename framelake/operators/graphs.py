@@ -11,6 +11,8 @@ from framelake.session import cut_lineage, staging_path
 NODE = ["project_id", "node_id"]
 #: Ancestors of a node kept in one row before they are listed.
 LINE = 64
+#: Edges from which on nodes that lead nowhere are set aside, and the share of the edges that must go with them.
+AMPLE, SHELL = 1 << 20, 0.25
 
 
 def missing_endpoints(nodes: DataFrame, edges: DataFrame, sinks: DataFrame | None = None) -> DataFrame:
@@ -23,64 +25,89 @@ def missing_endpoints(nodes: DataFrame, edges: DataFrame, sinks: DataFrame | Non
     return uses.join(have, ["project_id", "item"], "left_anti")
 
 
-def _inner_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges whose target exists; a missing source still counts as an input that never comes."""
-    return edges.join(nodes.select("project_id", F.col("node_id").alias("dst")), ["project_id", "dst"], "left_semi")
-
-
 def topo_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Longest distance from a source per node; ``-1`` marks nodes on or behind a cycle or a missing input.
 
     Stretches of nodes with a single input need no peeling: pointer jumping finds each one's nearest
     ancestor with none or several inputs in ``log2`` rounds. Peeling then runs over those anchors alone, so a
-    long chain costs a few joins instead of one round per node.
+    long chain costs a few joins instead of one round per node. Where many nodes lead nowhere, as in graphs that
+    widen, they are set aside before peeling and take their levels after it, so that rounds do not read their edges.
     """
-    inner = _inner_edges(nodes, edges).select("project_id", "src", "dst").distinct()
-    fan = inner.groupBy("project_id", F.col("dst").alias("node_id")).agg(F.count(F.lit(1)).alias("fan"), F.min("src").alias("only"))
-    fanned = nodes.select(*NODE).distinct().join(fan, NODE, "left").withColumn("fan", F.coalesce("fan", F.lit(0)))
-    single = F.col("fan") == 1
-    hop = cut_lineage(
-        fanned.select(*NODE, "fan", F.when(single, F.col("only")).otherwise(F.col("node_id")).alias("up"), F.when(single, 1).otherwise(0).cast("bigint").alias("far"))
-    )
+    count = F.count(F.lit(1)).over(Window.partitionBy("project_id", "node_id"))
+    inputs = edges.select("project_id", F.col("dst").alias("node_id"), "src").repartition(*NODE).distinct().withColumn("fan", count)
+    # One row per input of a node, or without ``src`` for a node with none; a missing source is an input that never comes.
+    steps = cut_lineage(nodes.select(*NODE).distinct().join(inputs, NODE, "left").withColumn("fan", F.coalesce("fan", F.lit(0).cast("bigint"))))
+    anchors = steps.where("fan <> 1").select("project_id", F.col("node_id").alias("up"), F.lit(True).alias("settled")).distinct()
+    one = F.lit(1).cast("bigint")
     # A pointer is settled when it stands on an anchor. Pointers double each round; on a cycle they
     # never settle, and after the longest possible chain has been covered they are left over.
-    anchors = hop.where("fan <> 1").select("project_id", F.col("node_id").alias("up"), F.lit(True).alias("settled"))
-    state = hop.join(anchors, ["project_id", "up"], "left").select(*NODE, "fan", "up", "far", F.coalesce("settled", F.lit(False)).alias("settled"))
-    largest = nodes.groupBy("project_id").count().agg(F.max("count")).first()[0] or 0
-    state, reach, longest = cut_lineage(state), 1, largest
+    single = cut_lineage(steps.where("fan = 1").select(*NODE, F.col("src").alias("up"), one.alias("far")))
+    state = cut_lineage(single.join(anchors, ["project_id", "up"], "left").select(*NODE, "up", "far", F.coalesce("settled", F.lit(False)).alias("settled")))
+    reach, longest = 1, single.groupBy("project_id").count().agg(F.max("count")).first()[0] or 0
     while reach <= longest and not state.where("not settled").isEmpty():
         ahead = state.select("project_id", F.col("node_id").alias("up"), F.col("up").alias("_up"), F.col("far").alias("_far"), F.col("settled").alias("_done"))
         moving = state.where("not settled").join(ahead, ["project_id", "up"], "left")
-        moved = moving.select(*NODE, "fan", F.coalesce("_up", "up").alias("up"), (F.col("far") + F.coalesce("_far", F.lit(0))).alias("far"), F.coalesce("_done", F.lit(False)).alias("settled"))
+        moved = moving.select(*NODE, F.coalesce("_up", "up").alias("up"), (F.col("far") + F.coalesce("_far", F.lit(0))).alias("far"), F.coalesce("_done", F.lit(False)).alias("settled"))
         state, reach = cut_lineage(state.where("settled").unionByName(moved)), reach * 2
-    placed = state.where("settled")
 
-    # Contracted graph: an edge from each input's anchor to a several-input node, as long as the stretch.
-    joins = hop.where("fan > 1").select("project_id", F.col("node_id").alias("dst"))
-    via = placed.select("project_id", F.col("node_id").alias("src"), F.col("up").alias("anchor"), F.col("far"))
-    long_edges = inner.join(joins, ["project_id", "dst"], "left_semi").join(via, ["project_id", "src"], "left").select(
-        "project_id", F.col("anchor"), "dst", (F.col("far") + 1).alias("length")
+    # Contracted graph: an edge from each input's anchor to a several-input node, as long as the stretch. Inputs without an anchor
+    # have none to come from.
+    via = state.select("project_id", F.col("node_id").alias("src"), F.when(F.col("settled"), F.col("up")).alias("up"), "far", F.lit(True).alias("on"))
+    anchor = F.when(F.col("on"), F.col("up")).otherwise(F.col("src"))
+    long_edges = cut_lineage(
+        steps.where("fan > 1").join(via, ["project_id", "src"], "left").select(
+            "project_id", anchor.alias("anchor"), F.col("node_id").alias("dst"), F.col("fan").alias("need"), (F.coalesce("far", F.lit(0)) + one).alias("length")
+        )
     )
-    need = long_edges.groupBy("project_id", "dst").agg(F.count(F.lit(1)).alias("need"))
-    long_edges = cut_lineage(long_edges.join(need, ["project_id", "dst"]))
+    core, shells = _shells(long_edges)
+    zero = steps.where("fan = 0").select("project_id", F.col("node_id").alias("anchor"), F.lit(0).cast("bigint").alias("level"))
     # Each round hands on only the levels found last, so every edge is joined once in all.
-    fresh = hop.where("fan = 0").select("project_id", F.col("node_id").alias("anchor"), F.lit(0).cast("bigint").alias("level"))
-    levels, waiting = _Parts(nodes.sparkSession, "levels"), None
-    while levels.add(fresh):
-        fresh = levels.last()
-        arrived = long_edges.join(fresh, ["project_id", "anchor"]).select(
-            "project_id", "dst", "need", F.lit(1).alias("got"), (F.col("level") + F.col("length")).alias("level")
-        )
-        if waiting is not None:
-            arrived = arrived.unionByName(waiting)
-        seen = cut_lineage(arrived.groupBy("project_id", "dst").agg(F.max("need").alias("need"), F.sum("got").alias("got"), F.max("level").alias("level")))
-        waiting = seen.where("got < need")
-        fresh = seen.where("got = need").select("project_id", F.col("dst").alias("anchor"), "level")
-    known = levels.all().withColumnRenamed("anchor", "up").withColumnRenamed("level", "base")
-    done = placed.join(known, ["project_id", "up"], "left").select(*NODE, (F.col("base") + F.col("far")).alias("level"))
+    fresh, levels, waiting = zero, _Parts(nodes.sparkSession, "levels"), None
+    while levels.add(_arrived(core, fresh, waiting), "got = need"):
+        fresh, waiting = _leveled(levels.last()), levels.last().where("got < need")
+    for shell in reversed(shells):
+        levels.add(_arrived(shell, zero.unionByName(_leveled(levels.all()))))
+    known = zero.unionByName(_leveled(levels.all()))
+    after = state.where("settled").join(known.withColumnRenamed("anchor", "up"), ["project_id", "up"])
+    done = known.withColumnRenamed("anchor", "node_id").unionByName(after.select(*NODE, (F.col("level") + F.col("far")).alias("level")))
     return nodes.select(*NODE).join(done, NODE, "left").withColumn("level", F.coalesce("level", F.lit(-1).cast("bigint")))
 
 
+def _shells(edges: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The edges to peel, and shells of edges into nodes that lead nowhere once the shells before are gone.
+
+    Each shell takes a share of the edges left, so all of them together are split in the time of a few passes.
+    """
+    spark, shells, left = edges.sparkSession, [], edges.count()
+    while left >= AMPLE:
+        ahead = edges.select("project_id", F.col("anchor").alias("dst"), F.lit(True).alias("ahead")).distinct()
+        marked = edges.join(ahead, ["project_id", "dst"], "left").withColumn("ahead", F.coalesce("ahead", F.lit(False)))
+        path = staging_path(spark, "shell")
+        marked.write.partitionBy("ahead").parquet(path)
+        parts = spark.read.schema(marked.schema).parquet(path)
+        onward = parts.where("ahead").select(*edges.columns)
+        rest = onward.count()
+        if left - rest < left * SHELL:
+            break
+        shells.append(parts.where("not ahead").select(*edges.columns))
+        edges, left = onward, rest
+    return edges, shells
+
+
+def _arrived(edges: DataFrame, levels: DataFrame, waiting: DataFrame | None = None) -> DataFrame:
+    """``project_id, dst, need, got, level``: targets of edges from leveled nodes, with how many inputs came of those needed."""
+    came = edges.join(levels, ["project_id", "anchor"]).select(
+        "project_id", "dst", "need", F.lit(1).cast("bigint").alias("got"), (F.col("level") + F.col("length")).alias("level")
+    )
+    if waiting is not None:
+        came = came.unionByName(waiting)
+    return came.groupBy("project_id", "dst").agg(F.max("need").alias("need"), F.sum("got").alias("got"), F.max("level").alias("level"))
+
+
+def _leveled(arrived: DataFrame) -> DataFrame:
+    return arrived.where("got = need").select("project_id", F.col("dst").alias("anchor"), "level")
+
+
 def validate(nodes: DataFrame, edges: DataFrame, sinks: DataFrame | None = None) -> DataFrame:
     """Error rows per project: missing inputs, missing sinks, cycles."""
     lost = missing_endpoints(nodes, edges, sinks).select("project_id", F.concat("role", F.lit(" references missing node "), "item").alias("reason"))
@@ -218,11 +245,11 @@ class _Parts:
     def __len__(self) -> int:
         return len(self.schemas)
 
-    def add(self, rows: DataFrame) -> bool:
-        """Write one round; False if it holds nothing."""
+    def add(self, rows: DataFrame, of_use: str = "true") -> bool:
+        """Write one round; False if it holds nothing of use."""
         rows.write.parquet(f"{self.path}/part{len(self)}")
         self.schemas.append(rows.schema)
-        return not self.last().isEmpty()
+        return not self.last().where(of_use).isEmpty()
 
     def last(self) -> DataFrame:
         return self.spark.read.schema(self.schemas[-1]).parquet(f"{self.path}/part{len(self) - 1}")
