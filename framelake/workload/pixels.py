@@ -110,7 +110,7 @@ def alpha_polygon(spark, sf):
 
 @query("px.crop", f"WITH {PX_EMB} SELECT asset_id, frame_no, y-10 AS y, x-4 AS x, r, g, b FROM px_emb WHERE x >= 4 AND x < 16 AND y >= 10 AND y < 40")
 def crop(spark, sf):
-    return pointwise.crop(t.px_emb(spark, sf), 4, 10, 12, 30).drop("a")
+    return pointwise.crop(t.px_emb(spark, sf), 4, 10, 12, 30, t.px_emb_frames(spark, sf)).drop("a")
 
 
 @query("px.crop_errors", f"WITH {PX_LI} SELECT asset_id, frame_no, 'INVALID_PARAMETER' AS code, 'crop 12x30+4+10 exceeds 11x50' AS reason FROM px_li GROUP BY asset_id, frame_no")
