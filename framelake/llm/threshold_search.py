@@ -1,10 +1,11 @@
 """Exact top-k inner products by the threshold algorithm over sorted per-dimension lists.
 
 Vectors become integers, ``floor(scale * x)``. Candidates are dealt to blocks of bounded size; a block keeps one sorted list per
-dimension. A query walks all lists of a block at one depth (from the top where its own component is positive, from the bottom
-where negative), scores what it meets for the first time, and stops once the best score that an unseen vector could
-have, the inner product with the values at the present depth, is below its k-th best. Each query block meets each candidate
-block in one row, so a task holds two blocks at a time; the k best of every block are merged per query.
+dimension. Queries walk all lists of a block at one depth (from the top where a component is positive, from the bottom where
+negative), many queries side by side: what any of them meets for the first time is scored for all in one product. A query stops
+once the best score that an unseen vector could have, the inner product with the values at the present depth, is below its k-th
+best so far, which it takes along to the next block. A task holds a few query blocks and a few candidate blocks; the k best of
+every task are merged per query.
 
 Defined results: vectors that are null, or hold null or non-finite components, and null ids take no part; an id that
 repeats counts once, with its smallest vector; scores compare vectors of equal length only; ties go to the smaller id; a query
@@ -26,6 +27,44 @@ CANDIDATES_PER_BLOCK = 8192
 QUERIES_PER_BLOCK = 512
 #: Depth of the first stop, and how much deeper each next one is.
 FIRST_DEPTH, DEEPER = 64, 3
+#: Queries that walk side by side.
+QUERIES_AT_ONCE = 256
+#: Most blocks of either side in a task, and how many tasks a core should get before tasks hold more than one.
+MOST_BLOCKS, TASKS_PER_CORE = 8, 4
+
+
+class Best:
+    """The k best partners so far of several queries, as rows ``(query number, id, score)`` in the order of the result."""
+
+    def __init__(self, queries: int, k: int, kind: np.dtype):
+        self.k = k
+        self.least = np.full(queries, -np.inf, kind)  # the k-th best score of each query
+        self.number, self.ids, self.scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, kind)
+
+    def add(self, live: np.ndarray, own: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Take in ``scores`` of the ``live`` queries (rows) with vectors of ascending ``ids``."""
+        if not len(ids):
+            return
+        at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+        itself = np.flatnonzero(ids[at] == own)
+        scores[itself, at[itself]] = -np.inf
+        least = self.least[live]
+        if len(ids) > self.k and (open_ := np.flatnonzero(least == -np.inf)).size:
+            least[open_] = np.partition(scores[open_], len(ids) - self.k, axis=1)[:, len(ids) - self.k]
+        good = scores >= least[:, None]
+        good[itself, at[itself]] = False
+        some = np.flatnonzero(good.any(axis=0))  # few vectors are good for any query once the k best are high
+        row, column = np.nonzero(good[:, some])
+        column = some[column]
+        number = np.concatenate([self.number, live[row]])
+        ids, scores = np.concatenate([self.ids, ids[column]]), np.concatenate([self.scores, scores[row, column]])
+        order = np.lexsort((ids, -scores, number))
+        number = number[order]
+        rank = np.arange(len(number)) - np.searchsorted(number, number)
+        kept = order[rank < self.k]
+        self.number, self.ids, self.scores = number[rank < self.k], ids[kept], scores[kept]
+        last = rank == self.k - 1
+        self.least[number[last]] = scores[order[last]]
 
 
 class Block:
@@ -39,32 +78,34 @@ class Block:
 
     def top(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, scores)`` of the k best partners of a query, exactly."""
+        best = Best(1, k, query.dtype)
+        self.offer(np.array([own]), query[None], best)
+        return best.ids, best.scores
+
+    def offer(self, own: np.ndarray, queries: np.ndarray, best: Best) -> None:
+        """Bring ``best`` up to date with this block's vectors; ``own`` are the ids of the queries."""
         n = len(self.ids)
-        met = self.ids == own
-        rows, scores = np.zeros(0, np.int64), np.zeros(0, query.dtype)
-        up, down = np.nonzero(query > 0)[0], np.nonzero(query < 0)[0]
-        start, depth = 0, min(FIRST_DEPTH, n)
+        met = np.zeros(n, bool)
+        start, depth, live = 0, 0, np.arange(len(queries))
         while not met.all():
-            fresh = np.zeros(n, bool)
-            fresh[self.lists[up, n - depth : n - start]] = True
-            fresh[self.lists[down, start:depth]] = True
-            fresh &= ~met
-            if depth == n:
-                fresh = ~met  # a zero query has no list to walk
-            new = np.flatnonzero(fresh)
-            met |= fresh
-            rows = np.concatenate([rows, new])
-            scores = np.concatenate([scores, self.vectors[new] @ query])
-            if len(rows) > k:
-                kept = np.lexsort((rows, -scores))[:k]  # rows follow ids
-                rows, scores = rows[kept], scores[kept]
-            if len(rows) == k:
-                reach = query[up] @ self.values[up, n - depth] + query[down] @ self.values[down, depth - 1]
-                if scores.min() > reach:
-                    break
-            start, depth = depth, min(n, depth * DEEPER)
-        kept = np.lexsort((rows, -scores))
-        return self.ids[rows[kept]], scores[kept]
+            asked = queries[live]
+            # No unseen vector reaches beyond the values at this depth.
+            reach = np.maximum(asked, 0) @ self.values[:, n - max(depth, 1)] + np.minimum(asked, 0) @ self.values[:, max(depth, 1) - 1]
+            live = live[best.least[live] <= reach]
+            if not len(live):
+                break
+            start, depth = depth, min(n, depth * DEEPER or FIRST_DEPTH)
+            asked = queries[live]
+            fresh = np.full(n, depth == n)  # a zero query has no list to walk
+            fresh[self.lists[(asked > 0).any(axis=0), n - depth : n - start]] = True
+            fresh[self.lists[(asked < 0).any(axis=0), start:depth]] = True
+            new = np.flatnonzero(fresh & ~met)
+            met[new] = True
+            best.add(live, own[live], self.ids[new], asked @ self.vectors[new].T)
+
+
+#: Number kinds, the fastest first.
+KINDS = (np.float32, np.float64, object)
 
 
 def _unpacked(blob: bytes, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +116,14 @@ def _unpacked(blob: bytes, dims: int) -> tuple[np.ndarray, np.ndarray]:
 def _exact(a: np.ndarray, b: np.ndarray) -> type:
     """The fastest number kind in which all inner products of two blocks are exact."""
     most = a.shape[1] * float(np.abs(a.astype(float)).max(initial=0)) * float(np.abs(b.astype(float)).max(initial=0))
-    return np.float32 if most < 2**24 else np.float64 if most < 2**53 else object
+    return KINDS[0] if most < 2**24 else KINDS[1] if most < 2**53 else KINDS[2]
+
+
+def _heaps(wide: int, many: int, cores: int) -> tuple[int, int]:
+    """Numbers of heaps of candidate blocks and of query blocks: small ones until every core has its tasks, then up to ``MOST_BLOCKS`` each."""
+    pairs = max(1, wide * many // (cores * TASKS_PER_CORE))
+    held = min(MOST_BLOCKS, pairs)
+    return -(-wide // held), -(-many // min(MOST_BLOCKS, max(1, pairs // held)))
 
 
 def _packed(blocks: DataFrame, keys: list[str]) -> DataFrame:
@@ -111,27 +159,34 @@ def search(
     spread = lambda count: F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int")
     asked = _packed(queries.withColumn("qb", spread(many)), ["dims", "qb"]).withColumnRenamed("blob", "asked")
     held = _packed(rows.withColumn("cb", spread(wide)), ["dims", "cb"]).withColumnRenamed("blob", "held")
-    # A stated query set against all rows, block against block.
-    asked = asked.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(wide - 1))))
-    held = held.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
-    keys = ["dims", "qb", "cb"]
+    # A stated query set against all rows: every heap of candidate blocks meets every heap of query blocks.
+    heaps, asks = _heaps(wide, many, vectors.sparkSession.sparkContext.defaultParallelism)
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    asked = asked.select("dims", (F.col("qb") % asks).alias("ask"), every(heaps).alias("heap"), "asked")
+    held = held.select("dims", every(asks).alias("ask"), (F.col("cb") % heaps).alias("heap"), "held")
+    keys = ["dims", "ask", "heap"]
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
         if left.num_rows and right.num_rows:
             dims = left.column("dims")[0].as_py()
-            (q_ids, q), (c_ids, c) = _unpacked(left.column("asked")[0].as_py(), dims), _unpacked(right.column("held")[0].as_py(), dims)
-            kind = _exact(q, c)
-            q, block = q.astype(kind), Block(c_ids, c.astype(kind))
-            found = [(own, *block.top(own, x, k)) for own, x in zip(q_ids, q, strict=True)]
-        flat = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int64)
-        if any(s.dtype == object for _, _, s in found):
-            found = [(own, i, np.clip(s, -(2**63), 2**63 - 1)) for own, i, s in found]
-        return pa.table({
-            "query_id": flat([np.full(len(i), own) for own, i, _ in found]), "vec_id": flat([i for _, i, _ in found]), "score": flat([s for _, _, s in found]),
-        })
-
-    met = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(meet, "query_id BIGINT, vec_id BIGINT, score BIGINT")
+            q_ids, q = (np.concatenate(x) for x in zip(*[_unpacked(b.as_py(), dims) for b in left.column("asked")], strict=True))
+            held = [_unpacked(b.as_py(), dims) for b in right.column("held")]
+            kind = max((_exact(q, c) for _, c in held), key=KINDS.index)
+            blocks = [Block(i, c.astype(kind)) for i, c in held]
+            for at in range(0, len(q), QUERIES_AT_ONCE):
+                own, asked = q_ids[at : at + QUERIES_AT_ONCE], q[at : at + QUERIES_AT_ONCE].astype(kind)
+                # Scores beyond 64 bits are ranked inside their block and saturate after that.
+                for together in [[b] for b in blocks] if kind is object else [blocks]:
+                    best = Best(len(own), k, np.dtype(kind))
+                    for block in together:
+                        block.offer(own, asked, best)
+                    found.append((own[best.number], best.ids, np.clip(best.scores, -(2**63), 2**63 - 1) if kind is object else best.scores))
+        flat = lambda parts: np.concatenate([np.zeros(0, np.int64), *[p.astype(np.int64) for p in parts]])
+        return pa.table({"query_id": flat([o for o, _, _ in found]), "vec_id": flat([i for _, i, _ in found]), "score": flat([s for _, _, s in found])})
+
+    sides = [side.repartition(heaps * asks, *keys).groupBy(*keys) for side in (asked, held)]
+    met = sides[0].cogroup(sides[1]).applyInArrow(meet, "query_id BIGINT, vec_id BIGINT, score BIGINT")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -254,6 +254,35 @@ def test_threshold_saturates_scores_beyond_64_bits(spark):
     assert got == [(0, 1, 1, most), (0, 2, 4, most), (0, 3, 3, 1), (0, 4, 2, -(2**63)), (0, 5, 5, -(2**63))]
 
 
+def test_queries_side_by_side_take_their_best_along(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    vectors = rng.integers(-9, 10, (900, 5)).astype(np.float32)
+    vectors[600:] //= 4  # a block that cannot reach the scores of the others
+    own = np.arange(0, 600, 20)
+    blocks = [threshold_search.Block(part, vectors[part]) for part in (np.arange(0, 600, 2)[::-1], np.arange(1, 600, 2), np.arange(600, 900))]
+    walked = []
+    for block in blocks:
+        block.lists = type("Watched", (), {"__getitem__": lambda _, key, lists=block.lists, block=block: walked.append(block) or lists[key]})()
+    best = threshold_search.Best(len(own), 3, vectors.dtype)
+    for block in blocks:
+        block.offer(own, vectors[own], best)
+    want = [(n, *x) for n, q in enumerate(own) for x in sorted((-float(vectors[q] @ v), k) for k, v in enumerate(vectors) if k != q)[:3]]
+    assert [(n, -s, i) for n, i, s in zip(best.number.tolist(), best.ids.tolist(), best.scores.tolist(), strict=True)] == want
+    assert blocks[0] in walked and blocks[2] not in walked
+    assert threshold_search._heaps(7, 6, 6) == (7, 6) and threshold_search._heaps(76, 61, 6) == (10, 8)
+    monkeypatch.setattr(threshold_search, "CANDIDATES_PER_BLOCK", 100)
+    monkeypatch.setattr(threshold_search, "QUERIES_PER_BLOCK", 10)
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id BIGINT, embedding ARRAY<DOUBLE>")
+    found = []
+    for heaps in ((9, 5), (2, 3), (1, 1)):
+        monkeypatch.setattr(threshold_search, "_heaps", lambda wide, many, cores, heaps=heaps: heaps)
+        found.append(sorted(tuple(r) for r in threshold_search.search(df, F.col("vec_id") % 20 == 0, k=3, scale=1.0).collect()))
+    assert found[0] == found[1] == found[2]
+    assert [(q, n, i, -s) for q, n, i, s in found[0] if q < 600] == [(own[n], r % 3 + 1, i, s) for r, (n, s, i) in enumerate(want)]
+
+
 def test_threshold_stops_early():
     rng = np.random.default_rng(0)
     vectors = np.abs(rng.standard_cauchy((4000, 3)) * 50).astype(np.int64).astype(np.float64)
