@@ -47,6 +47,8 @@ COUNT_BYTES, INDEX_BYTES = 36 << 20, 2 << 20
 LEAST_PARTS = 12
 #: An anchor with more stretches than one part of the index is meant for is hot: its windows are dealt one by one.
 HOT_STRETCHES = INDEX_BYTES // (FLOOR + STRETCH_WINDOWS - 1)
+#: Stretches go to a part as lists of their anchors, documents, starts and bytes.
+STRETCHES = (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary()))
 #: Packed windows of hot anchors per part.
 WINDOW = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("start", "<i4")])
 WINDOW_BYTES = 16 << 20
@@ -104,7 +106,10 @@ def _stretches(pieces: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.nda
     # Stretches begin at a piece's first window and where the anchor changes; windows across pieces are left out.
     first = np.cumsum(sizes) - sizes
     last = first + sizes - FLOOR  # every piece holds a window
-    heads = np.unique(np.concatenate([first, last + 1, np.flatnonzero(low[1:] != low[:-1]) + 1]))
+    begins = np.zeros(len(low) + 1, bool)
+    begins[first] = begins[last + 1] = True
+    begins[1:-1] |= low[1:] != low[:-1]
+    heads = np.flatnonzero(begins)
     owner = np.searchsorted(first, heads, "right") - 1
     inside = heads <= last[owner]
     windows = np.diff(np.append(heads, last[-1] + 1))[inside]
@@ -139,12 +144,21 @@ def _unpacked_anchors(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), hashes[text], weight
 
 
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Places where a row differs from the one before in any column; the first row counts."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
+
+
 def _lists(anchor: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """Owners and the packed anchors of each."""
-    order = np.argsort(owner, kind="stable")
+    """Owners and the packed anchors of each, in order and each once."""
+    order = np.lexsort((anchor, owner))
     anchor, owner = anchor[order], owner[order]
-    heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
-    return owner[heads], [np.unique(a).tobytes() for a in np.split(anchor, heads[1:])] if len(heads) else []
+    new = _changes(owner, anchor)
+    anchor, owner = anchor[new], owner[new]
+    heads = _changes(owner)
+    return owner[heads], [anchor[a:b].tobytes() for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(anchor)], strict=False)]
 
 
 def repeated_anchors(rows: DataFrame, parts: int, hot_from: int) -> DataFrame:
@@ -157,11 +171,15 @@ def repeated_anchors(rows: DataFrame, parts: int, hot_from: int) -> DataFrame:
     def send(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         hashes, of = np.unique(part.column("text_hash").to_numpy(), return_inverse=True)
         owner, _, _, anchor = stretches([(t or "").encode() for t in part.column("text").to_pylist()])
-        kept, times = np.unique(np.rec.fromarrays([anchor, of[owner]]), return_counts=True)
-        anchor, owner = kept["f0"], kept["f1"]
+        owner = of[owner]
+        order = np.lexsort((owner, anchor))
+        anchor, owner = anchor[order], owner[order]
+        new = _changes(anchor, owner)
+        times = np.diff(np.append(new, len(anchor)))
+        anchor, owner = anchor[new], owner[new]
         names, blobs, known, lists = [], [], [], []
         if len(anchor):
-            heads = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+            heads = _changes(anchor)
             ends = np.append(heads[1:], len(anchor)) - 1
             sends = np.zeros(len(anchor), bool)
             sends[heads] = sends[ends] = True
@@ -189,9 +207,9 @@ def repeated_anchors(rows: DataFrame, parts: int, hot_from: int) -> DataFrame:
         if not got:
             return told
         anchor, owner, weight = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.argsort(anchor, kind="stable")
+        order = np.argsort(anchor)
         anchor, owner = anchor[order], owner[order]
-        heads = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+        heads = _changes(anchor)
         shared = np.minimum.reduceat(owner, heads) != np.maximum.reduceat(owner, heads)
         total = np.add.reduceat(weight[order], heads)
         hot = np.flatnonzero(shared & (total > hot_from))
@@ -207,10 +225,6 @@ def repeated_anchors(rows: DataFrame, parts: int, hot_from: int) -> DataFrame:
     return sent.groupBy("part").applyInArrow(count, "text_hash BIGINT, anchors BINARY")
 
 
-def _ranges(pairs: np.ndarray) -> bytes:
-    return pairs.astype(np.int32).tobytes()
-
-
 def _window_names(text: bytes, at: np.ndarray, windows: np.ndarray, doc: int) -> np.ndarray:
     """The windows of some stretches by 128-bit digests."""
     starts = np.repeat(at - np.cumsum(windows) + windows, windows) + np.arange(windows.sum())
@@ -230,15 +244,38 @@ def _first_windows(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found[~later], again[np.lexsort((again["start"], again["doc"]))]
 
 
-def _window_ranges(again: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """Byte ranges of windows, by document."""
-    heads = np.flatnonzero(np.concatenate([[True], again["doc"][1:] != again["doc"][:-1]])) if len(again) else []
-    for a, b in zip(heads, [*heads[1:], len(again)], strict=False):
-        yield int(again["doc"][a]), _joined(again["start"][a:b].tolist())
+def _window_ranges(again: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte ranges ``(document, begin, end)`` of windows by document and start."""
+    heads, tails = _runs(again["doc"], again["start"])
+    return again["doc"][heads], again["start"][heads], again["start"][tails] + FLOOR
+
+
+def _runs(of: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last places of runs of windows that touch, of one text each; windows ascend per text."""
+    if not len(of):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    apart = (of[1:] != of[:-1]) | (start[1:] > start[:-1] + FLOOR)
+    heads = np.flatnonzero(np.concatenate([[True], apart]))
+    return heads, np.append(heads[1:], len(of)) - 1
+
+
+def _packed_ranges(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Documents and the packed ranges of each."""
+    order = np.argsort(doc, kind="stable")
+    doc, pairs = doc[order], np.column_stack([begin, end])[order].astype(np.int32)
+    heads = _changes(doc)
+    return doc[heads].tolist(), [pairs[a:b].tobytes() for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(doc)], strict=False)]
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among the ascending ``known``."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
 def _send_stretches(rows: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
-    """``part, blob`` with stretches, windows and covered ranges for every part; ``rows``: ``doc_id, text, anchors`` (lists of packed lists).
+    """Stretches as parallel lists, windows and covered ranges for every part; ``rows``: ``doc_id, text, anchors`` (lists of packed lists).
 
     Windows of ``hot`` anchors go to parts by their digests, so no anchor gathers in one part.
     """
@@ -248,128 +285,107 @@ def _send_stretches(rows: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
         ids = part.column("doc_id").to_numpy()
         texts = [(t or "").encode() for t in part.column("text").to_pylist()]
         owner, at, windows, anchor = stretches(texts)
-        known = part.column("anchors").to_pylist()
-        edges = np.searchsorted(owner, np.arange(len(texts) + 1))
+        # What one text shares is in the lists of all texts that hold it, so the lists of a step are one set.
+        known = np.unique(np.frombuffer(b"".join(a for lists in part.column("anchors").to_pylist() for a in lists), np.uint64))
+        mine = np.flatnonzero(_among(anchor, known))
+        named, covered = [], []
+        is_hot = _among(anchor[mine], hot)
+        warm, mine = mine[is_hot], mine[~is_hot]
+        edges = np.searchsorted(owner[warm], np.arange(len(texts) + 1))
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            own = warm[edges[k] : edges[k + 1]]
+            named.append(_window_names(texts[k], at[own], windows[own], int(ids[k])))
+        anchor, owner, begin, end = anchor[mine], owner[mine], at[mine], at[mine] + windows[mine] + FLOOR - 1
+        edges = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
         first: dict[bytes, int] = {}
-        out: dict[int, tuple[list, list, list, list]] = {}
-        whole: dict[int, list[tuple[int, int]]] = {}
-        named = []
+        found, holder = [], []
         for k, text in enumerate(texts):
-            span = slice(edges[k], edges[k + 1])
-            mine = np.flatnonzero(np.isin(anchor[span], np.frombuffer(b"".join(known[k]), np.uint64))) + edges[k]
-            doc = int(ids[k])
-            if len(hot) and len(mine):
-                is_hot = np.isin(anchor[mine], hot)
-                if is_hot.any():
-                    named.append(_window_names(text, at[mine[is_hot]], windows[mine[is_hot]], doc))
-                    mine = mine[~is_hot]
-            for a, w, h in zip(at[mine].tolist(), windows[mine].tolist(), anchor[mine].tolist(), strict=True):
-                stretch = text[a : a + w + FLOOR - 1]
-                if first.setdefault(stretch, doc) < doc:
-                    whole.setdefault(doc, []).append((a, a + len(stretch)))
-                    continue
-                to = out.setdefault(h % parts, ([], [], [], []))
-                for x, y in zip(to, (h, doc, a, stretch), strict=True):
-                    x.append(y)
-        names, blobs = list(out), []
-        for anchors, docs, starts, found in out.values():
-            sent = pa.record_batch([pa.array(anchors, pa.uint64()), pa.array(docs, pa.int64()), pa.array(starts, pa.int32()), pa.array(found, pa.binary())], ["anchor", "doc", "start", "stretch"])
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, sent.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                writer.write_batch(sent)
-            blobs.append(sink.getvalue().to_pybytes())
+            span, doc = slice(edges[k], edges[k + 1]), int(ids[k])
+            cut = [text[a:b] for a, b in zip(begin[span].tolist(), end[span].tolist(), strict=True)]
+            holder += [first.setdefault(stretch, doc) for stretch in cut]
+            found += cut
+        docs = ids[owner]
+        later = np.array(holder, np.int64) < docs
+        covered.append((docs[later], begin[later], end[later]))
+        new = np.flatnonzero(~later)
+        to = (anchor[new] % np.uint64(parts)).astype(np.int64)
+        new = new[np.argsort(to, kind="stable")]
+        heads = _changes(to := np.sort(to))
+        names = to[heads].tolist()
+        values = [anchor[new].astype(np.int64), docs[new], begin[new].astype(np.int32), [found[i] for i in new.tolist()]]
+        bounds = pa.array(np.append(heads, len(new)), pa.int32())
+        lists = [pa.ListArray.from_arrays(bounds, pa.array(v, kind.value_type)) for v, kind in zip(values, STRETCHES, strict=True)]
         loose = [None] * len(names)
         if named:
             new, again = _first_windows(np.concatenate(named))
-            for doc, pairs in _window_ranges(again):
-                whole.setdefault(doc, []).extend(pairs)
+            covered.append(_window_ranges(again))
             to = (new["a"] % np.uint64(parts)).astype(np.int64)
             new = new[np.argsort(to, kind="stable")]
             edges = np.searchsorted(np.sort(to), np.arange(parts + 1))
             for p in np.flatnonzero(np.diff(edges)).tolist():
                 names.append(p)
-                blobs.append(None)
                 loose.append(new[edges[p] : edges[p + 1]].tobytes())
-        covered = [[None] * len(names), [None] * len(names)]
-        for doc, pairs in whole.items():
-            names.append(doc % parts)
-            blobs.append(None)
-            loose.append(None)
-            covered[0].append(doc)
-            covered[1].append(_ranges(np.array(pairs)))
-        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
-        yield common.batch([names, blobs, loose, *covered], ["part", "blob", "windows", "doc_id", "ranges"], kinds)
-
-    return common.over_texts(rows, "text", "part INT, blob BINARY, windows BINARY, doc_id BIGINT, ranges BINARY", send, STEP_BYTES)
-
-
-def covered_ranges(anchor: np.ndarray, doc: np.ndarray, start: np.ndarray, found: list[bytes]) -> dict[int, list[tuple[int, int]]]:
-    """Covered byte ranges by document of one part's stretches."""
-    strings: dict[bytes, int] = {}
-    number = np.fromiter((strings.setdefault(s, len(strings)) for s in found), np.int64, len(found))
-    texts = list(strings)
+        told, ranges = _packed_ranges(*(np.concatenate(x) for x in zip(*covered, strict=True)))
+        covered = [[None] * len(names) + told, [None] * len(names) + ranges]
+        names, loose = names + [d % parts for d in told], loose + [None] * len(told)
+        lists = [pa.concat_arrays([x, pa.nulls(len(names) - len(x), x.type)]) for x in lists]
+        kinds = [pa.int32(), *STRETCHES, pa.binary(), pa.int64(), pa.binary()]
+        yield common.batch([names, *lists, loose, *covered], ["part", "anchors", "docs", "starts", "stretches", "windows", "doc_id", "ranges"], kinds)
+
+    lists = "anchors ARRAY<BIGINT>, docs ARRAY<BIGINT>, starts ARRAY<INT>, stretches ARRAY<BINARY>"
+    return common.over_texts(rows, "text", f"part INT, {lists}, windows BINARY, doc_id BIGINT, ranges BINARY", send, STEP_BYTES)
+
+
+def covered_ranges(anchor: np.ndarray, doc: np.ndarray, start: np.ndarray, found: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Covered byte ranges ``(document, begin, end)`` of one part's stretches."""
+    coded = found.dictionary_encode()
+    number, texts = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    lengths = pc.binary_length(texts).to_numpy().astype(np.int64)
     owner = np.full(len(texts), np.iinfo(np.int64).max)
     np.minimum.at(owner, number, doc)
-    of = np.zeros(len(texts), np.uint64)
+    of = np.zeros(len(texts), np.int64)
     of[number] = anchor
-    out: dict[int, list[tuple[int, int]]] = {}
-    for k in np.flatnonzero(doc > owner[number]):  # a later document repeats the whole stretch
-        out.setdefault(int(doc[k]), []).append((int(start[k]), int(start[k]) + len(found[k])))
+    later = np.flatnonzero(doc > owner[number])  # a later document repeats the whole stretch
+    whole = doc[later], start[later], start[later] + lengths[number[later]]
     # Windows match only under their own anchor, so a lone stretch of an anchor matches nothing.
     _, back, sizes = np.unique(of, return_inverse=True, return_counts=True)
     picked = np.flatnonzero(sizes[back] > 1)
     picked = picked[np.argsort(owner[picked], kind="stable")]
     if not len(picked):
-        return out
-    index = RunLengthIndex([texts[k] for k in picked], FLOOR)
-    _, _, first = index.stream([texts[k] for k in picked])
+        return whole
+    strings = texts.take(pa.array(picked)).to_pylist()
+    index = RunLengthIndex(strings, FLOOR)
+    _, _, first = index.stream(strings)
     firsts = owner[picked]
     earliest = np.where(first >= 0, firsts[np.maximum(first, 0)], np.iinfo(np.int64).max)
-    sizes = np.array([len(texts[k]) for k in picked])
+    sizes = lengths[picked]
     begin = np.cumsum(sizes) - sizes
     hit = np.flatnonzero(earliest < np.repeat(firsts, sizes))
     which = np.searchsorted(begin, hit, "right") - 1
-    windows: dict[int, list[int]] = {}
-    for k, w in zip(picked[which].tolist(), (hit - begin[which]).tolist(), strict=True):
-        windows.setdefault(k, []).append(w)
-    for k in np.flatnonzero(doc == owner[number]):
-        for a, b in _joined(windows.get(int(number[k]), [])):
-            out.setdefault(int(doc[k]), []).append((int(start[k]) + a, int(start[k]) + b))
-    return out
-
-
-def _joined(windows: list[int]) -> list[tuple[int, int]]:
-    """Byte ranges of ascending window starts."""
-    out: list[tuple[int, int]] = []
-    for w in windows:
-        if out and w <= out[-1][1]:
-            out[-1] = (out[-1][0], w + FLOOR)
-        else:
-            out.append((w, w + FLOOR))
-    return out
+    window = hit - begin[which]
+    heads, tails = _runs(which, window)
+    # Every place where the first document holds a stretch gets the ranges of that stretch.
+    order = np.argsort(picked[which[heads]], kind="stable")
+    covers, low, high = picked[which[heads]][order], window[heads][order], window[tails][order] + FLOOR
+    held = np.flatnonzero(doc == owner[number])
+    from_, to = np.searchsorted(covers, number[held]), np.searchsorted(covers, number[held], "right")
+    place = np.repeat(held, to - from_)
+    nth = np.arange(len(place)) - np.repeat(np.cumsum(to - from_) - to + from_, to - from_)
+    r = np.repeat(from_, to - from_) + nth
+    return tuple(np.concatenate(x) for x in zip(whole, (doc[place], start[place] + low[r], start[place] + high[r]), strict=True))
 
 
 def _part(group: pa.Table) -> pa.Table:
-    blobs = [pa.ipc.open_stream(b.as_py()).read_all() for b in group.column("blob") if b.is_valid]
-    ids, ranges = [], []
-    for doc, r in zip(group.column("doc_id").to_pylist(), group.column("ranges").to_pylist(), strict=True):
-        if doc is not None:
-            ids.append(doc)
-            ranges.append(r)
-    if blobs:
-        all_of = pa.concat_tables(blobs)
-        found = covered_ranges(
-            all_of.column("anchor").to_numpy(), all_of.column("doc").to_numpy(), all_of.column("start").to_numpy(), all_of.column("stretch").to_pylist()
-        )
-        for doc, pairs in found.items():
-            ids.append(doc)
-            ranges.append(_ranges(np.array(pairs)))
+    told = group.filter(pc.is_valid(group.column("doc_id"))).select(["doc_id", "ranges"])
+    found = []
+    if group.column("docs").null_count < group.num_rows:
+        flat = lambda name: pc.list_flatten(group.column(name)).combine_chunks()
+        found.append(covered_ranges(flat("anchors").to_numpy(), flat("docs").to_numpy(), flat("starts").to_numpy(), flat("stretches")))
     named = [np.frombuffer(b.as_py(), WINDOW) for b in group.column("windows") if b.is_valid]
     if named:
-        for doc, pairs in _window_ranges(_first_windows(np.concatenate(named))[1]):
-            ids.append(doc)
-            ranges.append(_ranges(np.array(pairs)))
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "ranges": pa.array(ranges, pa.binary())})
+        found.append(_window_ranges(_first_windows(np.concatenate(named))[1]))
+    ids, ranges = _packed_ranges(*(np.concatenate(x) for x in zip(*found, strict=True))) if found else ([], [])
+    return pa.concat_tables([told, pa.table({"doc_id": pa.array(ids, pa.int64()), "ranges": pa.array(ranges, pa.binary())})])
 
 
 def merged(pairs: np.ndarray) -> np.ndarray:

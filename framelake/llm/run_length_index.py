@@ -37,10 +37,8 @@ class RunLengthIndex:
         n, floor = len(self.owner), self.floor
         key = np.zeros(n, np.int64)
         for k in range(min(FIRST, floor)):
-            symbol = np.zeros(n, np.int64)
-            inside = self.left > k
-            symbol[inside] = self.text[np.flatnonzero(inside) + k]
-            key = key << 9 | symbol
+            key <<= 9
+            key[: max(0, n - k)] |= np.where(self.left[: max(0, n - k)] > k, self.text[k:n], 0)
         depth, longest = min(FIRST, floor), int(self.left.max(initial=0))
         # A rank is the place of the first suffix of its group; groups of one are final and not sorted again.
         order, rank = np.arange(n), np.zeros(n, np.int64)
@@ -97,7 +95,7 @@ class RunLengthIndex:
         sizes = self.run_end - self.run_start + 1
         counts = np.bincount(self.text[: len(before)], minlength=258).astype(np.int64)
         first = np.concatenate([[0], np.cumsum(counts)[:-1]])
-        by = np.argsort(self.run_symbol, kind="stable")
+        by = np.argsort(before[self.run_start], kind="stable")
         done = np.cumsum(sizes[by]) - sizes[by]
         per = np.bincount(self.run_symbol, weights=sizes, minlength=258).astype(np.int64)
         self.run_to = np.empty(len(by), np.int64)  # where the first suffix of a run goes when its symbol is put in front

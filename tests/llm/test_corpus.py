@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -223,6 +224,44 @@ def test_matching_statistics_equal_brute_force():
                 at += 1
 
 
+def test_covered_ranges_equal_brute_force():
+    """Stretches as lists, with twice named documents and a stretch that stands twice in one text."""
+    rng, floor = random.Random(4), repeated_text.FLOOR
+    for _ in range(20):
+        base = bytes(rng.choices(b"abcd", k=400))
+        rows = []  # anchor, document, start, stretch
+        for doc in [rng.randrange(12) for _ in range(30)]:
+            a, n = rng.randrange(300), rng.randrange(floor, floor + 35)
+            rows.append((0, doc, rng.randrange(1000), base[a : a + n]))
+        rows += [(rows[0][0], 3, 2000, rows[0][3]), (rows[0][0], 3, 3000, rows[0][3]), (9, 5, 4000, bytes(60))]
+        anchor, doc, start, found = (list(x) for x in zip(*rows, strict=True))
+        got = repeated_text.covered_ranges(np.array(anchor), np.array(doc), np.array(start, np.int32), pa.array(found, pa.binary()))
+        bytes_of = lambda ranges: {(d, i) for d, a, b in ranges for i in range(a, b)}
+        want = []
+        for _, d, at, s in rows:
+            for w in range(len(s) - floor + 1):
+                if any(s[w : w + floor] in t and e < d for _, e, _, t in rows):
+                    want.append((d, at + w, at + w + floor))
+        assert bytes_of(zip(*(x.tolist() for x in got), strict=True)) == bytes_of(want)
+
+
+def test_stretches_go_to_parts_as_lists(spark, monkeypatch):
+    """A step sends one row per part, whose lists name each distinct stretch once with its first document."""
+    from pyspark.sql import functions as F
+
+    passage = " ".join(f"word{k}" for k in range(60))
+    df = docs_of(spark, [(k, f"{k} begins {passage} and ends {k}") for k in range(6)]).coalesce(1)
+    texts = df.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    anchors = repeated_text.repeated_anchors(texts.select("text_hash", "text"), 4, 1000).groupBy("text_hash").agg(F.collect_list("anchors").alias("anchors"))
+    held = texts.join(anchors, "text_hash").select("doc_id", "text", "anchors").coalesce(1)
+    sent = repeated_text._send_stretches(held, 4, np.zeros(0, np.uint64)).where("docs IS NOT NULL").collect()
+    assert len({r["part"] for r in sent}) == len(sent) > 1
+    for r in sent:
+        assert len(r["anchors"]) == len(r["docs"]) == len(r["starts"]) == len(r["stretches"]) == len(set(map(bytes, r["stretches"])))
+        assert all(a % 4 == r["part"] for a in r["anchors"])
+        assert all(d == 0 for d, s in zip(r["docs"], r["stretches"], strict=True) if bytes(s) in passage.encode())
+
+
 def test_search_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(threshold_search, "CANDIDATES_PER_BLOCK", 64)
     monkeypatch.setattr(threshold_search, "QUERIES_PER_BLOCK", 8)
