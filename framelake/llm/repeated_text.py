@@ -6,8 +6,9 @@ work is dealt by anchors and no task sees the corpus:
 
 1. every text is cut into stretches of windows with one anchor; anchors are counted by distinct contents, dealt by hash, and
    only those that at least two different texts hold go on;
-2. the stretches of those anchors are dealt by anchor. In each part a run-length compressed Burrows-Wheeler index of the
-   distinct stretches, ordered by their first document, is built, and all of them stream through it: where the matching statistics
+2. the stretches of those anchors are dealt by anchor. In each part, stretches that share no window's hash with another document
+   are left out; a run-length compressed Burrows-Wheeler index of the others' distinct ones, ordered by their first document, is
+   built, and all of them stream through it: where the matching statistics
    reach ``floor``, the index names the first document that holds the window;
 3. covered bytes are collected per document and cut out.
 
@@ -47,8 +48,8 @@ COUNT_BYTES, INDEX_BYTES = 36 << 20, 2 << 20
 LEAST_PARTS = 12
 #: An anchor with more stretches than one part of the index is meant for is hot: its windows are dealt one by one.
 HOT_STRETCHES = INDEX_BYTES // (FLOOR + STRETCH_WINDOWS - 1)
-#: Stretches go to a part as lists of their anchors, documents, starts and bytes.
-STRETCHES = (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary()))
+#: Stretches go to a part as lists of their documents, starts and bytes.
+STRETCHES = (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary()))
 #: Packed windows of hot anchors per part.
 WINDOW = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("start", "<i4")])
 WINDOW_BYTES = 16 << 20
@@ -312,7 +313,7 @@ def _send_stretches(rows: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
         new = new[np.argsort(to, kind="stable")]
         heads = _changes(to := np.sort(to))
         names = to[heads].tolist()
-        values = [anchor[new].astype(np.int64), docs[new], begin[new].astype(np.int32), [found[i] for i in new.tolist()]]
+        values = [docs[new], begin[new].astype(np.int32), [found[i] for i in new.tolist()]]
         bounds = pa.array(np.append(heads, len(new)), pa.int32())
         lists = [pa.ListArray.from_arrays(bounds, pa.array(v, kind.value_type)) for v, kind in zip(values, STRETCHES, strict=True)]
         loose = [None] * len(names)
@@ -330,26 +331,40 @@ def _send_stretches(rows: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
         names, loose = names + [d % parts for d in told], loose + [None] * len(told)
         lists = [pa.concat_arrays([x, pa.nulls(len(names) - len(x), x.type)]) for x in lists]
         kinds = [pa.int32(), *STRETCHES, pa.binary(), pa.int64(), pa.binary()]
-        yield common.batch([names, *lists, loose, *covered], ["part", "anchors", "docs", "starts", "stretches", "windows", "doc_id", "ranges"], kinds)
+        yield common.batch([names, *lists, loose, *covered], ["part", "docs", "starts", "stretches", "windows", "doc_id", "ranges"], kinds)
 
-    lists = "anchors ARRAY<BIGINT>, docs ARRAY<BIGINT>, starts ARRAY<INT>, stretches ARRAY<BINARY>"
+    lists = "docs ARRAY<BIGINT>, starts ARRAY<INT>, stretches ARRAY<BINARY>"
     return common.over_texts(rows, "text", f"part INT, {lists}, windows BINARY, doc_id BIGINT, ranges BINARY", send, STEP_BYTES)
 
 
-def covered_ranges(anchor: np.ndarray, doc: np.ndarray, start: np.ndarray, found: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _may_match(texts: pa.Array, owner: np.ndarray) -> np.ndarray:
+    """Numbers of the strings that share the hash of a window with a string of another document; no other string matches."""
+    lengths = pc.binary_length(texts).to_numpy().astype(np.int64)
+    windows = lengths - FLOOR + 1
+    hashes = _anchor_hashes(np.frombuffer(b"".join(texts.to_pylist()), np.uint8))
+    at = np.arange(windows.sum()) + np.repeat(np.cumsum(lengths - windows) - lengths + windows, windows)
+    mixed = hashes[at]
+    for offset in [*range(ANCHOR, FLOOR - ANCHOR, ANCHOR), FLOOR - ANCHOR]:  # strings of anchor length that make up a window
+        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) ^ hashes[at + offset]
+    order = np.argsort(mixed)
+    of = np.repeat(np.arange(len(texts)), windows)[order]
+    heads = _changes(mixed[order])
+    shared = np.minimum.reduceat(owner[of], heads) != np.maximum.reduceat(owner[of], heads)
+    found = np.zeros(len(texts), bool)
+    found[of[np.repeat(shared, np.diff(np.append(heads, len(of))))]] = True
+    return np.flatnonzero(found)
+
+
+def covered_ranges(doc: np.ndarray, start: np.ndarray, found: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Covered byte ranges ``(document, begin, end)`` of one part's stretches."""
     coded = found.dictionary_encode()
     number, texts = coded.indices.to_numpy().astype(np.int64), coded.dictionary
     lengths = pc.binary_length(texts).to_numpy().astype(np.int64)
     owner = np.full(len(texts), np.iinfo(np.int64).max)
     np.minimum.at(owner, number, doc)
-    of = np.zeros(len(texts), np.int64)
-    of[number] = anchor
     later = np.flatnonzero(doc > owner[number])  # a later document repeats the whole stretch
     whole = doc[later], start[later], start[later] + lengths[number[later]]
-    # Windows match only under their own anchor, so a lone stretch of an anchor matches nothing.
-    _, back, sizes = np.unique(of, return_inverse=True, return_counts=True)
-    picked = np.flatnonzero(sizes[back] > 1)
+    picked = _may_match(texts, owner)
     picked = picked[np.argsort(owner[picked], kind="stable")]
     if not len(picked):
         return whole
@@ -380,7 +395,7 @@ def _part(group: pa.Table) -> pa.Table:
     found = []
     if group.column("docs").null_count < group.num_rows:
         flat = lambda name: pc.list_flatten(group.column(name)).combine_chunks()
-        found.append(covered_ranges(flat("anchors").to_numpy(), flat("docs").to_numpy(), flat("starts").to_numpy(), flat("stretches")))
+        found.append(covered_ranges(flat("docs").to_numpy(), flat("starts").to_numpy(), flat("stretches")))
     named = [np.frombuffer(b.as_py(), WINDOW) for b in group.column("windows") if b.is_valid]
     if named:
         found.append(_window_ranges(_first_windows(np.concatenate(named))[1]))

@@ -229,20 +229,24 @@ def test_covered_ranges_equal_brute_force():
     rng, floor = random.Random(4), repeated_text.FLOOR
     for _ in range(20):
         base = bytes(rng.choices(b"abcd", k=400))
-        rows = []  # anchor, document, start, stretch
+        rows = []  # document, start, stretch
         for doc in [rng.randrange(12) for _ in range(30)]:
             a, n = rng.randrange(300), rng.randrange(floor, floor + 35)
-            rows.append((0, doc, rng.randrange(1000), base[a : a + n]))
-        rows += [(rows[0][0], 3, 2000, rows[0][3]), (rows[0][0], 3, 3000, rows[0][3]), (9, 5, 4000, bytes(60))]
-        anchor, doc, start, found = (list(x) for x in zip(*rows, strict=True))
-        got = repeated_text.covered_ranges(np.array(anchor), np.array(doc), np.array(start, np.int32), pa.array(found, pa.binary()))
+            rows.append((doc, rng.randrange(1000), base[a : a + n]))
+        rows += [(3, 2000, rows[0][2]), (3, 3000, rows[0][2]), (5, 4000, bytes(60)), (6, 4000, bytes(rng.choices(b"xyz", k=70)))]
+        doc, start, found = (list(x) for x in zip(*rows, strict=True))
+        got = repeated_text.covered_ranges(np.array(doc), np.array(start, np.int32), pa.array(found, pa.binary()))
         bytes_of = lambda ranges: {(d, i) for d, a, b in ranges for i in range(a, b)}
         want = []
-        for _, d, at, s in rows:
+        for d, at, s in rows:
             for w in range(len(s) - floor + 1):
-                if any(s[w : w + floor] in t and e < d for _, e, _, t in rows):
+                if any(s[w : w + floor] in t and e < d for e, _, t in rows):
                     want.append((d, at + w, at + w + floor))
         assert bytes_of(zip(*(x.tolist() for x in got), strict=True)) == bytes_of(want)
+        texts = sorted(set(found))
+        owner = np.array([min(d for d, _, t in rows if t == s) for s in texts])
+        meets = [n for n, s in enumerate(texts) if any(s[w : w + floor] in t for w in range(len(s) - floor + 1) for t, o in zip(texts, owner, strict=True) if o != owner[n])]
+        assert repeated_text._may_match(pa.array(texts, pa.binary()), owner).tolist() == meets and len(meets) <= len(texts) - 2
 
 
 def test_stretches_go_to_parts_as_lists(spark, monkeypatch):
@@ -257,8 +261,7 @@ def test_stretches_go_to_parts_as_lists(spark, monkeypatch):
     sent = repeated_text._send_stretches(held, 4, np.zeros(0, np.uint64)).where("docs IS NOT NULL").collect()
     assert len({r["part"] for r in sent}) == len(sent) > 1
     for r in sent:
-        assert len(r["anchors"]) == len(r["docs"]) == len(r["starts"]) == len(r["stretches"]) == len(set(map(bytes, r["stretches"])))
-        assert all(a % 4 == r["part"] for a in r["anchors"])
+        assert len(r["docs"]) == len(r["starts"]) == len(r["stretches"]) == len(set(map(bytes, r["stretches"])))
         assert all(d == 0 for d, s in zip(r["docs"], r["stretches"], strict=True) if bytes(s) in passage.encode())
 
 
